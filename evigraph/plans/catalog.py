@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.plans import graph  # noqa: F401
+from evigraph.plans import corpus, graph  # noqa: F401
 from evigraph.plans.registry import ORACLES, QUERIES
 
 
