@@ -36,7 +36,7 @@ def src3(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("src4_json_valid", """
-SELECT event_id, TRY_CAST(doc AS JSON) IS NOT NULL AS valid FROM (
+SELECT event_id, TRY_CAST(doc AS JSON) IS NOT NULL AND NOT contains(doc, 'NaN') AS valid FROM (
  SELECT event_id, CASE WHEN event_type = 'error' THEN props || 'x' WHEN event_type = 'view' THEN '[' || props || ', NaN]' ELSE props END AS doc FROM events) e""")
 def src4(spark: SparkSession, sf: str) -> DataFrame:
     doc = (F.when(F.col("event_type") == "error", F.concat("props", F.lit("x")))
