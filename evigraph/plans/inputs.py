@@ -95,15 +95,14 @@ FROM lineitem GROUP BY l_orderkey, l_linenumber
 
 # Merge history: consecutive customers of one nation and market segment.
 G_MERGES = """
-SELECT source_entity_id, target_entity_id FROM (
-  SELECT concat('c', CAST(c_custkey AS STRING)) AS source_entity_id,
-         concat('c', CAST(lead(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS STRING)) AS target_entity_id
-  FROM customer) m WHERE target_entity_id IS NOT NULL
+SELECT concat('c', CAST(a AS STRING)) AS source_entity_id, concat('c', CAST(b AS STRING)) AS target_entity_id FROM (
+  SELECT c_custkey AS a, lead(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS b
+  FROM customer) m WHERE b IS NOT NULL
 """
 
-# Removed documents: every order of the lowest priority.
+# Removed documents: every order but the most urgent ones.
 G_REMOVED_DOCS = """
-SELECT concat('o', CAST(o_orderkey AS STRING)) AS document_id FROM orders WHERE o_orderpriority = '5-LOW'
+SELECT concat('o', CAST(o_orderkey AS STRING)) AS document_id FROM orders WHERE o_orderpriority <> '1-URGENT'
 """
 
 # Containment hierarchy used where memberships are given: customer → nation → region.
@@ -199,10 +198,9 @@ SELECT id AS resource_id, 'episode' AS resource_type FROM m_episodes WHERE repos
 # Supersession: each order of a customer is replaced by the customer's next order;
 # customers of one market segment add the closing pair, which forms a cycle.
 M_SUPERSESSION = """
-SELECT episode, replacement FROM (
-  SELECT concat('o', CAST(o_orderkey AS STRING)) AS episode,
-         concat('o', CAST(lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS STRING)) AS replacement
-  FROM orders) s WHERE replacement IS NOT NULL
+SELECT concat('o', CAST(a AS STRING)) AS episode, concat('o', CAST(b AS STRING)) AS replacement FROM (
+  SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b
+  FROM orders) s WHERE b IS NOT NULL
 UNION ALL
 SELECT concat('o', CAST(last_order AS STRING)), concat('o', CAST(first_order AS STRING)) FROM (
   SELECT o_custkey, min_by(o_orderkey, k) AS first_order, max_by(o_orderkey, k) AS last_order, count(*) AS n
