@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.session import cut_lineage
+
 REVIEWABLE = ("unreviewed", "needs_review")
 
 
@@ -57,18 +59,26 @@ def collect_garbage(
     Endpoints of touched relations are candidates too, taken before the relations
     are dropped. An entity in merge history with a surviving partner is kept.
     """
-    gone = evidence.join(removed_documents.select("document_id"), "document_id", "left_semi")
-    left = evidence.join(removed_documents.select("document_id"), "document_id", "left_anti")
-    touched = gone.filter(F.col("relation_id").isNotNull()).select(F.col("relation_id").alias("id")).distinct()
-    still = left.filter(F.col("relation_id").isNotNull()).select(F.col("relation_id").alias("id")).distinct()
-    dead_relations = touched.join(still, "id", "left_anti").join(relations.select("id"), "id", "left_semi")
+    removed = removed_documents.select("document_id").distinct().withColumn("_gone", F.lit(True))
+    marked = evidence.join(removed, "document_id", "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)))
+
+    def subjects(column: str) -> DataFrame:
+        """Per cited subject: did it lose evidence, does any remain. One pass, partially aggregated."""
+        return marked.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("id")).agg(
+            F.bool_or("_gone").alias("_lost"), F.bool_or(~F.col("_gone")).alias("_left"))
 
+    gone = marked.filter("_gone").drop("_gone")
+    state = relations.select("id", "source_entity_id", "target_entity_id").join(subjects("relation_id"), "id", "left").withColumn(
+        "_lost", F.coalesce("_lost", F.lit(False))).withColumn("_dead", F.col("_lost") & ~F.coalesce("_left", F.lit(False)))
     ends = F.explode(F.array("source_entity_id", "target_entity_id")).alias("id")
-    direct = gone.filter(F.col("entity_id").isNotNull()).select(F.col("entity_id").alias("id"))
-    candidates = direct.unionByName(relations.join(touched, "id", "left_semi").select(ends)).distinct()
-    linked = relations.join(dead_relations, "id", "left_anti").select(ends)
-    backed = left.filter(F.col("entity_id").isNotNull()).select(F.col("entity_id").alias("id"))
-    unsupported = candidates.join(linked.unionByName(backed).distinct(), "id", "left_anti").join(entities.select("id"), "id", "left_semi")
+    # Only touched relations and the ends of every relation matter from here on.
+    by_relation = state.select(ends, "_lost", (~F.col("_dead")).alias("_left"))
+    direct = subjects("entity_id")
+    per_entity = by_relation.unionByName(direct.select("id", "_lost", "_left")).groupBy("id").agg(
+        F.bool_or("_lost").alias("_lost"), F.bool_or("_left").alias("_left"))
+    dead_relations = cut_lineage(state.filter("_dead").select("id"))
+    unsupported = cut_lineage(
+        per_entity.filter(F.col("_lost") & ~F.col("_left")).select("id").join(entities.select("id"), "id", "left_semi"))
 
     flags = unsupported.select("id", F.lit(True).alias("_u"))
     sides = (
@@ -82,8 +92,10 @@ def collect_garbage(
     of_dead = aliases.join(dead_entities.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
     dead_aliases = of_dead.select("entity_id", "alias")
     if alias_evidence is not None:
-        uncited = aliases.join(direct.select(F.col("id").alias("entity_id")).distinct(), "entity_id", "left_semi").join(
-            alias_evidence.join(left.select(F.col("id").alias("evidence_id")), "evidence_id", "left_semi"), "alias_id", "left_anti")
+        lost = direct.filter("_lost").select(F.col("id").alias("entity_id"))
+        remaining = marked.filter(~F.col("_gone")).select(F.col("id").alias("evidence_id"))
+        uncited = aliases.join(lost, "entity_id", "left_semi").join(
+            alias_evidence.join(remaining, "evidence_id", "left_semi"), "alias_id", "left_anti")
         dead_aliases = dead_aliases.unionByName(uncited.select("entity_id", "alias")).distinct()
     return {
         "evidence": gone.select("id"), "relations": dead_relations, "entities": dead_entities,
