@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.plans import build, corpus, graph, memory, walks  # noqa: F401
+from evigraph.plans import build, code, corpus, graph, memory, walks  # noqa: F401
 from evigraph.plans.registry import ORACLES, QUERIES
 
 
