@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions.scalars import language_of, symbol_id, token_count
@@ -93,18 +93,17 @@ NOT_CALLS = ("if", "for", "while", "switch", "return", "def", "fn", "func", "fun
 def text_relations(files: DataFrame, path: str = "file_path", code: str = "code") -> DataFrame:
     """Imports, inheritance and calls by line; a call belongs to the nearest symbol opened above it.
 
-    The enclosing symbol is found inside the file's line array, so no range join is needed.
+    Only lines that open a symbol or hold a relation leave the file's row.
     """
     p = F.col(path)
     base = files.select(p.alias("file_path"), language_of(p).alias("language"), lines_of(F.col(code)).alias("_lines"))
-    opened = F.transform("_lines", lambda line: F.when(F.regexp_extract(line, SYMBOL_LINE, 2) != "", F.struct(
-        F.regexp_extract(line, SYMBOL_LINE, 2).alias("name"),
-        F.when(F.regexp_extract(line, SYMBOL_LINE, 1).isin(*FUNCTION_WORDS), "function").otherwise("class").alias("kind"))))
-    # Running "last opened symbol" per line, as one fold over the file.
-    empty = F.array().cast("array<struct<name:string,kind:string>>")
-    owners = F.aggregate(opened, empty, lambda acc, s: F.concat(acc, F.array(F.coalesce(s, F.try_element_at(acc, F.lit(-1))))))
-    rows = base.withColumn("_own", owners).select("file_path", "language", F.posexplode(F.arrays_zip("_lines", "_own")).alias("_at", "_z")).select(
-        "file_path", "language", (F.col("_at") + 1).cast("bigint").alias("line_number"), F.col("_z._lines").alias("_line"), F.col("_z._own").alias("_own"))
+    word = F.regexp_extract("_line", SYMBOL_LINE, 1)
+    rows = base.select("file_path", "language", F.posexplode("_lines").alias("_at", "_line")).filter(
+        F.col("_line").rlike(f"{SYMBOL_LINE}|{IMPORT_LINE}|{CALL}"))
+    opened = F.when(word != "", F.struct(
+        F.regexp_extract("_line", SYMBOL_LINE, 2).alias("name"), F.when(word.isin(*FUNCTION_WORDS), "function").otherwise("class").alias("kind")))
+    above = Window.partitionBy("file_path").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_own", F.last(opened, ignorenulls=True).over(above)).withColumn("line_number", (F.col("_at") + 1).cast("bigint"))
     file_id = symbol_id(F.col("language"), F.col("file_path"), _file_name(F.col("file_path")), F.lit("file"))
     owner_id = F.when(F.col("_own").isNotNull(), symbol_id(F.col("language"), F.col("file_path"), F.col("_own.name"), F.col("_own.kind")))
     calls = F.filter(F.regexp_extract_all("_line", F.lit(CALL), F.lit(1)), lambda c: ~c.isin(*NOT_CALLS) & (c != F.regexp_extract("_line", SYMBOL_LINE, 2)))
