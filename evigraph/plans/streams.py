@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.plans.inputs import Inputs, oracle
 from evigraph.plans.registry import query
-from evigraph.session import ensure_checkpoint_dir
+from evigraph.session import shared_folder
 from evigraph.streaming import jobs as J
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A fresh folder inside the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid4().hex}"
-
-
 def drain(spark: SparkSession, sf: str, build, mode: str = "complete") -> DataFrame:
     events = J.read_table(spark, sf, "events", Inputs(spark, sf).events.schema)
-    folder = work_folder(spark)
+    folder = shared_folder(spark, "stream")
     J.run_available(build(events), f"{folder}/out", f"{folder}/state", mode)
     return spark.read.parquet(f"{folder}/out")
 
@@ -83,6 +75,6 @@ def st3(spark: SparkSession, sf: str) -> DataFrame:
 def st1(spark: SparkSession, sf: str) -> DataFrame:
     docs = J.read_table(spark, sf, "documents", Inputs(spark, sf).documents.schema).select(
         F.col("doc_id").cast("string").alias("document_id"), "text", F.lit(0).alias("created_at"))
-    folder = work_folder(spark)
+    folder = shared_folder(spark, "stream")
     J.run_batches(docs, J.intake_batch(f"{folder}/store"), f"{folder}/state")
     return spark.read.parquet(f"{folder}/store/documents").agg(F.count("*").alias("documents"))
