@@ -5,106 +5,76 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from evigraph.functions.scalars import stable_id, token_count
 from evigraph.operators.ranking import fixed_batches
 from evigraph.sources.corpus import WHITESPACE, strip
 
 SIZE, OVERLAP = 1200, 200
-# Longer texts are cut in Python, where a slice costs its own length and not its offset.
-JVM_LIMIT = 65_536
 PIPELINE_VERSION = "chunks-v1"
 
-_SPAN = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
+_PIECES = ArrayType(StructType([
+    StructField("text", StringType()), StructField("start_char", IntegerType()), StructField("end_char", IntegerType())]))
 
 
-def _spans_jvm(text: Column, size: int, overlap: int) -> Column:
-    """Raw (start, end) spans as one array fold over the chunk number.
+def _cut_long(size: int, overlap: int):
+    """Arrow UDF cutting texts longer than one chunk.
 
-    A cut falls after the last newline or space of the window when that lies in
-    its second half; the longer separators end in one of these two.
+    A slice in Python costs its own length, while a JVM substring walks from the
+    start of the text each time, so a fold over built-ins was quadratic in the
+    text. A cut falls after the last newline or space of the window when that
+    lies in its second half; every longer separator ends in one of these two.
     """
-    n = F.length(text)
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(n / F.lit(size // 2 - overlap + 1)).cast("int")))
-    spans = F.array().cast("array<struct<start:int,end:int>>")
-    zero = F.struct(F.lit(0).alias("start"), F.lit(False).alias("done"), spans.alias("spans"))
-
-    def step(acc: Column, _: Column) -> Column:
-        limit = F.least(acc["start"] + size, n)
-        back = F.reverse(F.substring(text, acc["start"] + 1, limit - acc["start"]))
-        nl, sp = F.locate("\n", back), F.locate(" ", back)
-        near = F.when(nl == 0, sp).when(sp == 0, nl).otherwise(F.least(nl, sp))
-        boundary = F.when(near > 0, limit - near).otherwise(-1)
-        end = F.when((limit < n) & (boundary > acc["start"] + size // 2), boundary + 1).otherwise(limit)
-        nxt = F.struct(
-            F.greatest(acc["start"] + 1, end - overlap).cast("int").alias("start"),
-            (end >= n).alias("done"),
-            F.concat(acc["spans"], F.array(F.struct(acc["start"].alias("start"), end.cast("int").alias("end")))).alias("spans"),
-        )
-        return F.when(acc["done"], acc).otherwise(nxt)
-
-    return F.when(n == 0, spans).otherwise(F.aggregate(steps, zero, step, lambda acc: acc["spans"]))
 
-
-def _spans_python(size: int, overlap: int):
-    @F.pandas_udf(_SPAN)
+    @F.pandas_udf(_PIECES)
     def cut(texts: pd.Series) -> pd.Series:
-        def spans(text):
+        def pieces(text):
             if text is None:
                 return None
             out, start, n = [], 0, len(text)
             while start < n:
                 end = min(start + size, n)
                 if end < n:
-                    boundary = max(text.rfind("\n", start, end), text.rfind(" ", start, end))
+                    boundary = max(text.rfind(mark, start, end) for mark in "\n ")
                     if boundary > start + size // 2:
                         end = boundary + 1
-                out.append({"start": start, "end": end})
+                raw = text[start:end]
+                value = raw.strip()
+                if value:
+                    left = start + len(raw) - len(raw.lstrip())
+                    out.append({"text": value, "start_char": left, "end_char": left + len(value)})
                 if end == n:
                     break
                 start = max(start + 1, end - overlap)
             return out
 
-        return texts.map(spans)
+        return texts.map(pieces)
 
     return cut
 
 
-def chunk_spans(text: Column, size: int = SIZE, overlap: int = OVERLAP, jvm_limit: int = JVM_LIMIT) -> Column:
+def chunk_pieces(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """Array of trimmed chunks with offsets. Texts of one chunk never leave the JVM."""
     if size <= overlap or overlap < 0:
         raise ValueError("chunk size must exceed a non-negative overlap")
-    if size // 2 - overlap + 1 <= 0:
-        return _spans_python(size, overlap)(text)
-    short = F.length(text) <= jvm_limit
-    return F.coalesce(
-        F.when(short, _spans_jvm(text, size, overlap)),
-        _spans_python(size, overlap)(F.when(~short, text)),
-    )
+    value = strip(text)
+    left = F.length(text) - F.length(F.ltrim(text, F.lit(WHITESPACE)))
+    single = F.filter(F.array(F.struct(
+        value.alias("text"), left.alias("start_char"), (left + F.length(value)).alias("end_char"))), lambda c: c["text"] != "")
+    short = F.length(text) <= size
+    return F.coalesce(F.when(short, single), _cut_long(size, overlap)(F.when(~short, text)))
 
 
 def split_segments(
     segments: DataFrame, keys: list[str], text: str = "text", size: int = SIZE, overlap: int = OVERLAP,
-    page_number: str | None = None,
 ) -> DataFrame:
     """Trimmed chunks of each segment with ``start_char``, ``end_char``, ``segment_part`` and ``segment_count``.
 
-    All work stays inside the row of its segment; a short page segment is one chunk.
+    All work stays inside the row of its segment. A segment of at most one chunk
+    size, such as a short page, stays whole.
     """
-    body = F.col(text)
-    spans = chunk_spans(body, size, overlap)
-    if page_number is not None:
-        whole = F.array(F.struct(F.lit(0).alias("start"), F.length(body).alias("end")))
-        spans = F.when(F.col(page_number).isNotNull() & (F.length(body) <= size), whole).otherwise(spans)
-    blank = F.lit(WHITESPACE)
-
-    def trimmed(s: Column) -> Column:
-        piece = F.substring(body, s["start"] + 1, s["end"] - s["start"])
-        value = strip(piece)
-        left = s["start"] + F.length(piece) - F.length(F.ltrim(piece, blank))
-        return F.struct(value.alias("text"), left.alias("start_char"), (left + F.length(value)).alias("end_char"))
-
-    cut = segments.withColumn("_chunks", F.filter(F.transform(spans, trimmed), lambda c: c["text"] != ""))
+    cut = segments.withColumn("_chunks", chunk_pieces(F.col(text), size, overlap))
     return (
         cut.withColumn("segment_count", F.size("_chunks").cast("bigint"))
         .select(*keys, "segment_count", F.posexplode("_chunks").alias("_part", "_chunk"))

@@ -9,6 +9,7 @@ from evigraph.operators import chunking as C
 from evigraph.operators import ranking as R
 from evigraph.plans.inputs import Inputs
 from evigraph.plans.registry import query, with_ctes
+from evigraph.session import spread
 from evigraph.sources import corpus as S
 
 # Check-side spelling of the characters removed at text ends.
@@ -126,7 +127,7 @@ HTML_CTES = {
 
 @query("src10_html_blocks", with_ctes("SELECT page_id, position, tag, text FROM blocks", **HTML_CTES))
 def src10(spark: SparkSession, sf: str) -> DataFrame:
-    return S.html_blocks(Inputs(spark, sf).pages)
+    return S.html_blocks(spread(Inputs(spark, sf).pages))
 
 
 @query("src10_html_titles", f"""SELECT page_id, nullif({_sql_visible("regexp_extract(" + _CLEAN + ", '(?is)<title[^>]*>(.*?)</title\\s*>', 1)", False)}, '') AS title FROM pages""")
@@ -144,7 +145,7 @@ _PATH = " || ".join(
     f"""SELECT page_id, position, CASE tag WHEN 'li' THEN 'list' WHEN 'table' THEN 'table' WHEN 'pre' THEN 'code' ELSE 'paragraph' END AS block_type, {_PATH} AS section_path
     FROM (SELECT *, {_LEVELS} FROM blocks WINDOW w AS (PARTITION BY page_id ORDER BY position)) s WHERE NOT starts_with(tag, 'h')""", **HTML_CTES))
 def src10_sections(spark: SparkSession, sf: str) -> DataFrame:
-    found = S.section_paths(S.html_blocks(Inputs(spark, sf).pages))
+    found = S.section_paths(S.html_blocks(spread(Inputs(spark, sf).pages)))
     path = F.array_join(F.transform("section_path", lambda h: F.concat(F.lit(" > "), h)), "")
     return found.select("page_id", "position", "block_type", path.alias("section_path"))
 
@@ -171,7 +172,7 @@ numbered AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY star
 
 
 def document_chunks(t: Inputs) -> DataFrame:
-    docs = t.documents.select("doc_id", "text", S.content_hash(F.col("text")).alias("content_hash"))
+    docs = spread(t.documents.select("doc_id", "text")).withColumn("content_hash", S.content_hash(F.col("text")))
     return C.split_segments(docs, ["doc_id", "content_hash"])
 
 

@@ -12,6 +12,7 @@ from evigraph.operators import memory as Mm
 from evigraph.operators.ranking import sequence_in_group
 from evigraph.plans.inputs import Inputs, oracle
 from evigraph.plans.registry import query, with_ctes
+from evigraph.session import spread
 
 HOUR = "hour"
 WEIGHT = "CASE WHEN lower(status) IN ('passed','success','verified') THEN CASE kind WHEN 'ci' THEN 1.0 WHEN 'runtime' THEN 1.0 WHEN 'test' THEN 0.6 WHEN 'build' THEN 0.6 WHEN 'self_report' THEN 0.2 WHEN 'custom' THEN 0.2 ELSE 0.0 END ELSE 0.0 END"
@@ -520,7 +521,7 @@ SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replac
  '(?i)\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp(?:s)?)://[^\s"'']+', '[REDACTED]', 'g'),
  '(?i)\bhttps?://[^\s/@:]+:[^\s/@]+@[^\s"'']+', '[REDACTED]', 'g')) AS text_hash FROM documents""")
 def x6_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return Inputs(spark, sf).documents.select("doc_id", F.sha2(X.redact(F.col("text")), 256).alias("text_hash"))
+    return spread(Inputs(spark, sf).documents.select("doc_id", "text")).select("doc_id", F.sha2(X.redact(F.col("text")), 256).alias("text_hash"))
 
 
 @query("f14_secret_detection", """

@@ -48,20 +48,23 @@ def _spans(text, size, overlap):
     return out
 
 
-def test_chunk_paths_agree_with_brute_force(spark):
+def test_chunks_against_brute_force(spark):
     rng = random.Random(3)
     texts = ["", "x", "a" * 5000]
     for n in (10, 1199, 1200, 1201, 3000, 9000, 40000):
         texts.append("".join(rng.choice(["ab", "é", " ", "\n", ". ", "\n\n", "wörter"]) for _ in range(n))[:n])
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    for limit in (0, 10**9):
-        got = {r.i: [(s.start, s.end) for s in r.s] for r in df.select("i", C.chunk_spans(F.col("text"), jvm_limit=limit).alias("s")).collect()}
-        assert got == {i: _spans(t, 1200, 200) for i, t in enumerate(texts)}
+    got = {r.i: [(s.start_char, s.end_char, s.text) for s in r.s] for r in df.select("i", C.chunk_pieces(F.col("text")).alias("s")).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        kept = [(a + len(t[a:b]) - len(t[a:b].lstrip()), t[a:b].strip()) for a, b in _spans(t, 1200, 200)]
+        want[i] = [(a, a + len(v), v) for a, v in kept if v]
+    assert got == want
 
 
 def test_page_segment_stays_whole(spark):
     df = spark.createDataFrame([("d", " one page ", 3), ("e", "word " * 400, 4), ("f", " tail ", None)], "d string, text string, page int")
-    rows = C.split_segments(df, ["d"], page_number="page").orderBy("d", "segment_part").collect()
+    rows = C.split_segments(df, ["d"]).orderBy("d", "segment_part").collect()
     assert (rows[0].text, rows[0].start_char, rows[0].end_char, rows[0].segment_count) == ("one page", 1, 9, 1)
     assert [r.d for r in rows].count("e") == 2
     assert all(("word " * 400)[r.start_char:r.end_char] == r.text for r in rows if r.d == "e")
