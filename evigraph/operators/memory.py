@@ -218,19 +218,19 @@ def merge_episodes(pairs: DataFrame, episodes: DataFrame) -> DataFrame:
 def supersession_roots(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Final replacement of every item, or ``cycle``; ``links(item, replacement)`` with one row per item.
 
-    Pointer doubling: after r rounds each pointer spans 2^r links, so a chain of
-    n links takes log2 n rounds. Items still moving after n could fit are cycles.
+    Pointer doubling: after r rounds each pointer spans 2^r links. A chain longer
+    than a span has items at every shorter distance, so when a round leaves as
+    many items moving as before, all of those are on or behind a cycle.
     """
     state = cut_lineage(links.select("item", F.col("replacement").alias("to"), F.lit(1).cast("bigint").alias("hops")))
-    limit = state.count()
-    span = 1
+    moving = None
     for _ in range(max_rounds):
         nxt = state.select(F.col("item").alias("to"), F.col("to").alias("_far"), F.col("hops").alias("_more"))
         state = cut_lineage(state.join(nxt, "to", "left").select(
-            "item", F.coalesce("_far", "to").alias("to"),
-            F.least(F.col("hops") + F.coalesce("_more", F.lit(0)), F.lit(2 * limit + 2)).alias("hops"), F.col("_far").isNotNull().alias("_moved")))
-        span *= 2
-        if span > limit or state.filter("_moved").limit(1).count() == 0:
+            "item", F.coalesce("_far", "to").alias("to"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"),
+            F.col("_far").isNotNull().alias("_moved")))
+        before, moving = moving, state.filter("_moved").count()
+        if moving in (0, before):
             break
     return state.select("item", F.when(~F.col("_moved"), F.col("to")).alias("final"), F.col("_moved").alias("cycle"),
                         F.when(~F.col("_moved"), F.col("hops")).alias("hops"))

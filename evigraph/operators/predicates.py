@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.session import cut_lineage
+
 
 def normalize_dataset_id(dataset_id: Column) -> Column:
     return F.when(dataset_id.startswith("ds_"), dataset_id).otherwise(F.concat(F.lit("ds_"), dataset_id))
@@ -66,6 +68,29 @@ def supported_entities(entities: DataFrame, relations: DataFrame, evidence: Data
     )
 
 
+def supported_graph(entities: DataFrame, relations: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Supported entities and relations for jobs that need both.
+
+    Relations are marked as cited once and written to the shared folder, so the
+    evidence table, the largest one, is read and reduced a single time.
+    """
+    cited = (
+        evidence.filter(F.col("relation_id").isNotNull())
+        .select(F.col("relation_id").alias("id")).distinct().withColumn("_cited", F.lit(True))
+    )
+    marked = relations.filter(F.col("review_state") != "rejected").join(cited, "id", "left")
+    marked = cut_lineage(marked.withColumn("_cited", F.coalesce("_cited", F.lit(False))))
+    endpoints = marked.filter("_cited").select(F.explode(F.array("source_entity_id", "target_entity_id")).alias("id"))
+    if "entity_id" in evidence.columns:
+        endpoints = endpoints.unionByName(
+            evidence.filter(F.col("entity_id").isNotNull()).select(F.col("entity_id").alias("id")))
+    backed = endpoints.distinct().withColumn("_backed", F.lit(True))
+    people = entities.filter(F.col("review_state") != "rejected").join(backed, "id", "left").filter(
+        (F.col("review_state") == "approved") | F.col("_backed")).drop("_backed")
+    links = marked.filter((F.col("review_state") == "approved") | F.col("_cited")).drop("_cited")
+    return cut_lineage(people), links
+
+
 def current_evidence(evidence: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
     """Evidence whose entity or relation is current."""
     now = temporal_filter()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.operators.measures import density, endpoint_degree
-from evigraph.operators.predicates import low_signal, source_location, supported_entities, supported_relations, temporal_filter
+from evigraph.operators.predicates import low_signal, source_location, supported_entities, supported_graph, temporal_filter
 from evigraph.operators.ranking import top_n_per_group
 
 MAX_CITATIONS = 20
@@ -78,10 +78,10 @@ def neighbours(
     limit: int = 25, relation_types: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """First ``limit`` current relations of each root, with the entity on the other side."""
-    live = supported_relations(relations, evidence).filter(temporal_filter())
+    people, live = supported_graph(entities, relations, evidence)
+    people, live = people.filter(temporal_filter()), live.filter(temporal_filter())
     if relation_types:
         live = live.filter(F.col("relation_type").isin(*relation_types))
-    people = supported_entities(entities, relations, evidence).filter(temporal_filter())
     near = (
         adjacency(live.select("id", "source_entity_id", "target_entity_id", "relation_type"))
         .join(roots.select(F.col("root").alias("node")), "node", "left_semi")
@@ -123,8 +123,8 @@ def graph_summary(
 ) -> DataFrame:
     """Ranked nodes with degree and the totals of the supported graph beside each."""
     keep = temporal_filter(as_of, include_history)
-    people = supported_entities(entities, relations, evidence).filter(keep)
-    links = supported_relations(relations, evidence).filter(keep)
+    people, links = supported_graph(entities, relations, evidence)
+    people, links = people.filter(keep), links.filter(keep)
     candidates = people if candidate_limit is None else people.orderBy("canonical_name", "id").limit(candidate_limit)
     totals = people.agg(F.count("*").alias("entity_count")).crossJoin(links.agg(F.count("*").alias("relation_count")))
     ranked = rank_entities(candidates, endpoint_degree(links), limit)

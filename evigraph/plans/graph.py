@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.functions.scalars import hash_number
 from evigraph.operators import measures as M
 from evigraph.operators import predicates as P
 from evigraph.operators import queries as Q
@@ -22,13 +21,9 @@ def evidence_of(t: Inputs) -> DataFrame:
 
 def current_graph(t: Inputs) -> tuple[DataFrame, DataFrame]:
     """Supported and current entities and relations."""
-    ev, rel, ent = evidence_of(t), t.g_relations, t.g_entities
     now = P.temporal_filter()
-    return P.supported_entities(ent, rel, ev).filter(now), P.supported_relations(rel, ev).filter(now)
-
-
-def iso(column: str) -> F.Column:
-    return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(column)
+    people, links = P.supported_graph(t.g_entities, t.g_relations, t.g_evidence)
+    return people.filter(now), links.filter(now)
 
 
 @query("f1_scope", oracle("SELECT id, canonical_name FROM g_entities WHERE project_id = 'p1' AND dataset_id = 'ds_tpch'", "g_entities"))

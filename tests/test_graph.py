@@ -7,6 +7,7 @@ from evigraph.operators import construction as B
 from evigraph.operators import extraction as E
 from evigraph.operators import lifecycle as L
 from evigraph.operators import measures as M
+from evigraph.operators import predicates as P
 from evigraph.operators import ranking as R
 from evigraph.operators import walk as Wk
 
@@ -77,7 +78,7 @@ def test_walk_limits_and_paths(spark):
     edges = [("r1", "a", "b", 1.0), ("r2", "a", "c", 1.0), ("r3", "d", "a", 1.0), ("r4", "b", "e", 1.0), ("r5", "c", "e", 1.0), ("r6", "e", "f", 1.0)]
     ent, rel, ev = graph(spark, edges)
     roots = spark.createDataFrame([("q", "a")], "query_id string, root string")
-    e = Wk.walk_edges(ent, rel, ev)
+    e = Wk.walk_edges(*P.supported_graph(ent, rel, ev))
     nodes, rels = Wk.bounded_walk(roots, e, 3, 200, 100)
     assert {r.node: r.path_relations for r in nodes.collect()} == {
         "a": [], "b": ["r1"], "c": ["r2"], "d": ["r3"], "e": ["r1", "r4"], "f": ["r1", "r4", "r6"]}
