@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evigraph.operators.measures import density, endpoint_degree
 from evigraph.operators.predicates import low_signal, source_location, supported_entities, supported_graph, temporal_filter
 from evigraph.operators.ranking import top_n_per_group
+from evigraph.session import cut_lineage
 
 MAX_CITATIONS = 20
 
@@ -95,7 +96,7 @@ def neighbours(
 def rank_entities(entities: DataFrame, degree: DataFrame, limit: int | None) -> DataFrame:
     """Degree order without low-signal names, which return only if nothing else is there."""
     low = low_signal(F.col("canonical_name"), F.col("entity_type"))
-    scored = (
+    scored = cut_lineage(
         entities.join(degree, "id", "left")
         .withColumn("degree", F.coalesce("degree", F.lit(0)).cast("bigint"))
         .withColumn("_low", low)
@@ -123,7 +124,10 @@ def graph_summary(
 ) -> DataFrame:
     """Ranked nodes with degree and the totals of the supported graph beside each."""
     keep = temporal_filter(as_of, include_history)
-    people, links = supported_graph(entities, relations, evidence)
+    # Only these columns matter here; the marked relations are written, so they are pruned first.
+    narrow = relations.select(
+        "id", "source_entity_id", "target_entity_id", "review_state", "valid_from", "valid_until", "superseded_by")
+    people, links = supported_graph(entities, narrow, evidence)
     people, links = people.filter(keep), links.filter(keep)
     candidates = people if candidate_limit is None else people.orderBy("canonical_name", "id").limit(candidate_limit)
     totals = people.agg(F.count("*").alias("entity_count")).crossJoin(links.agg(F.count("*").alias("relation_count")))
