@@ -405,3 +405,14 @@ def memory_graph(
     return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
 
 
+
+
+def supersede_direct(requests: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Supersession through feedback, which checks existence, project and self only: refusal or new status."""
+    a = episodes.select(F.col("id").alias("item"), F.col("project_id").alias("_pa"), "status")
+    b = episodes.select(F.col("id").alias("replacement"), F.col("project_id").alias("_pb"))
+    joined = requests.join(a, "item").join(b, "replacement", "left")
+    refusal = F.coalesce(
+        F.when(F.col("_pb").isNull(), "not found"), F.when(F.col("_pa") != F.col("_pb"), "different project"),
+        F.when(F.col("item") == F.col("replacement"), "supersedes itself"))
+    return joined.select("item", "replacement", refusal.alias("refusal"), F.when(refusal.isNull(), "superseded").otherwise(F.col("status")).alias("status"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.plans import analytics, build, code, corpus, graph, memory, streams, walks  # noqa: F401
+from evigraph.plans import analytics, build, code, corpus, extra, graph, memory, streams, walks  # noqa: F401
 from evigraph.plans.registry import ORACLES, QUERIES
 
 
