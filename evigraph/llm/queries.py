@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import lines, mixing
+from evigraph.llm import bpe_codec, lines, mixing, quality, token_counts
 from evigraph.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,52 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+@query("op1_quality_rules", rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, {SQL_WORDS} AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+),
+spans AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+),
+twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM spans) WHERE n > 1
+),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id
+),
+f AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN covered c USING (doc_id)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > 3 * n_words
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 2 * n_dup_lines > n_lines) AS kept
+FROM f
+""")
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judged_features(read(spark, sf_dir, "documents"))
+    return out.select(*[c for c in out.columns if c != "failed_rule"], F.col("failed_rule").isNull().alias("kept"))
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    counted = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+                          token_counts.count_tokens(F.col("text")).alias("n_tokens"))
+    return counted.select("*", (F.col("n_tokens") > token_counts.LIMIT_TOKENS).alias("over_limit"))
+
+
+@query("op10_bpe_codec")
+def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return docs.select("doc_id", bpe_codec.round_trip(F.col("text")).alias("out")).select("doc_id", "out.*")
+
+
 @query("op3_line_dedup", rf"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 lines AS (
