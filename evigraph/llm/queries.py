@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import bpe_codec, lines, mixing, quality, token_counts
+from evigraph.llm import bpe_codec, lines, mixing, quality, token_counts, toxicity
 from evigraph.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,14 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.model_for(spark, docs, sf_dir)
+    scored = docs.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), toxicity.score_column(F.col("text"), model).alias("score"))
+    return scored.select("*", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query("op8_source_mixing", rf"""
 WITH sized AS (SELECT doc_id, source, CAST(len({SQL_WORDS}) AS BIGINT) AS size FROM documents),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
