@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import bpe_codec, lines, mixing, quality, token_counts, toxicity
+from evigraph.llm import bpe_codec, lines, minhash, mixing, quality, token_counts, toxicity
 from evigraph.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("*", (F.col("n_tokens") > token_counts.LIMIT_TOKENS).alias("over_limit"))
 
 
+@query("op9_near_duplicates")
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.duplicate_groups(read(spark, sf_dir, "documents"))
+
+
 @query("op10_bpe_codec")
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
