@@ -25,12 +25,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``written`` made and nothing reads any more."""
+    files, spark = df.inputFiles(), df.sparkSession
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``cut_lineage`` that lets Spark remove the shuffle files of the job as soon as the table is written."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key)
-    conf.set(key, "true")
+    """``cut_lineage`` for large jobs: small Arrow batches, and the shuffle files of the job go as soon as the table is written."""
+    conf = df.sparkSession.conf
+    settings = {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+        "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+        "spark.sql.parquet.compression.codec": "zstd",
+    }
+    before = {key: conf.get(key) for key in settings}
     try:
+        for key, value in settings.items():
+            conf.set(key, value)
         return cut_lineage(df)
     finally:
-        conf.set(key, before)
+        for key, value in before.items():
+            conf.set(key, value)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import GAP_CHARS, ascii_lower
+from evigraph.llm.common import GAP_CHARS, ascii_lower, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -34,9 +34,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     stripped = F.btrim(F.col("line"), F.lit(GAP_CHARS))
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).where(
         F.char_length(stripped) >= min_chars).withColumn("key", ascii_lower(stripped))
-    keyed = lines.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+    keyed = written(lines.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")))
     frequent = keyed.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper")).where(
         F.col("n_docs") >= min_docs).drop("n_docs")
+    frequent = written(frequent)  # the join then reads a plain shuffle on both sides, and Spark can split a hot line
     lost = keyed.join(frequent, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("dropped"))
 
