@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +21,24 @@ _PIECES = ArrayType(StructType([
     StructField("text", StringType()), StructField("start_char", IntegerType()), StructField("end_char", IntegerType())]))
 
 
+def _ranges(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Half-open ranges that cover the text; see ``_cut_long`` for where they end.
+
+    The places after a newline or space are listed once; each range looks up the
+    last one that it reaches.
+    """
+    places = [m.end() for m in re.finditer("[\n ]", text)]
+    ranges = [(0, 0)]
+    while ranges[-1][1] < len(text):
+        begin = max(ranges[-1][0] + 1, ranges[-1][1] - overlap) if ranges[-1][1] else 0
+        limit = begin + size
+        reached = bisect_right(places, limit) - 1
+        natural = places[reached] if reached >= 0 else 0
+        cut = natural if natural - begin > size // 2 + 1 else limit
+        ranges.append((begin, len(text) if limit >= len(text) else cut))
+    return ranges[1:]
+
+
 def _cut_long(size: int, overlap: int):
     """Arrow UDF cutting texts longer than one chunk.
 
@@ -27,29 +48,14 @@ def _cut_long(size: int, overlap: int):
     lies in its second half; every longer separator ends in one of these two.
     """
 
+    def trimmed(text: str) -> list[dict]:
+        found = ((begin, text[begin:end]) for begin, end in _ranges(text, size, overlap))
+        lefts = ((begin + len(raw) - len(raw.lstrip()), raw.strip()) for begin, raw in found)
+        return [{"text": value, "start_char": at, "end_char": at + len(value)} for at, value in lefts if value]
+
     @F.pandas_udf(_PIECES)
     def cut(texts: pd.Series) -> pd.Series:
-        def pieces(text):
-            if text is None:
-                return None
-            out, start, n = [], 0, len(text)
-            while start < n:
-                end = min(start + size, n)
-                if end < n:
-                    boundary = max(text.rfind(mark, start, end) for mark in "\n ")
-                    if boundary > start + size // 2:
-                        end = boundary + 1
-                raw = text[start:end]
-                value = raw.strip()
-                if value:
-                    left = start + len(raw) - len(raw.lstrip())
-                    out.append({"text": value, "start_char": left, "end_char": left + len(value)})
-                if end == n:
-                    break
-                start = max(start + 1, end - overlap)
-            return out
-
-        return texts.map(pieces)
+        return texts.map(trimmed, na_action="ignore")
 
     return cut
 

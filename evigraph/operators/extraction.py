@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.functions.scalars import ascii_name, clamp01, normalize_name
+from evigraph.sources.corpus import strip
 
 # The grammar, the heuristics and the sentence patterns.
 WORD = r"\p{L}\p{N}_"
@@ -24,7 +25,6 @@ SKILL = r"(?iU)\b(?:" + "|".join(s.replace(".", r"\.") for s in SKILLS) + r")\b"
 PHRASE = (
     r"(?U)\b(?:[A-Z][A-Za-zÀ-ÿ0-9&+./'-]*|[A-Z]{2,})(?:\s+(?:[A-Z][A-Za-zÀ-ÿ0-9&+./'-]*|[A-Z]{2,})){1,5}\b"
 )
-PHRASE_STOP = 24
 NAME_PART = r"[A-Z][A-Za-z0-9&' -]{1,79}?"
 SENTENCES = (
     ("WORKS_AT", "works at", NAME_PART, "Person", "Organization"),
@@ -47,7 +47,7 @@ def _groups(text: Column, pattern: str, *groups: tuple[str, int]) -> Column:
 def grammar_entities(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``Name [Type]`` mentions, one per normalised (name, type); the last spelling wins."""
     hits = docs.select(*keys, F.posexplode(_groups(F.col(text), ENTITY_GRAMMAR, ("name", 1), ("type", 2))).alias("position", "m"))
-    hits = hits.select(*keys, "position", F.trim("m.name").alias("name"), F.col("m.type").alias("type"))
+    hits = hits.select(*keys, "position", strip(F.col("m.name")).alias("name"), F.col("m.type").alias("type"))
     return (
         hits.groupBy(*keys, ascii_name(F.col("name")).alias("norm_name"), ascii_name(F.col("type")).alias("norm_type"))
         .agg(F.max_by(F.struct("name", "type"), "position").alias("m"), F.min("position").alias("position"))
@@ -60,7 +60,7 @@ def grammar_relations(docs: DataFrame, keys: list[str], text: str = "text") -> D
     hits = docs.select(*keys, F.posexplode(
         _groups(F.col(text), RELATION_GRAMMAR, ("source", 1), ("type", 2), ("target", 3))).alias("position", "m"))
     return hits.select(
-        *keys, F.trim("m.source").alias("source"), F.col("m.type").alias("type"), F.trim("m.target").alias("target"),
+        *keys, strip(F.col("m.source")).alias("source"), F.col("m.type").alias("type"), strip(F.col("m.target")).alias("target"),
         F.lit(1.0).alias("confidence"), "position")
 
 
@@ -100,12 +100,12 @@ def _fold_latin(name: Column) -> Column:
     return F.replace(F.lower(name), F.lit("ß"), F.lit("ss"))
 
 
-def heuristic_entities(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+def heuristic_entities(docs: DataFrame, keys: list[str], text: str = "text", phrase_stop: int | None = None) -> DataFrame:
     """Contacts, skills and capitalised phrases of texts without typed entities.
 
     Works on arrays inside the row of the text, so nothing is shuffled. Phrases
-    are taken until the number of entities reaches the stop, which is tested
-    after each accepted phrase.
+    are taken until the number of entities reaches ``phrase_stop`` (None: all),
+    which is tested after each accepted phrase.
     """
     body = F.col(text)
     typed = F.regexp_like(body, F.lit(ENTITY_GRAMMAR))
@@ -126,7 +126,9 @@ def heuristic_entities(docs: DataFrame, keys: list[str], text: str = "text") ->
         "_abilities", last_of("_skills", lambda v: ascii_name(v)))
     base = F.size("_contacts") + F.size("_abilities")
     folded = F.transform("_phrases", _fold_latin)
-    taken = F.slice(F.array_distinct(folded), F.lit(1), F.greatest(F.lit(1), F.lit(PHRASE_STOP) - base))
+    taken = F.array_distinct(folded)
+    if phrase_stop is not None:
+        taken = F.slice(taken, F.lit(1), F.greatest(F.lit(1), F.lit(phrase_stop) - base))
     named = F.transform(taken, lambda k: F.struct(
         F.element_at(F.col("_phrases"), F.array_position(folded, k).cast("int")).alias("name"), k.alias("norm_name")))
 
@@ -152,7 +154,7 @@ def _text_of(item: Column, *fields: str) -> Column:
     for f in fields:
         raw = F.try_variant_get(item, f"$.{f}", "variant")
         value = F.when(F.schema_of_variant(raw) == "STRING", F.try_variant_get(item, f"$.{f}", "string"))
-        picks.append(F.when(F.trim(value) != "", value))
+        picks.append(F.when(strip(value) != "", value))
     return F.coalesce(*picks)
 
 
@@ -164,7 +166,7 @@ def _confidence_of(item: Column) -> Column:
 
 def payload_object(content: Column) -> Column:
     """The JSON object in a stored answer: fences removed, else the outermost braces."""
-    bare = F.trim(content)
+    bare = strip(content)
     bare = F.when(bare.startswith("```"), F.regexp_replace(F.regexp_replace(bare, r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")).otherwise(bare)
     return F.coalesce(F.try_parse_json(bare), F.try_parse_json(F.regexp_extract(bare, r"(?s)\{.*\}", 0)))
 

@@ -232,6 +232,8 @@ def supersession_roots(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         before, moving = moving, state.filter("_moved").count()
         if moving in (0, before):
             break
+    else:
+        raise RuntimeError(f"{moving} items still move after {max_rounds} rounds")
     return state.select("item", F.when(~F.col("_moved"), F.col("to")).alias("final"), F.col("_moved").alias("cycle"),
                         F.when(~F.col("_moved"), F.col("hops")).alias("hops"))
 
@@ -292,7 +294,7 @@ def _cover_density(words: pd.Series, wanted: pd.Series) -> pd.Series:
 
 def search(
     queries: DataFrame, episodes: DataFrame, outcomes: DataFrame, pattern_rows: DataFrame, attempts: DataFrame,
-    limit: int = 25, include_inactive: bool = False,
+    limit: int = 25, include_inactive: bool = False, fallback_words: int | None = None,
 ) -> DataFrame:
     """Ranked episodes per query with pattern, lesson and last successful action.
 
@@ -329,12 +331,12 @@ def search(
     strict = found.withColumn("score", rank + bonus).select(
         "query_id", "id", "created_at", "score", "pattern_key", "pattern_confidence", "promoted", "lesson")
 
-    # Queries without a strict hit look for any of their first five words as a substring.
+    # Queries without a strict hit look for any of their (first ``fallback_words``) words as a substring.
     # The query table is user input; its words become one expression over each episode.
     text = F.lower(F.concat_ws("\n", "title", "goal", "problem_signature"))
     marks = []
     for r in queries.select("query_id", F.lower("q").alias("q")).collect():
-        parts = [w for w in r["q"].split() if len(w) > 1][:5]
+        parts = [w for w in r["q"].split() if len(w) > 1][:fallback_words]
         if parts:
             hit = reduce(lambda x, y: x | y, [F.contains(F.col("_text"), F.lit(w)) for w in parts])
             marks.append(F.when(hit, F.lit(r["query_id"])))

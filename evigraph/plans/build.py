@@ -66,14 +66,14 @@ UNION ALL
 SELECT doc_id, 'Skill', norm FROM (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '(?i)\b(?:FastAPI|Next\.js|PostgreSQL|Docker|Python|Machine Learning|LLM|OCR|MinIO|Electron|GitHub Actions|Neo4j|Qdrant|React|TypeScript)\b'))) AS norm FROM documents
  WHERE NOT regexp_matches(text, '[A-Z][\p{L}\p{N}_ .&''-]*?\s*\[([A-Za-z][\p{L}\p{N}_-]*)\]')) s""")
 def g4_contacts(spark: SparkSession, sf: str) -> DataFrame:
-    found = E.heuristic_entities(spread(Inputs(spark, sf).documents.select("doc_id", "text")), ["doc_id"])
+    found = E.heuristic_entities(spread(Inputs(spark, sf).documents.select("doc_id", "text")), ["doc_id"], phrase_stop=24)
     return found.filter("type <> 'Entity'").select("doc_id", "type", "norm_name")
 
 
 @query("g4_heuristic_entities")
 def g4(spark: SparkSession, sf: str) -> DataFrame:
     # No SQL check: word boundaries over accented letters differ in the check engine; a unit test covers it.
-    return E.heuristic_entities(spread(Inputs(spark, sf).documents.select("doc_id", "text")), ["doc_id"])
+    return E.heuristic_entities(spread(Inputs(spark, sf).documents.select("doc_id", "text")), ["doc_id"], phrase_stop=24)
 
 
 @query("g5_sentence_relations", r"""

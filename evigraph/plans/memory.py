@@ -132,7 +132,7 @@ def searched(spark: SparkSession, sf: str) -> DataFrame:
     t = Inputs(spark, sf)
     out = keyed(t)
     asked = spark.createDataFrame(ASKED, "query_id string, q string, environment string")
-    return Mm.search(asked, t.m_episodes, out, Mm.patterns(out), sequenced_attempts(t))
+    return Mm.search(asked, t.m_episodes, out, Mm.patterns(out), sequenced_attempts(t), fallback_words=5)
 
 
 @query("am5_am6_search", oracle(SEARCH_SQL, *MEM, **PATTERN_CTES))

@@ -40,7 +40,7 @@ def reject_reason(filename: Column, mime: Column, content: Column) -> Column:
         allowed = allowed | ((extension == ext) & kind.isin(*types))
     is_pdf = extension == ".pdf"
     text = F.try_validate_utf8(content)
-    start = F.lower(F.ltrim(F.left(F.coalesce(text, F.lit("")), F.lit(8192))))
+    start = F.lower(F.left(F.ltrim(F.coalesce(text, F.lit(""))), F.lit(64)))
     html_ok = F.lit(False)
     for prefix in HTML_STARTS:
         html_ok = html_ok | start.startswith(prefix)
@@ -127,7 +127,7 @@ def plain_text(text: Column) -> Column:
 
 def csv_delimiter(text: Column) -> Column:
     """Most frequent candidate delimiter of the first line, comma first on ties."""
-    head = F.element_at(F.split(text, "\r?\n"), 1)
+    head = F.element_at(F.split(F.regexp_replace(text, '"[^"]*+"', ""), "\r?\n"), 1)  # marks inside quotes do not count
     best, best_n = F.lit(","), F.lit(0)
     for mark in CSV_DELIMITERS:
         n = F.length(head) - F.length(F.replace(head, F.lit(mark), F.lit("")))
@@ -138,7 +138,8 @@ def csv_delimiter(text: Column) -> Column:
 def _csv_fields(line: Column, mark: Column) -> Column:
     """Fields of one record; quoted fields may hold the delimiter, line ends and doubled quotes."""
     safe = F.when(mark == "|", F.lit("\\|")).otherwise(mark)
-    pattern = F.concat(safe, F.lit('("[^"]*(?:""[^"]*)*"|[^"'), safe, F.lit("]*)"))
+    # possessive: a plain repetition of a group recurses, and a long quoted cell overflows the stack
+    pattern = F.concat(safe, F.lit('("[^"]*+(?:""[^"]*+)*+"|[^"'), safe, F.lit("]*+)"))
     raw = F.regexp_extract_all(F.concat(mark, line), pattern, F.lit(1))
     return F.transform(raw, lambda f: strip(
         F.when(f.startswith('"'), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)))
@@ -151,7 +152,7 @@ def csv_records(documents: DataFrame, doc_id: str = "document_id", text: str = "
     records keep the columns they fill.
     """
     body = F.replace(F.regexp_replace(F.col(text), "^﻿", ""), F.lit("\r\n"), F.lit("\n"))
-    records = F.regexp_extract_all(body, F.lit(r'([^"\n]*(?:"[^"]*"[^"\n]*)*)'), F.lit(1))
+    records = F.regexp_extract_all(body, F.lit(r'([^"\n]*+(?:"[^"]*+"[^"\n]*+)*+)'), F.lit(1))
     rows = documents.select(doc_id, csv_delimiter(F.col(text)).alias("_mark"), records.alias("_records"))
     cells = rows.withColumn(
         "_rows", F.filter(F.transform("_records", lambda r: _csv_fields(r, F.col("_mark"))),
@@ -182,7 +183,8 @@ def json_type(variant: Column) -> Column:
 
 def json_records(documents: DataFrame, doc_id: str = "document_id", text: str = "text") -> DataFrame:
     """One segment per item of a top-level array, else one for the whole value; keys come sorted."""
-    parsed = documents.select(doc_id, F.try_parse_json(F.regexp_replace(F.col(text), "^﻿", "")).alias("_doc")).filter("_doc IS NOT NULL")
+    bare = F.regexp_replace(F.col(text), "^﻿", "")
+    parsed = documents.select(doc_id, F.when(json_valid(bare), F.try_parse_json(bare)).alias("_doc")).filter("_doc IS NOT NULL")
     parsed = parsed.withColumn("root_type", json_type(F.col("_doc")))
     items = F.when(F.col("root_type") == "array", F.try_variant_get("_doc", "$", "array<variant>")).otherwise(F.array("_doc"))
     out = parsed.select(doc_id, "root_type", F.posexplode(items).alias("_pos", "_item"))

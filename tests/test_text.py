@@ -79,9 +79,11 @@ def test_heuristic_entities_against_python(spark):
         "Typed Thing [Company] and Other Name",
     ]
     docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    got = {}
-    for r in E.heuristic_entities(docs, ["i"]).collect():
+    got, unstopped = {}, {}
+    for r in E.heuristic_entities(docs, ["i"], phrase_stop=24).collect():
         got.setdefault(r.i, set()).add((r.norm_name, r.type))
+    for r in E.heuristic_entities(docs, ["i"]).collect():
+        unstopped.setdefault(r.i, set()).add((r.norm_name, r.type))
     assert 3 not in got
     for i, text in enumerate(texts[:3]):
         base = {(m.lower(), "Contact") for m in re.findall(r"[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}", text)}
@@ -89,6 +91,7 @@ def test_heuristic_entities_against_python(spark):
         names = [" ".join(m.group(0).split()).casefold() for m in phrase.finditer(text)]
         ordered = list(dict.fromkeys(n for n in names if 4 <= len(n) <= 80))
         assert got.get(i, set()) == base | {(n, "Entity") for n in ordered[: max(1, 24 - len(base))]}
+        assert unstopped.get(i, set()) == base | {(n, "Entity") for n in ordered}
 
 
 def test_redact_nested_json(spark):
@@ -129,3 +132,29 @@ def test_admission_reasons(spark):
         ("a" * 260 + ".txt", "text/plain", b"hi", "filename exceeds 255 characters"), ("a.csv", "text/html", b"x", "MIME type does not match extension")]
     df = spark.createDataFrame([c[:3] for c in cases], "f string, m string, c binary")
     assert [r[0] for r in df.select(S.reject_reason(F.col("f"), F.col("m"), F.col("c"))).collect()] == [c[3] for c in cases]
+
+
+def test_redact_json_bad_rows_and_lists(spark):
+    rows = ['["password=abc", [1, "x secret: y"], {"deep": {"token": 5, "l": ["pwd=1"]}}]', "not json", None, '"pwd=q"']
+    got = [r.o for r in spark.createDataFrame([(i, d) for i, d in enumerate(rows)], "i int, d string").orderBy("i").select(X.redact_json("d").alias("o")).collect()]
+    assert json.loads(got[0]) == ["password=[REDACTED]", [1, "x secret: [REDACTED]"], {"deep": {"token": "[REDACTED]", "l": ["pwd=[REDACTED]"]}}]
+    assert got[1] is None and got[2] is None and json.loads(got[3]) == "pwd=[REDACTED]"
+
+
+def test_long_quoted_csv_cells(spark):
+    cell = 'a ""quoted"" word, ' * 60_000
+    wide = ",".join(f'"c{i}"' for i in range(5000))
+    docs = spark.createDataFrame([("d", f'x,y\n"{cell}",2\n'), ("w", f"{wide}\n{wide}\n"), ("s", '"a,x,y";b\n1;2')], "document_id string, text string")
+    got = {(r.document_id, r.record_number): r for r in S.csv_records(docs).collect()}
+    assert got["d", 1]["values"]["x"] == cell.replace('""', '"').strip() and got["d", 1]["values"]["y"] == "2"
+    assert len(got["w", 1]["columns"]) == 5000 and got["s", 1]["values"] == {"a,x,y": "1", "b": "2"}
+
+
+def test_json_with_a_tail_is_refused(spark):
+    docs = spark.createDataFrame([("a", '{"b":1,"a":2} garbage'), ("b", '{"b":1}')], "document_id string, text string")
+    assert [r.document_id for r in S.json_records(docs).collect()] == ["b"]
+
+
+def test_grammar_endpoints_are_stripped(spark):
+    docs = spark.createDataFrame([(1, "\tAlice -> KNOWS -> Bob\t\r\n")], "i int, text string")
+    assert [(r.source, r.target) for r in E.grammar_relations(docs, ["i"]).collect()] == [("Alice", "Bob")]
