@@ -25,10 +25,10 @@ def adjacency(relations: DataFrame) -> DataFrame:
 def citations(evidence: DataFrame, chunks: DataFrame, relations: DataFrame | None = None, limit: int = MAX_CITATIONS) -> DataFrame:
     """First ``limit`` cited quotes per relation in evidence-id order, with source location."""
     cited = evidence.filter(F.col("relation_id").isNotNull())
-    if relations is not None:
-        cited = cited.join(relations.select(F.col("id").alias("relation_id")), "relation_id", "left_semi")
-    first = top_n_per_group(
+    first = top_n_per_group(  # ranked before the semi join, so that the map tasks cut the list of a hot relation
         cited.select("id", "relation_id", "document_id", "chunk_id", "quote"), ["relation_id"], [F.col("id")], limit, "rank")
+    if relations is not None:
+        first = first.join(relations.select(F.col("id").alias("relation_id")), "relation_id", "left_semi")
     return first.join(chunks.select(F.col("id").alias("chunk_id"), "metadata"), "chunk_id").withColumn(
         "source_location", source_location(F.col("metadata"))).drop("metadata")
 
