@@ -44,18 +44,21 @@ class Collection:
             length += 1
             bwt, lcp = self._load()
             order = np.argsort(bwt, kind="stable")[np.count_nonzero(bwt == 0):]
-            fresh = np.zeros(len(bwt), bool)
-            fresh[rows] = True
-            new = np.flatnonzero(fresh[order])  # row m + k stands for the suffix that order[k] extends
-            who = who[np.searchsorted(rows, order[new])]
+            string_at = np.full(len(bwt), -1, np.int32)
+            string_at[rows] = who
+            string_at = string_at[order]  # row m + k stands for the suffix that order[k] extends
+            fresh = string_at >= 0
+            new = np.flatnonzero(fresh)
+            who = string_at[new]
             rows = new + self.m
             ended = self.lengths[who] == length
             symbol = np.zeros(len(who), np.uint8)
             inner = who[~ended]
             symbol[~ended] = self.text[self.starts[inner] + self.lengths[inner] - length - 1]
             # common prefixes change at the new rows and at the rows after them
-            touched = np.unique(np.concatenate([new, new[new + 1 < len(order)] + 1]))
-            touched = touched[touched > 0]
+            fresh[1:] |= fresh[:-1].copy()
+            fresh[:1] = False
+            touched = np.flatnonzero(fresh)
             low, high = order[touched - 1], order[touched]
             same = bwt[low] == bwt[high]
             prefix = np.zeros(len(touched), np.uint8)

@@ -31,23 +31,27 @@ unchanged; empty in, empty out.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm.bwt import Collection
-from evigraph.llm.common import written
+from evigraph.llm.common import discard, written
 
 LENGTH = 50
 SEED = 16
 NO_ID = (1 << 63) - 1
 FLUSH_GRAMS = 4_000_000
 FLUSH_SEGMENTS = 100_000
-COLLECTION_BYTES = 400_000
+COLLECTION_BYTES = 600_000
+ROUNDS = 4
 
 _SYMBOLS = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -145,7 +149,10 @@ def match_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield settle(keys, docs, kinds)
 
 
-CUT_FIELDS = "row long, doc long, starts array<int>, k1s array<long>, k2s array<int>, gram long, at int, content binary, least long, most long, k1 long, k2 int"
+CUT_FIELDS = "row long, doc long, starts array<int>, k1s array<long>, k2s array<int>, at int, content binary, least long, most long"
+CUT_SCHEMA = pa.schema([
+    ("row", pa.int64()), ("doc", pa.int64()), ("starts", pa.list_(pa.int32())), ("k1s", pa.list_(pa.int64())), ("k2s", pa.list_(pa.int32())),
+    ("at", pa.int32()), ("content", pa.binary()), ("least", pa.int64()), ("most", pa.int64())])
 
 
 def _content_key(content: bytes) -> tuple[int, int]:
@@ -153,40 +160,48 @@ def _content_key(content: bytes) -> tuple[int, int]:
     return (h & 0xFFFFFFFFFFFFFFFF) - (1 << 63), (h >> 64) & 0x7FFFFFFF
 
 
-def cut_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document a row with the starts and keys of its shared segments; per distinct segment of the task a row with its bytes and least and largest document."""
-    names = [f.split()[0] for f in CUT_FIELDS.split(", ")]
     known: dict[bytes, list] = {}
 
-    def flush() -> pd.DataFrame:
-        rows = [(None, None, None, None, None, g, at, c, lo, hi, k1, k2) for c, (g, at, lo, hi, k1, k2) in known.items()]
+    def rows_of(**columns: list) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in CUT_SCHEMA], schema=CUT_SCHEMA)
+
+    def flush() -> pa.RecordBatch:
+        at, least, most, _, _ = zip(*known.values()) if known else ((), (), (), (), ())
+        out = rows_of(content=list(known), at=at, least=least, most=most)
         known.clear()
-        return pd.DataFrame(rows, columns=names, dtype=object)
+        return out
 
     for batch in batches:
-        rows = []
-        for row, doc, text, grams in zip(batch["row"], batch["doc"], batch["text"], batch["grams"]):
+        rows, docs, all_starts, all_k1, all_k2 = [], [], [], [], []
+        for row, doc, text, grams in zip(batch["row"].to_pylist(), batch["doc"].to_pylist(), batch["text"].to_pylist(), batch["grams"]):
             data = text.encode("utf-8", "surrogatepass")
             gram, place, first, last = segments(data)
-            shared = np.isin(gram, np.asarray(grams, np.int64))
-            starts, k1s, k2s = [], [], []
-            for g, p, s, e in zip(gram[shared].tolist(), place[shared].tolist(), first[shared].tolist(), last[shared].tolist()):
-                content = data[s:e + LENGTH]
+            shared = np.isin(gram, grams.values.to_numpy())
+            if not shared.any():
+                continue
+            starts, k1, k2 = first[shared], [], []
+            for s, e, at in zip(starts.tolist(), (last[shared] + LENGTH).tolist(), (place - first)[shared].tolist()):
+                content = data[s:e]
                 seen = known.get(content)
                 if seen is None:
-                    seen = known[content] = [g, p - s, doc, doc, *_content_key(content)]
-                elif doc < seen[2]:
+                    seen = known[content] = [at, doc, doc, *_content_key(content)]
+                elif doc < seen[1]:
+                    seen[1] = doc
+                elif doc > seen[2]:
                     seen[2] = doc
-                elif doc > seen[3]:
-                    seen[3] = doc
-                starts.append(s)
-                k1s.append(seen[4])
-                k2s.append(seen[5])
-            if starts:
-                rows.append((row, doc, starts, k1s, k2s, None, None, None, None, None, None, None))
+                k1.append(seen[3])
+                k2.append(seen[4])
+            rows.append(row)
+            docs.append(doc)
+            all_starts.append(starts.astype(np.int32))
+            all_k1.append(k1)
+            all_k2.append(k2)
             if len(known) >= FLUSH_SEGMENTS:
                 yield flush()
-        yield pd.DataFrame(rows, columns=names, dtype=object)
+        yield rows_of(row=rows, doc=docs, starts=all_starts, k1s=all_k1, k2s=all_k2)
     yield flush()
 
 
@@ -215,7 +230,7 @@ OWNER_FIELDS = "k1 long, k2 int, ends array<int>, owners array<long>"
 
 
 def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Owners of the windows of the segments, rows sorted by gram; collections end between grams."""
+    """Owners of the windows of the segments (only where a document can lose one), rows sorted by gram; collections end between grams."""
     half = (LENGTH - SEED) // 2
     held: dict[bytes, list] = {}
     waiting: list[tuple[bytes, list]] = []
@@ -223,47 +238,44 @@ def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     out: list[tuple] = []
 
     def judge() -> None:
-        """One owner for segments by themselves; the others as one collection."""
         nonlocal size
-        strings = [c for c, _ in waiting]
-        least = np.array([x[2] for _, x in waiting], np.int64)
-        for (content, (_, at, lo, hi, k1, k2)), (ends, who) in zip(waiting, owners(strings, least) if strings else []):
-            if hi > min(who):
-                out.append((k1, k2, ends, who))
+        if waiting:
+            least = np.array([x[1] for _, x in waiting], np.int64)
+            for (content, x), (ends, who) in zip(waiting, owners([c for c, _ in waiting], least)):
+                if x[2] > min(who):
+                    out.append((*_content_key(content), ends, who))
         waiting.clear()
         size = 0
 
     def close_gram() -> None:
         nonlocal size
-        left: dict[bytes, int] = {}
-        right: dict[bytes, int] = {}
         sides = []
-        for content, x in held.items():
-            at = x[1]
-            # a shared window holds half of the reach before the gram or half of it (rounded up) behind
-            a = content[at - half:at + SEED] if at >= half else None
-            b = content[at:at + SEED + half] if len(content) >= at + SEED + half else None
-            sides.append((a, b))
-            left[a] = left.get(a, 0) + 1
-            right[b] = right.get(b, 0) + 1
-        for (content, x), (a, b) in zip(held.items(), sides):
-            if x[2] < x[3] or a is not None and left[a] > 1 or b is not None and right[b] > 1:
+        if len(held) > 1:
+            # a window that two different segments share holds the half reach before the gram or the half reach behind it
+            sides = [(c[at - half:at + SEED] if at >= half else None, c[at:at + SEED + half] if len(c) >= at + SEED + half else None)
+                     for c, (at, _, _) in held.items()]
+        left, right = Counter(a for a, _ in sides), Counter(b for _, b in sides)
+        for n, (content, x) in enumerate(held.items()):
+            if sides and (sides[n][0] is not None and left[sides[n][0]] > 1 or sides[n][1] is not None and right[sides[n][1]] > 1):
                 waiting.append((content, x))
                 size += len(content)
+            elif x[1] < x[2]:
+                out.append((*_content_key(content), [len(content) - LENGTH + 1], [x[1]]))
         held.clear()
 
     for batch in batches:
-        for g, at, content, lo, hi, k1, k2 in zip(*(batch[c].tolist() for c in ("gram", "at", "content", "least", "most", "k1", "k2"))):
-            if g != current:
+        for at, content, lo, hi in zip(*(batch[c].tolist() for c in ("at", "content", "least", "most"))):
+            gram = content[at:at + SEED]
+            if gram != current:
                 close_gram()
-                current = g
+                current = gram
                 if size >= COLLECTION_BYTES:
                     judge()
             seen = held.get(content)
             if seen is None:
-                held[content] = [g, at, lo, hi, k1, k2]
+                held[content] = [at, lo, hi]
             else:
-                seen[2], seen[3] = min(seen[2], lo), max(seen[3], hi)
+                seen[1], seen[2] = min(seen[1], lo), max(seen[2], hi)
         yield pd.DataFrame(out, columns=["k1", "k2", "ends", "owners"])
         out = []
     close_gram()
@@ -279,10 +291,14 @@ def lost_spans(docs: DataFrame) -> DataFrame:
     dealt = found.repartition(place).sortWithinPartitions("gram")
     shared = written(dealt.mapInPandas(match_grams, "doc long, gram long"))
     per_doc = shared.groupBy("doc").agg(F.collect_set("gram").alias("grams")).withColumnRenamed("doc", "of")
-    cut = written(rows.join(per_doc, F.col("doc") == F.col("of")).select("row", "doc", "text", "grams").mapInPandas(cut_segments, CUT_FIELDS))
-    contents = cut.where(F.col("gram").isNotNull()).select("gram", "at", "content", "least", "most", "k1", "k2")
-    owned = written(contents.repartition("gram").sortWithinPartitions("gram").mapInPandas(decide, OWNER_FIELDS))
-    pieces = cut.where(F.col("row").isNotNull()).select("row", "doc", F.explode(F.arrays_zip("starts", "k1s", "k2s")).alias("p")).select(
+    cut = written(rows.join(per_doc, F.col("doc") == F.col("of")).select("row", "doc", "text", "grams").mapInArrow(cut_segments, CUT_FIELDS))
+    discard(shared)
+    gram = F.expr(f"substring(content, at + 1, {SEED})")
+    contents = cut.where(F.col("content").isNotNull()).select("at", "content", "least", "most", gram.alias("gram"))
+    parts = [written(contents.where(F.pmod(F.xxhash64(F.lit(1), "gram"), F.lit(ROUNDS)) == k).repartition("gram").sortWithinPartitions("gram").mapInPandas(decide, OWNER_FIELDS))
+             for k in range(ROUNDS)]  # all grams, a part of them at a time: the shuffle files of a round go when it ends
+    owned = reduce(DataFrame.union, parts)
+    pieces = cut.where(F.col("starts").isNotNull()).select("row", "doc", F.explode(F.arrays_zip("starts", "k1s", "k2s")).alias("p")).select(
         "row", "doc", F.col("p.starts").alias("start"), F.col("p.k1s").alias("k1"), F.col("p.k2s").alias("k2"))
     joined = pieces.join(owned, ["k1", "k2"])
     begin = F.transform("ends", lambda e, i: F.when(i == 0, F.lit(0)).otherwise(F.get("ends", i - 1)))
@@ -290,7 +306,10 @@ def lost_spans(docs: DataFrame) -> DataFrame:
         F.filter(F.arrays_zip(begin.alias("b"), F.col("ends"), F.col("owners")), lambda r: r["owners"] < F.col("doc")),
         lambda r: F.struct((F.col("start") + r["b"]).alias("begin"), (F.col("start") + r["ends"] + (LENGTH - 1)).alias("end")))
     lost = joined.select("row", F.explode(spans).alias("span"))
-    return lost.groupBy("row").agg(F.collect_set("span").alias("spans"))
+    out = written(lost.groupBy("row").agg(F.collect_set("span").alias("spans")))
+    for table in (cut, *parts):
+        discard(table)
+    return out
 
 
 def row_key() -> Column:
@@ -328,6 +347,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     docs = docs.select("doc_id", "text")
-    lost = written(lost_spans(docs).withColumnRenamed("row", "of"))
+    lost = lost_spans(docs).withColumnRenamed("row", "of")
     joined = docs.withColumn("row", row_key()).join(lost, F.col("row") == F.col("of"), "left")
     return joined.select("doc_id", apply(F.coalesce("text", F.lit("")), F.col("spans.begin"), F.col("spans.end")).alias("r")).select("doc_id", "r.*")
