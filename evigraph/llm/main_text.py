@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from evigraph.llm.html_blocks import Block, leaf_blocks
 
-SAMPLE_PAGES = 150
+SAMPLE_PAGES, SAMPLE_CHARS = 150, 100_000
 SYNTHETIC_PAGES = 500
 PATH_SLOTS, WORD_SLOTS, FIGURES = 64, 32, 6
 INPUTS = PATH_SLOTS + WORD_SLOTS + FIGURES
@@ -293,10 +293,12 @@ def train(pages: list[str]) -> Labeller:
     return fit(examples)
 
 
-def sample_pages(pages: DataFrame, limit: int = SAMPLE_PAGES) -> list[str]:
-    """The html of at most ``limit`` pages, in hash order of their ids."""
-    rows = pages.where(F.col("html").isNotNull()).orderBy(F.xxhash64("page_id"), "page_id").limit(limit).select(F.substring("html", 1, 200_000).alias("html"))
-    return sorted(r["html"] for r in rows.collect())
+def sample_pages(pages: DataFrame, limit: int = SAMPLE_PAGES, max_chars: int = SAMPLE_CHARS) -> list[str]:
+    """The html of at most ``limit`` pages of at most ``max_chars`` code points, in hash order of their ids. Ids are chosen first, so only these pages travel."""
+    usable = pages.where(F.char_length("html") <= max_chars).where(F.col("page_id").isNotNull())
+    ids = [r["page_id"] for r in usable.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(limit).collect()]
+    rows = usable.where(F.col("page_id").isin(ids)).select("html").collect() if ids else []
+    return sorted({r["html"] for r in rows})[:limit]
 
 
 def main_texts(model: Labeller, pages: list[str]) -> list[str]:
