@@ -11,32 +11,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.session import cut_lineage
+from evigraph.llm.common import written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """(u, v), u > v: every neighbour of a node above it is hung on the node's smallest one."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")))
     return both.join(least, both["u"] == least["n"]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """(u, v), u > v: the neighbours of a node below it, and the node, are hung on the smallest one."""
-    least = cut_lineage(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m"))
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m"))
     hung = edges.join(least, edges["u"] == least["n"]).where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.union(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v); the component is its smallest node. Loops and repeats are allowed."""
-    state = cut_lineage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    state = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     before = None
     while True:
         figures = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(figures) == before:
             break
         before = tuple(figures)
-        state = cut_lineage(_small_star(cut_lineage(_large_star(state))))
+        state = written(_small_star(written(_large_star(state))))
     roots = state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -40,15 +40,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType
 
+from evigraph.llm.common import written
 from evigraph.llm.components import components
-from evigraph.session import cut_lineage
 
 WINDOW = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 SIEVE = 68  # equal coordinates of 128; 96 are expected at a similarity of 0.75, with a deviation of 4.9
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 200_000
 CHUNK = 1 << 15
 
 
@@ -141,17 +141,14 @@ def set_column(text: Column) -> Column:
     return sets_of(F.coalesce(text, F.lit("")))
 
 
-def full_set_column(text: Column) -> Column:
-    """The node and the sorted shingle hashes, as bytes, of a text."""
-
-    @F.pandas_udf("own binary, hashes binary")
-    def hashes(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
-        for batch in texts:
-            sets = [shingles(t, known).tobytes() for t in batch]
-            yield pd.DataFrame({"own": [hashlib.blake2b(x, digest_size=16).digest() for x in sets], "hashes": sets}, dtype=object)
-
-    return hashes(F.coalesce(text, F.lit("")))
+def full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, sorted shingle hashes as bytes) of the texts whose set is that of their node."""
+    known = WordHashes()
+    for batch in batches:
+        sets = [shingles(t, known).tobytes() for t in batch["text"]]
+        own = [hashlib.blake2b(x, digest_size=16).digest() for x in sets]
+        rows = [(node, x) for node, o, x in zip(batch["node"], own, sets) if bytes(node) == o]
+        yield pd.DataFrame(rows, columns=["node", "hashes"], dtype=object)
 
 
 @F.pandas_udf(IntegerType())
@@ -182,7 +179,7 @@ def similar(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def describe(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, node, bands, sketch of every document, written once."""
-    return cut_lineage(docs.select("doc_id", set_column(F.col("text")).alias("s")).select("doc_id", "s.*"))
+    return written(docs.select("doc_id", set_column(F.col("text")).alias("s")).select("doc_id", "s.*"))
 
 
 def _led(buckets: DataFrame, leaders: DataFrame) -> DataFrame:
@@ -193,23 +190,23 @@ def _led(buckets: DataFrame, leaders: DataFrame) -> DataFrame:
 def _sieved(pairs: DataFrame, nodes: DataFrame, sieve: int) -> DataFrame:
     """The pairs whose sketches agree in at least ``sieve`` places."""
     sketches = nodes.select("node", "sketch")
-    first = cut_lineage(pairs).join(sketches.withColumnsRenamed({"node": "leader", "sketch": "left"}), "leader")
-    return cut_lineage(first.join(sketches, "node").where(equal_bytes("left", "sketch") >= sieve).select("leader", "node"))
+    first = written(pairs).join(sketches.withColumnsRenamed({"node": "leader", "sketch": "left"}), "leader")
+    return written(first.join(sketches, "node").where(equal_bytes("left", "sketch") >= sieve).select("leader", "node"))
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, hashes) of the ``wanted`` nodes, from the text of one document each."""
-    need = cut_lineage(nodes.join(wanted, "node", "left_semi").select("node", "rep"))
-    texts = docs.select("doc_id", "text").join(need, F.col("doc_id") == F.col("rep"))
-    got = texts.select("node", full_set_column(F.col("text")).alias("f")).where(F.col("node") == F.col("f.own"))
-    return cut_lineage(got.select("node", "f.hashes").dropDuplicates(["node"]))
+    need = written(nodes.join(wanted, "node", "left_semi").select("node", "rep"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(need, F.col("doc_id") == F.col("rep"))
+    # a map, not a column function: the optimiser would make that a join key and compute it for every text
+    return written(texts.select("node", "text").mapInPandas(full_sets, "node binary, hashes binary").dropDuplicates(["node"]))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) that reach the similarity on their full sets."""
     first = pairs.join(sets.withColumnsRenamed({"node": "leader", "hashes": "left"}), "leader")
     both = first.join(sets, "node").where(similar("left", "hashes"))
-    return cut_lineage(both.select(F.col("leader").alias("u"), F.col("node").alias("v")))
+    return written(both.select(F.col("leader").alias("u"), F.col("node").alias("v")))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -219,20 +216,20 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def linked_nodes(docs: DataFrame, described: DataFrame, sieve: int = SIEVE) -> DataFrame:
     """(node, component) of the nodes with a link."""
     known = described.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    nodes = cut_lineage(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    nodes = written(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    least = cut_lineage(rows.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    buckets = cut_lineage(rows.join(least, "bucket").where("node <> leader"))  # the first leaders are done with after this round
+    least = written(rows.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    buckets = written(rows.join(least, "bucket").where("node <> leader"))  # the first leaders are done with after this round
     pairs = _sieved(buckets.select("leader", "node").distinct(), nodes, sieve)
     sets = _full_sets(docs, nodes, _ends(pairs))
     links = _confirmed(pairs, sets)
-    labels = cut_lineage(components(links))
+    labels = written(components(links))
     buckets, width = buckets.select("bucket", "node"), 1
     while True:
         buckets = _unsettled(buckets, labels)
         if buckets.isEmpty():
             return labels
-        leaders = cut_lineage(_leaders(buckets, width))
+        leaders = written(_leaders(buckets, width))
         pairs = _sieved(_led(buckets, leaders), nodes, sieve)
         fresh = _ends(pairs).join(sets, "node", "left_anti")
         if not fresh.isEmpty():
@@ -240,16 +237,16 @@ def linked_nodes(docs: DataFrame, described: DataFrame, sieve: int = SIEVE) -> D
         more = _confirmed(pairs, sets)
         if not more.isEmpty():
             links = links.union(more)
-            labels = cut_lineage(components(links))
+            labels = written(components(links))
         led = leaders.select("bucket", F.col("leader").alias("node"))
         buckets, width = buckets.select("bucket", "node").join(led, ["bucket", "node"], "left_anti"), width * 4
 
 
 def _unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, node, component) of the buckets whose members lie in several components."""
-    held = cut_lineage(buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")))
-    several = cut_lineage(held.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket"))
-    return cut_lineage(held.join(several, "bucket"))
+    held = written(buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")))
+    several = written(held.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket"))
+    return written(held.join(several, "bucket"))
 
 
 def _leaders(rows: DataFrame, width: int) -> DataFrame:
@@ -257,7 +254,7 @@ def _leaders(rows: DataFrame, width: int) -> DataFrame:
 
     Spark cuts a bucket to ``width`` rows in every task before the shuffle of the window.
     """
-    sizes = cut_lineage(rows.groupBy("bucket", "component").agg(F.count("*").alias("n")))
+    sizes = written(rows.groupBy("bucket", "component").agg(F.count("*").alias("n")))
     ranked = rows.join(sizes, ["bucket", "component"]).withColumn(
         "rank", F.row_number().over(W.partitionBy("bucket").orderBy("n", "component", "node")))
     return ranked.where(F.col("rank") <= width).select("bucket", F.col("node").alias("leader"), F.col("component").alias("led"))
@@ -269,9 +266,9 @@ def duplicate_groups(docs: DataFrame, sieve: int = SIEVE) -> DataFrame:
     labels = linked_nodes(docs.select("doc_id", "text"), described, sieve)
     known = described.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     own = known.groupBy("node").agg(F.min("doc_id").alias("least"))
-    classed = cut_lineage(own.join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")))
-    smallest = cut_lineage(classed.groupBy("component").agg(F.min("least").alias("component_id")))
-    ids = cut_lineage(classed.join(smallest, "component").select(F.col("node").alias("of"), "component_id"))
+    classed = written(own.join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")))
+    smallest = written(classed.groupBy("component").agg(F.min("least").alias("component_id")))
+    ids = written(classed.join(smallest, "component").select(F.col("node").alias("of"), "component_id"))
     out = described.select("doc_id", "n_shingles", "node").join(ids, F.col("node") == F.col("of"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
@@ -280,5 +277,5 @@ def duplicate_groups(docs: DataFrame, sieve: int = SIEVE) -> DataFrame:
 
 def first_of_groups(docs: DataFrame, sieve: int = SIEVE) -> DataFrame:
     """``docs`` without the documents that are linked, over others, to one of a smaller id. Of rows with one id and text the repeats stay."""
-    gone = cut_lineage(duplicate_groups(docs, sieve).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct())
+    gone = written(duplicate_groups(docs, sieve).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct())
     return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
