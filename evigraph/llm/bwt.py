@@ -10,7 +10,6 @@ suffixes are ordered by their strings.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 import numpy as np
@@ -24,18 +23,29 @@ class Collection:
         self.lengths = np.fromiter(map(len, strings), np.int64, self.m)
         self.text = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        with tempfile.TemporaryDirectory(dir=folder) as place:
-            self.files = os.path.join(place, "bwt"), os.path.join(place, "lcp")
+        with tempfile.TemporaryFile(dir=folder, buffering=0) as bwt, tempfile.TemporaryFile(dir=folder, buffering=0) as lcp:
+            self.files, self.size = (bwt, lcp), 0
             self._store(self.text[self.starts + self.lengths - 1], np.zeros(self.m, np.uint8))
             self._insert_all()
             self.bwt, self.lcp = self._load()
+        del self.files
 
     def _store(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
-        for array, path in zip((bwt, lcp), self.files):
-            array.tofile(path)
+        self.size = len(bwt)
+        for array, file in zip((bwt, lcp), self.files):  # over the shorter arrays of the round before
+            file.seek(0)
+            view = memoryview(array)
+            while view:
+                view = view[file.write(view):]
 
     def _load(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.fromfile(path, np.uint8) for path in self.files)
+        out = np.empty(self.size, np.uint8), np.empty(self.size, np.uint8)
+        for array, file in zip(out, self.files):
+            file.seek(0)
+            view = memoryview(array)
+            while view:
+                view = view[file.readinto(view):]
+        return out
 
     def _insert_all(self) -> None:
         rows, who = np.arange(self.m), np.arange(self.m)  # of the suffixes of the last round, in row order

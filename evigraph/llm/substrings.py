@@ -155,9 +155,15 @@ CUT_SCHEMA = pa.schema([
     ("at", pa.int32()), ("content", pa.binary()), ("least", pa.int64()), ("most", pa.int64())])
 
 
+def _keys(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A long and an int of each 128-bit digest."""
+    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return both[:, 0], (both[:, 1] & 0x7FFFFFFF).astype(np.int32)
+
+
 def _content_key(content: bytes) -> tuple[int, int]:
-    h = xxhash.xxh3_128_intdigest(content)
-    return (h & 0xFFFFFFFFFFFFFFFF) - (1 << 63), (h >> 64) & 0x7FFFFFFF
+    k1, k2 = _keys([xxhash.xxh3_128_digest(content)])
+    return int(k1[0]), int(k2[0])
 
 
 def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +175,7 @@ def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in CUT_SCHEMA], schema=CUT_SCHEMA)
 
     def flush() -> pa.RecordBatch:
-        at, least, most, _, _ = zip(*known.values()) if known else ((), (), (), (), ())
+        at, least, most, _ = zip(*known.values()) if known else ((), (), (), ())
         out = rows_of(content=list(known), at=at, least=least, most=most)
         known.clear()
         return out
@@ -182,18 +188,18 @@ def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shared = np.isin(gram, grams.values.to_numpy())
             if not shared.any():
                 continue
-            starts, k1, k2 = first[shared], [], []
+            starts, digests = first[shared], []
             for s, e, at in zip(starts.tolist(), (last[shared] + LENGTH).tolist(), (place - first)[shared].tolist()):
                 content = data[s:e]
                 seen = known.get(content)
                 if seen is None:
-                    seen = known[content] = [at, doc, doc, *_content_key(content)]
+                    seen = known[content] = [at, doc, doc, xxhash.xxh3_128_digest(content)]
                 elif doc < seen[1]:
                     seen[1] = doc
                 elif doc > seen[2]:
                     seen[2] = doc
-                k1.append(seen[3])
-                k2.append(seen[4])
+                digests.append(seen[3])
+            k1, k2 = _keys(digests)
             rows.append(row)
             docs.append(doc)
             all_starts.append(starts.astype(np.int32))
