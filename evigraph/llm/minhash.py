@@ -46,6 +46,7 @@ from evigraph.llm.components import components
 WINDOW = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
+FIRST_BANDS = 3
 COORDINATES = BANDS * ROWS
 SIEVE = 68  # equal coordinates of 128; 96 are expected at a similarity of 0.75, with a deviation of 4.9
 KNOWN_WORDS = 200_000
@@ -184,7 +185,8 @@ def describe(docs: DataFrame) -> DataFrame:
 
 def _led(buckets: DataFrame, leaders: DataFrame) -> DataFrame:
     """Distinct (leader, node) of the members that share a bucket with a leader of another component."""
-    return buckets.join(leaders, "bucket").where((F.col("node") != F.col("leader")) & (F.col("component") != F.col("led"))).select("leader", "node").distinct()
+    return buckets.join(leaders, "bucket").where((F.col("node") != F.col("leader")) & (F.col("component") != F.col("led"))).select(
+        F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node")).distinct()
 
 
 def _sieved(pairs: DataFrame, nodes: DataFrame, sieve: int) -> DataFrame:
@@ -217,10 +219,11 @@ def linked_nodes(docs: DataFrame, described: DataFrame, sieve: int = SIEVE) -> D
     """(node, component) of the nodes with a link."""
     known = described.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     nodes = written(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
-    rows = nodes.select("node", F.explode("bands").alias("bucket"))
+    rows = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     least = written(rows.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    buckets = written(rows.join(least, "bucket").where("node <> leader"))  # the first leaders are done with after this round
-    pairs = _sieved(buckets.select("leader", "node").distinct(), nodes, sieve)
+    buckets = written(rows.join(least, "bucket"))
+    # a few bands join most copies; the other buckets then lie in one component and need no pairs
+    pairs = _sieved(buckets.where((F.col("band") < FIRST_BANDS) & (F.col("node") != F.col("leader"))).select("leader", "node").distinct(), nodes, sieve)
     sets = _full_sets(docs, nodes, _ends(pairs))
     links = _confirmed(pairs, sets)
     labels = written(components(links))
@@ -257,7 +260,8 @@ def _leaders(rows: DataFrame, width: int) -> DataFrame:
     sizes = written(rows.groupBy("bucket", "component").agg(F.count("*").alias("n")))
     ranked = rows.join(sizes, ["bucket", "component"]).withColumn(
         "rank", F.row_number().over(W.partitionBy("bucket").orderBy("n", "component", "node")))
-    return ranked.where(F.col("rank") <= width).select("bucket", F.col("node").alias("leader"), F.col("component").alias("led"))
+    small = sizes.groupBy("bucket").agg((F.sum("n") - F.max("n")).alias("small"))  # members of the largest component need not lead
+    return ranked.where(F.col("rank") <= width).join(small, "bucket").where(F.col("rank") <= F.col("small")).select("bucket", F.col("node").alias("leader"), F.col("component").alias("led"))
 
 
 def duplicate_groups(docs: DataFrame, sieve: int = SIEVE) -> DataFrame:
