@@ -18,6 +18,9 @@ suffix order, so the work is dealt out without losing a match:
    of one window; its owner is the least doc_id among them. Segments that
    cannot share a window with another one of their group (neither the bytes up
    to nor those from the middle of the reach around the gram agree) stay out.
+   A gram whose segments have more than GRAM_BYTES is dealt out instead: a
+   window lies at one place around its gram, so the owner of a window is a
+   plain minimum over the segments that hold it (``hot_owners``).
 4. The owners go back to the documents of a segment; windows with an owner
    smaller than the document are lost, overlaps are merged, and the remaining
    bytes are joined.
@@ -51,6 +54,7 @@ NO_ID = (1 << 63) - 1
 FLUSH_GRAMS = 4_000_000
 FLUSH_SEGMENTS = 100_000
 COLLECTION_BYTES = 600_000
+GRAM_BYTES = 2_400_000
 ROUNDS = 4
 
 _SYMBOLS = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -289,7 +293,55 @@ def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=["k1", "k2", "ends", "owners"])
 
 
-def lost_spans(docs: DataFrame) -> DataFrame:
+def hot_grams(contents: DataFrame, gram_bytes: int) -> DataFrame:
+    """Grams with segments of more than ``gram_bytes``: at most one for so many bytes of segments, so they can be sent to all tasks."""
+    return contents.groupBy("gram").agg(F.sum(F.length("content")).alias("n")).where(F.col("n") > gram_bytes).select("gram")
+
+
+def hot_owners(contents: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Owners as ``decide`` gives them, without a task that sees a whole gram, and the tables to discard after use.
+
+    A segment may have several rows: one for its own copies and one for windows
+    whose owner is smaller than all of these. The windows of a segment end at
+    least half the reach before the gram or begin behind that; they are compared
+    only if another segment has the same bytes on that side.
+    """
+    @F.pandas_udf("k1 long, k2 int")
+    def content_keys(contents: pd.Series) -> pd.DataFrame:
+        k1, k2 = _keys([xxhash.xxh3_128_digest(c) for c in contents])
+        return pd.DataFrame({"k1": k1, "k2": k2})
+
+    half = (LENGTH - SEED) // 2
+    merged_rows = contents.groupBy("at", "content").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    distinct = written(merged_rows.select(content_keys("content").alias("k"), "at", "content", "least", "most").select("k.*", "at", "content", "least", "most"))
+    last = F.length("content") - LENGTH
+    copies = distinct.where(F.col("least") < F.col("most")).select("k1", "k2", F.array(last + 1).alias("ends"), F.array("least").alias("owners"))
+
+    def side(begin: Column, low: Column, high: Column) -> Column:
+        return F.when(low <= high, F.struct(F.substring("content", begin + 1, F.lit(SEED + half)).alias("shared"), low.alias("low"), high.alias("high")))
+
+    at = F.col("at")
+    sides = F.array_compact(F.array(side(at - half, F.lit(0), F.least(at - half, last)), side(at, F.greatest(at - half + 1, F.lit(0)), last)))
+    sided = distinct.select("k1", "k2", "at", "content", "least", F.explode(sides).alias("s")).select(
+        "k1", "k2", "content", "least", "s.*", (F.col("s.high") > at - half).alias("behind"))
+    several = sided.groupBy("behind", "shared").agg(F.count("*").alias("n")).where("n > 1").select("behind", "shared")
+    kept = sided.join(several, ["behind", "shared"], "left_semi")
+    windows = written(kept.select("k1", "k2", "content", "least", F.explode(F.sequence("low", "high")).alias("begin")).select(
+        "k1", "k2", "least", "begin", F.substring("content", F.col("begin") + 1, F.lit(LENGTH)).alias("window")))
+    best = windows.groupBy("window").agg(F.min("least").alias("owner"), F.max("least").alias("top")).where("owner < top").select("window", "owner")
+    lost = windows.join(best, "window").where(F.col("owner") < F.col("least"))
+    runs = lost.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("begin", "owner"))).alias("w"))
+    next_to = lambda a, b: (a["begin"] + 1 == b["begin"]) & (a["owner"] == b["owner"])
+    firsts = F.filter("w", lambda x, i: ~F.coalesce(next_to(F.get("w", i - 1), x), F.lit(False)))
+    lasts = F.filter("w", lambda x, i: ~F.coalesce(next_to(x, F.get("w", i + 1)), F.lit(False)))
+    pairs = F.arrays_zip(firsts.alias("f"), lasts.alias("l"))
+    shared = runs.select(
+        "k1", "k2", F.flatten(F.transform(pairs, lambda r: F.array(r["f"]["begin"], r["l"]["begin"] + 1))).alias("ends"),
+        F.flatten(F.transform(pairs, lambda r: F.array(F.lit(NO_ID), r["l"]["owner"]))).alias("owners"))  # nobody owns what lies between runs
+    return written(copies.unionByName(shared)), [distinct, windows]
+
+
+def lost_spans(docs: DataFrame, gram_bytes: int = GRAM_BYTES) -> DataFrame:
     """(row, spans): the half-open byte spans, unordered and overlapping, that a row loses; row is a hash of id and text."""
     rows = docs.select(row_key().alias("row"), F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     found = rows.select("doc", "text").mapInPandas(find_grams, "doc long, gram long, kind int")
@@ -301,8 +353,16 @@ def lost_spans(docs: DataFrame) -> DataFrame:
     discard(shared)
     gram = F.expr(f"substring(content, at + 1, {SEED})")
     contents = cut.where(F.col("content").isNotNull()).select("at", "content", "least", "most", gram.alias("gram"))
-    parts = [written(contents.where(F.pmod(F.xxhash64(F.lit(1), "gram"), F.lit(ROUNDS)) == k).repartition("gram").sortWithinPartitions("gram").mapInPandas(decide, OWNER_FIELDS))
-             for k in range(ROUNDS)]  # all grams, a part of them at a time: the shuffle files of a round go when it ends
+    hot = written(hot_grams(contents, gram_bytes))
+    parts = []
+    if not hot.isEmpty():
+        own, used = hot_owners(contents.join(F.broadcast(hot), "gram", "left_semi"))
+        contents = contents.join(F.broadcast(hot), "gram", "left_anti")
+        parts.append(own)
+        for table in used:
+            discard(table)
+    parts += [written(contents.where(F.pmod(F.xxhash64(F.lit(1), "gram"), F.lit(ROUNDS)) == k).repartition("gram").sortWithinPartitions("gram").mapInPandas(decide, OWNER_FIELDS))
+              for k in range(ROUNDS)]  # all grams, a part of them at a time: the shuffle files of a round go when it ends
     owned = reduce(DataFrame.union, parts)
     pieces = cut.where(F.col("starts").isNotNull()).select("row", "doc", F.explode(F.arrays_zip("starts", "k1s", "k2s")).alias("p")).select(
         "row", "doc", F.col("p.starts").alias("start"), F.col("p.k1s").alias("k1"), F.col("p.k2s").alias("k2"))
@@ -313,7 +373,7 @@ def lost_spans(docs: DataFrame) -> DataFrame:
         lambda r: F.struct((F.col("start") + r["b"]).alias("begin"), (F.col("start") + r["ends"] + (LENGTH - 1)).alias("end")))
     lost = joined.select("row", F.explode(spans).alias("span"))
     out = written(lost.groupBy("row").agg(F.collect_set("span").alias("spans")))
-    for table in (cut, *parts):
+    for table in (cut, hot, *parts):
         discard(table)
     return out
 
@@ -340,8 +400,8 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every document."""
+def remove_repeats(docs: DataFrame, gram_bytes: int = GRAM_BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every document; ``gram_bytes`` bounds the segments of a gram in one task."""
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     def apply(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.DataFrame:
         rows = []
@@ -353,6 +413,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     docs = docs.select("doc_id", "text")
-    lost = lost_spans(docs).withColumnRenamed("row", "of")
+    lost = lost_spans(docs, gram_bytes).withColumnRenamed("row", "of")
     joined = docs.withColumn("row", row_key()).join(lost, F.col("row") == F.col("of"), "left")
     return joined.select("doc_id", apply(F.coalesce("text", F.lit("")), F.col("spans.begin"), F.col("spans.end")).alias("r")).select("doc_id", "r.*")

@@ -197,6 +197,19 @@ def test_repeated_strings(spark, odd_docs, no_docs):
     assert substrings.remove_repeats(no_docs).count() == 0
 
 
+def test_repeated_strings_of_hot_grams(spark):
+    rng = random.Random(13)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = noise(160)
+    cut = [passage, passage[:120], passage[40:], passage[:60] + noise(9) + passage[60:]]
+    rows = [(i, noise(rng.choice([0, 5, 20, 60])) + rng.choice(cut) + noise(rng.choice([0, 5, 60]))) for i in range(120)]
+    rows += [(300 + i, "ab" * 60 + noise(i)) for i in range(4)] + [(400, rows[0][1]), (400, rows[1][1]), (None, rows[2][1])]
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), sorted(plain_repeats(rows), key=repr)
+    for gram_bytes in (0, 1000):  # all grams, and the ones of the passage: no task holds more of one gram than that
+        got = substrings.remove_repeats(docs, gram_bytes=gram_bytes).drop("kept").collect()
+        assert sorted(map(tuple, got), key=repr) == want
+
+
 def test_repeated_strings_of_one_id_stay(spark):
     text = "this passage stands in two rows of the same document id and is longer than fifty bytes"
     docs = spark.createDataFrame([(1, text), (1, text + " more"), (2, "x" + text)], "doc_id long, text string")
