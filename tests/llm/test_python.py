@@ -227,6 +227,14 @@ def test_leaf_blocks():
     assert got == ["Home", "News", "Buy now", "Big & small", "First part goes on", "Café ’quoted’ 1 < 2", "one", "two", "tail", "© site"]
     assert html_blocks.leaf_blocks("") == [] and [b.text for b in html_blocks.leaf_blocks("plain <b>text")] == ["plain text"]
     assert [b.text for b in html_blocks.leaf_blocks("<p>a<script>never closed <p>b")] == ["a"]
+    for icon in ("<svg/>", '<svg class="i" viewBox="0 0 1 1" data-x="a>b"/>', "<SVG a='/' />", "<svg><path d='M0'/></svg>", "<math/>"):
+        got = html_blocks.leaf_blocks(f"<article><p>one {icon}two</p><p>three</p><svg>icon</svg><p>four</p></article>")
+        assert [b.text for b in got] == ["one two", "three", "four"]
+    page = "<p>a <math><mi>x</mi></math> b</p><p>c <noscript><img src=i></noscript>d <object>fallback</object> e</p><noscript><p>plain</noscript><div>f</div>"
+    got = html_blocks.leaf_blocks(page)
+    assert [b.text for b in got] == ["a x b", "c d", "fallback", "e", "plain", "f"]
+    assert [[n[0] for n in b.path] for b in got] == [["p"], ["p"], ["p", "object"], ["p"], ["noscript", "p"], ["div"]]
+    assert len(html_blocks.leaf_blocks("<svg " + 'a="b" ' * 5000 + ">x</svg><p>y")) == 1
     assert len(html_blocks.leaf_blocks("<p>x" * 3000 + '<a href="' + "y" * 100_000)) >= 3000
 
 
