@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from evigraph.functions.scalars import language_of, symbol_id, token_count
+from evigraph.operators.chunking import chunk_pieces
 
 # Fixed value: a line that opens a symbol.
 SYMBOL_LINE = r"^\s*(?:async\s+)?(def|function|fn|func|class|struct|interface|type)\s+([A-Za-z0-9_]+)"
@@ -35,19 +38,55 @@ def _file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def symbols(files: DataFrame, path: str = "file_path", code: str = "code") -> DataFrame:
+def _opened(lines: Column) -> Column:
+    """The lines that open a symbol: place, word, name, indentation and the line."""
+    part = lambda line, k: F.regexp_extract(line, SYMBOL_LINE, k)
+    found = F.transform(lines, lambda line, i: F.struct(
+        i.alias("at"), part(line, 1).alias("word"), part(line, 2).alias("name"),
+        F.length(F.regexp_extract(line, r"^\s*", 0)).alias("indent"), line.alias("line")))
+    return F.filter(found, lambda s: s["word"] != "")
+
+
+def _symbol_ends(n_lines: Column, max_lines: int | None) -> Column:
+    """Last line of each of ``_symbols``: before the next one of equal or lower indentation, else the file's last.
+
+    SYMBOL_LINES lines after the first belong to a symbol in any case; ``max_lines`` ends it so many lines after its first.
+    """
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def ends(places: pd.Series, indents: pd.Series, sizes: pd.Series) -> pd.Series:
+        rows = []
+        for at, indent, n in zip(places, indents, sizes):
+            if at is None:
+                rows.append(None)
+                continue
+            out, still_open = [n] * len(at), []
+            for k in range(len(at)):
+                while still_open and indent[still_open[-1]] >= indent[k]:
+                    out[still_open.pop()] = at[k]
+                still_open.append(k)
+            rows.append([int(x) for x in out])
+        return pd.Series(rows, dtype=object)
+
+    least = lambda s, lines: F.least(s["at"] + 1 + lines, n_lines)
+    if max_lines is not None:
+        return F.transform("_symbols", lambda s: least(s, max_lines))
+    own = ends(F.col("_symbols.at"), F.col("_symbols.indent"), n_lines)
+    return F.zip_with("_symbols", own, lambda s, end: F.greatest(end, least(s, SYMBOL_LINES)))
+
+
+def symbols(files: DataFrame, path: str = "file_path", code: str = "code", max_lines: int | None = None) -> DataFrame:
     """Symbols per file: kind, name, 1-based line range, signature, id and parent file id."""
-    p, lang = F.col(path), language_of(F.col(path))
+    lang = language_of(F.col(path))
     base = files.select(F.col(path).alias("file_path"), lang.alias("language"), lines_of(F.col(code)).alias("_lines"))
     base = base.withColumn("parent_id", symbol_id(F.col("language"), F.col("file_path"), _file_name(F.col("file_path")), F.lit("file")))
-    rows = base.select("file_path", "language", "parent_id", F.size("_lines").alias("_n"), F.posexplode("_lines").alias("_at", "_line"))
-    word = F.regexp_extract("_line", SYMBOL_LINE, 1)
-    found = rows.withColumn("_word", word).filter("_word <> ''").withColumn("name", F.regexp_extract("_line", SYMBOL_LINE, 2))
-    kind = F.when(F.col("_word").isin(*FUNCTION_WORDS), "function").otherwise("class")
+    base = base.select("file_path", "language", "parent_id", F.size("_lines").alias("_n"), _opened(F.col("_lines")).alias("_symbols"))
+    found = base.withColumn("_end", _symbol_ends(F.col("_n"), max_lines)).select(
+        "file_path", "language", "parent_id", F.explode(F.arrays_zip("_symbols", "_end")).alias("_r")).select(
+        "file_path", "language", "parent_id", "_r._symbols.*", F.col("_r._end").alias("_end"))
+    kind = F.when(F.col("word").isin(*FUNCTION_WORDS), "function").otherwise("class")
     return found.withColumn("kind", kind).select(
-        "file_path", "language", "name", "kind", (F.col("_at") + 1).cast("bigint").alias("start_line"),
-        F.least(F.col("_at") + 1 + SYMBOL_LINES, F.col("_n")).cast("bigint").alias("end_line"),
-        F.trim("_line").alias("signature"), symbol_id(F.col("language"), F.col("file_path"), F.col("name"), F.col("kind")).alias("id"), "parent_id")
+        "file_path", "language", "name", "kind", (F.col("at") + 1).cast("bigint").alias("start_line"), F.col("_end").cast("bigint").alias("end_line"),
+        F.trim("line").alias("signature"), symbol_id(F.col("language"), F.col("file_path"), F.col("name"), F.col("kind")).alias("id"), "parent_id")
 
 
 def file_nodes(files: DataFrame, path: str = "file_path", code: str = "code") -> DataFrame:
@@ -59,23 +98,50 @@ def file_nodes(files: DataFrame, path: str = "file_path", code: str = "code") ->
         symbol_id(lang, p, _file_name(p), F.lit("file")).alias("id"), F.lit(None).cast("string").alias("parent_id"))
 
 
-def symbol_chunks(files: DataFrame, path: str = "file_path", code: str = "code") -> DataFrame:
-    """One chunk per symbol (its lines), or one for a file without symbols. Stays inside the file's row."""
+def _line_numbers(text: Column, places: Column) -> Column:
+    """1-based line of each of the ascending places in a text."""
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def numbers(texts: pd.Series, all_places: pd.Series) -> pd.Series:
+        rows = []
+        for value, wanted in zip(texts, all_places):
+            if value is None or wanted is None:
+                rows.append(None)
+                continue
+            out, line, before = [], 1, 0
+            for place in wanted:
+                line, before = line + value.count("\n", before, place), place
+                out.append(line)
+            rows.append(out)
+        return pd.Series(rows, dtype=object)
+
+    return numbers(text, places)
+
+
+def symbol_chunks(files: DataFrame, path: str = "file_path", code: str = "code", max_lines: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """One chunk per symbol (its lines); a file without symbols is one chunk, or the overlapping chunks of its text if that is long.
+
+    Stays inside the file's row. ``max_lines`` and ``max_chars`` cut a symbol and a file without symbols.
+    """
     base = files.select(F.col(path).alias("file_path"), F.col(code).alias("code"), lines_of(F.col(code)).alias("_lines"))
-    found = F.filter(
-        F.transform("_lines", lambda line, i: F.struct(i.alias("at"), F.regexp_extract(line, SYMBOL_LINE, 2).alias("name"))), lambda s: s["name"] != "")
-    base = base.withColumn("_symbols", found)
-    whole = F.array(F.struct(F.lit(-1).alias("at"), _file_name(F.col("file_path")).alias("name")))
-    each = base.select("file_path", "code", "_lines", F.posexplode(F.when(F.size("_symbols") > 0, F.col("_symbols")).otherwise(whole)).alias("chunk_index", "_s"))
-    is_file = F.col("_s.at") < 0
-    last = F.least(F.col("_s.at") + 1 + SYMBOL_LINES, F.size("_lines"))
-    text = F.when(is_file, F.left("code", F.lit(CHUNK_CHARS))).otherwise(
-        F.array_join(F.slice("_lines", F.greatest(F.col("_s.at") + 1, F.lit(1)), F.greatest(last - F.col("_s.at"), F.lit(0))), "\n"))
-    out = each.withColumn("text", text)
-    return out.select(
+    base = base.withColumn("_symbols", _opened(F.col("_lines"))).withColumn("_n", F.size("_lines"))
+    own = F.zip_with("_symbols", _symbol_ends(F.col("_n"), max_lines), lambda s, end: F.struct(
+        s["name"].alias("name"), (s["at"] + 1).alias("first"), end.alias("last"),
+        F.array_join(F.slice("_lines", s["at"] + 1, end - s["at"]), "\n").alias("text")))
+    name = _file_name(F.col("file_path")).alias("name")
+    if max_chars is not None:
+        base = base.withColumn("code", F.left("code", F.lit(max_chars)))
+    one = F.array(F.struct(name, F.lit(1).alias("first"), F.col("_n").alias("last"), F.col("code").alias("text")))
+    long = (F.size("_symbols") == 0) & (F.length("code") > CHUNK_CHARS) & F.lit(max_chars is None)
+    base = base.withColumn("_pieces", chunk_pieces(F.when(long, F.col("code")), CHUNK_CHARS))
+    base = base.withColumn("_firsts", _line_numbers(F.col("code"), F.col("_pieces.start_char"))).withColumn(
+        "_lasts", _line_numbers(F.col("code"), F.col("_pieces.end_char")))
+    several = F.transform(F.arrays_zip("_pieces", "_firsts", "_lasts"), lambda p: F.struct(
+        name, p["_firsts"].alias("first"), p["_lasts"].alias("last"), p["_pieces"]["text"].alias("text")))
+    each = base.select("file_path", F.posexplode(F.when(F.size("_symbols") > 0, own).when(long, several).otherwise(one)).alias("chunk_index", "_s"))
+    return each.select(
         "file_path", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.col("_s.name").alias("symbol_name"),
-        F.greatest(F.col("_s.at") + 1, F.lit(1)).cast("bigint").alias("start_line"),
-        F.when(is_file, F.size("_lines")).otherwise(last).cast("bigint").alias("end_line"), "text", token_count(F.col("text")).alias("token_count"))
+        F.col("_s.first").cast("bigint").alias("start_line"), F.col("_s.last").cast("bigint").alias("end_line"),
+        F.col("_s.text").alias("text"), token_count(F.col("_s.text")).alias("token_count"))
 
 
 def contains_edges(found: DataFrame) -> DataFrame:
