@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import bpe_codec, lines, main_text, minhash, mixing, quality, simhash, substrings, token_counts, toxicity
+from evigraph.llm import (bpe_codec, decontamination, lines, main_text, merkle, minhash, mixing, quality, simhash, sql, substrings,
+                          token_counts, toxicity)
 from evigraph.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +154,15 @@ FROM rated
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.repetitions(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op11_merkle_manifest", sql.merkle())
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(read(spark, sf_dir, "documents"))
+
+
+@query("op12_decontamination", sql.decontamination())
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                      (F.col("n_hit") > 0).alias("contaminated"))
