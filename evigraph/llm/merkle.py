@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.llm.common import ascii_lower, written
-from evigraph.llm.numbering import group_runs, placed, same, sorted_parts
+from evigraph.llm.numbering import group_runs, placed, sorted_parts
 
 FANOUT = 16
 LOCAL = 3

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.llm.common import written
@@ -19,10 +19,6 @@ from evigraph.llm.common import written
 _PART_BITS = 33  # monotonically_increasing_id: the partition above, the place in it below
 
 
-def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
-
-
 def sorted_parts(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """``rows`` as a written table with ``part`` and ``idx``: parts follow each other in the order of (group, order), nulls first."""
     keys = [*group, *order, "_row"]
@@ -42,5 +38,7 @@ def group_runs(table: DataFrame, group: list[str]) -> DataFrame:
 def placed(table: DataFrame, runs: DataFrame, group: list[str], more: list[str] = ()) -> DataFrame:
     """The rows of ``table`` with ``pos``, their 0-based place in the group, and the columns ``more`` of their run."""
     own = [c for c in table.columns if c not in ("part", "idx")]
-    joined = table.join(runs, same(table, runs, ["part", *group]))
-    return joined.select(*[table[c] for c in own], (table["idx"] - runs["first"] + runs["before"]).alias("pos"), *[runs[c] for c in more])
+    keys = ["part", *group]
+    there = runs.select(*[F.col(c).alias(f"_{c}") for c in keys], (F.col("before") - F.col("first")).alias("_shift"), *more)
+    joined = table.join(there, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]))
+    return joined.select(*own, (F.col("idx") + F.col("_shift")).alias("pos"), *more)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import (bpe_codec, decontamination, lines, main_text, merkle, minhash, mixing, quality, simhash, sql, substrings,
-                          token_counts, toxicity)
+from evigraph.llm import (bpe_codec, decontamination, lines, main_text, merkle, minhash, mixing, prefix_trie, quality, simhash, sql,
+                          substrings, token_counts, toxicity)
 from evigraph.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,8 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                       (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op13_prefix_trie", sql.prefix_trie())
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_nodes(read(spark, sf_dir, "conversations"))

@@ -82,3 +82,45 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_
        sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered c USING (k) LEFT JOIN items i USING (k)
 """
+
+
+def prefix_trie(base: int = 100, heads: int = 6) -> str:
+    return f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn,
+         sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_id
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+placed AS (SELECT conv_id, turn_id, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, turn_id) AS pos FROM t),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % {base} AS base, {crc32('CAST(conv_id AS VARCHAR)')} % {heads} AS h, count(*) AS n FROM t GROUP BY conv_id
+),
+sized AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS taken FROM convs c LEFT JOIN convs b ON b.conv_id = c.base),
+turns AS (
+  SELECT s.conv_id, p.pos AS d, p.turn_id, p.chars FROM sized s JOIN placed p ON p.conv_id = s.base AND p.pos <= s.h
+  UNION ALL SELECT s.conv_id, p.pos - s.h + s.taken, p.turn_id, p.chars FROM sized s JOIN placed p ON p.conv_id = s.conv_id AND p.pos > s.h
+),
+paths AS (
+  SELECT conv_id, d, sha256(string_agg(turn_id, '') OVER (PARTITION BY conv_id ORDER BY d)) AS key, chars FROM turns
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs
+),
+lengths AS (SELECT conv_id, max(d) AS len FROM paths GROUP BY conv_id),
+nodes AS (
+  SELECT p.d, p.key, min(p.conv_id) AS conv, count(*) AS n, any_value(p.chars) AS chars,
+         string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (WHERE l.len = p.d) AS ends
+  FROM paths p JOIN lengths l USING (conv_id) GROUP BY p.d, p.key
+),
+up AS (SELECT n.d, n.key, n.conv, q.d AS pd, q.key AS pkey FROM nodes n JOIN paths q ON q.conv_id = n.conv AND q.d = n.d - 1),
+children AS (SELECT pd AS d, pkey AS key, count(*) AS c FROM up GROUP BY pd, pkey),
+below AS (
+  SELECT a.d, a.key, sum((n.n - 1) * n.chars) AS saved, count(*) FILTER (WHERE c.c IS NULL) AS leaves
+  FROM nodes n LEFT JOIN children c ON c.d = n.d AND c.key = n.key JOIN paths a ON a.conv_id = n.conv AND a.d <= n.d
+  GROUP BY a.d, a.key
+)
+SELECT n.conv AS conv_id, CAST(n.d AS BIGINT) AS depth, p.conv AS parent_conv_id, n.n AS n_convs, coalesce(c.c, 0) AS n_children,
+       b.leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM nodes n JOIN below b ON b.d = n.d AND b.key = n.key
+LEFT JOIN children c ON c.d = n.d AND c.key = n.key
+LEFT JOIN up u ON u.d = n.d AND u.key = n.key
+LEFT JOIN nodes p ON p.d = u.pd AND p.key = u.pkey
+"""

@@ -19,7 +19,8 @@ def test_matches_sql(spark, name):
     from check import compare
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     verdict = compare(queries.QUERIES[name](spark, SF), con, queries.ORACLES[name])
     assert verdict.startswith("ok"), verdict
 
