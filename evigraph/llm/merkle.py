@@ -83,8 +83,12 @@ def _levels(n: int) -> int:
 
 
 def _parents(nodes: Column) -> Column:
-    starts = F.sequence(F.lit(0), F.floor((F.size(nodes) - 1) / FANOUT))
-    return F.transform(starts, lambda i: hash_run(F.slice(nodes, (i * FANOUT + 1).cast("int"), FANOUT)))
+    def hashed(bound: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(bound) - 1) / FANOUT))
+        return F.transform(starts, lambda i: hash_run(F.slice(bound, (i * FANOUT + 1).cast("int"), FANOUT)))
+
+    # An outer one-element transform binds the level, which the inner function would otherwise compute anew for every run.
+    return F.transform(F.array(nodes), hashed)[0]
 
 
 def _local_levels(leaves: Column, several: Column, local: int) -> list[tuple[Column, Column]]:
