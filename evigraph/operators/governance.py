@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigraph.operators.asof import first_later, reachable
 from evigraph.session import cut_lineage
 
 # Statuses each retention action applies to.
@@ -14,8 +15,6 @@ RETENTION_STATES = {"archive": ("active", "open"), "delete": ("archived", "super
 HELD_TYPES = ("episode", "memory")
 STALE_SECONDS = 900
 IDEMPOTENCY_HOURS = 24
-# Keys with more events than this are folded day by day instead of in one array.
-KEY_EVENTS_LIMIT = 100_000
 
 
 def held_ids(holds: DataFrame) -> DataFrame:
@@ -67,52 +66,33 @@ def audit_trail(mutations: dict[str, tuple[DataFrame, str, Column, Column]]) ->
         for op, (df, kind, rid, at) in mutations.items()])
 
 
-def idempotent_first(events: DataFrame, keys: list[str], ts: str = "ts", event_id: str = "event_id", hours: int = IDEMPOTENCY_HOURS,
-                     key_limit: int = KEY_EVENTS_LIMIT) -> DataFrame:
+def idempotent_first(events: DataFrame, keys: list[str], ts: str = "ts", event_id: str = "event_id", hours: int = IDEMPOTENCY_HOURS) -> DataFrame:
     """Event that answers each request: itself, or the first one still inside its window.
 
     A stored key answers until ``hours`` have passed, then the next request
-    stores it anew. Keys of normal size fold a sorted array; keys beyond
-    ``key_limit`` advance one day at a time, a day holding at most one store.
+    stores it anew. Each request knows the one that would be stored after it
+    (the first later than its window); the stored ones are those reachable from
+    the key's first request. Requests with a null key part are answered by none
+    and do not appear.
     """
     window = int(hours * 3600 * 1_000_000)
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = events.select(*keys, F.col(event_id).alias("_e"), us.alias("_t"))
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = cut_lineage(sizes.filter(F.col("_n") > key_limit).select(*keys))
-    normal = rows.join(hot, keys, "left_anti")
-    item = F.struct(F.col("_t").alias("t"), F.col("_e").alias("e"))
-    anchors = normal.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_items")).withColumn("_first", F.element_at("_items", 1)).select(
-        *keys, F.explode(F.aggregate(
-            "_items", F.array("_first"),
-            lambda acc, x: F.when(x["t"] - F.element_at(acc, -1)["t"] > window, F.concat(acc, F.array(x))).otherwise(acc))).alias("a"))
-    anchors = anchors.select(*keys, F.col("a.t").alias("_at"), F.col("a.e").alias("_ae"))
-    if hot.limit(1).count():
-        anchors = anchors.unionByName(_hot_anchors(rows.join(hot, keys, "left_semi"), keys, window))
-    # As-of match in (key, window) cells: the answer lies in this cell or the one before.
-    cell = F.floor(F.col("_t") / window)
-    near = anchors.select(*keys, "_at", "_ae", F.explode(F.array(F.floor(F.col("_at") / window), F.floor(F.col("_at") / window) + 1)).alias("_cell"))
-    per_cell = near.groupBy(*keys, "_cell").agg(F.sort_array(F.collect_list(F.struct("_at", "_ae"))).alias("_cands"))
-    picked = F.element_at(F.filter("_cands", lambda c: (c["_at"] < F.col("_t")) | ((c["_at"] == F.col("_t")) & (c["_ae"] <= F.col("_e")))), -1)
-    joined = rows.withColumn("_cell", cell).join(per_cell, [*keys, "_cell"]).withColumn("_p", picked)
-    return joined.select(*keys, F.col("_e").alias(event_id), F.col("_p._ae").alias("answered_by"))
-
-
-def _hot_anchors(rows: DataFrame, keys: list[str], window: int) -> DataFrame:
-    rows = cut_lineage(rows.withColumn("_day", F.floor(F.col("_t") / window)))
-    days = [r[0] for r in rows.select("_day").distinct().orderBy("_day").collect()]
-    state, found = None, []
-    for day in days:
-        today = rows.filter(F.col("_day") == day)
-        if state is not None:
-            today = today.join(state.withColumnRenamed("_at", "_prev"), keys, "left").filter(
-                F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") > window))
-        fresh = cut_lineage(today.groupBy(*keys).agg(F.min(F.struct("_t", "_e")).alias("m")).select(
-            *keys, F.col("m._t").alias("_at"), F.col("m._e").alias("_ae")))
-        found.append(fresh)
-        latest = fresh.select(*keys, "_at") if state is None else state.unionByName(fresh.select(*keys, "_at"))
-        state = cut_lineage(latest.groupBy(*keys).agg(F.max("_at").alias("_at")))
-    return reduce(DataFrame.unionByName, found)
+    rows = cut_lineage(events.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(event_id).alias("e")).dropna(subset=keys))
+    following = cut_lineage(first_later(rows, keys, window))
+    first = rows.groupBy(*keys).agg(F.min(F.struct("t", "e")).alias("f")).select(*keys, "f.t", "f.e")
+    # Only a request that follows some other one can be stored later: the others leave before the doubling.
+    targets = following.where("nt IS NOT NULL").select(*keys, F.col("nt").alias("t"), F.col("ne").alias("e")).union(first).distinct()
+    path = [f"n{k}" for k in keys]
+    steps = following.join(targets, [*keys, "t", "e"], "left_semi").select(
+        "*", *[F.when(F.col("nt").isNotNull(), F.col(k)).alias(n) for k, n in zip(keys, path)])
+    anchors = reachable(first, steps, ["t", "e", *keys], ["nt", "ne", *path])
+    # As-of match in (key, window) cells: stored requests are more than a window apart, so a cell holds at most one,
+    # and the answer lies in the request's cell or the one before.
+    cell = F.floor(F.col("t") / window)
+    near = anchors.select(*keys, F.struct("t", "e").alias("a"), F.explode(F.array(cell, cell + 1)).alias("cell"))
+    per_cell = near.groupBy(*keys, "cell").agg(F.sort_array(F.collect_list("a")).alias("stored"))
+    answer = F.element_at(F.filter("stored", lambda a: a <= F.struct("t", "e")), -1)
+    joined = rows.withColumn("cell", cell).join(cut_lineage(per_cell), [*keys, "cell"])
+    return joined.select(*keys, F.col("e").alias(event_id), answer["e"].alias("answered_by"))
 
 
 def expired_keys(stored: DataFrame, now: Column, hours: int = IDEMPOTENCY_HOURS) -> DataFrame:

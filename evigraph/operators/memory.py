@@ -14,6 +14,7 @@ from evigraph.functions.scalars import (
     feedback_status, is_promoted, outcome_score, pattern_key, redact_map, smoothed_confidence, verifier_weight,
 )
 from evigraph.operators.ranking import fixed_batches, top_n_per_group
+from evigraph.operators.substring import containing
 from evigraph.session import cut_lineage
 
 OPEN_STATES = ("open", "active", "degraded")
@@ -298,9 +299,10 @@ def search(
 ) -> DataFrame:
     """Ranked episodes per query with pattern, lesson and last successful action.
 
-    ``queries(query_id, q[, problem_signature, repository, environment])`` is a
-    small table of user queries. Episodes are exploded to (word, episode) and
-    joined on the query's words, so the work follows the matches.
+    ``queries(query_id, q[, problem_signature, repository, environment])`` may be
+    of any size. Episodes are exploded to (word, episode) and joined on the
+    query's words, so the work follows the matches; queries that find nothing so
+    go to the n-gram index.
     """
     for c in ("problem_signature", "repository", "environment"):
         if c not in queries.columns:
@@ -330,21 +332,15 @@ def search(
         + F.when(F.col("promoted"), 0.5).otherwise(0.0) + F.coalesce("pattern_confidence", F.lit(0.0)))
     strict = found.withColumn("score", rank + bonus).select(
         "query_id", "id", "created_at", "score", "pattern_key", "pattern_confidence", "promoted", "lesson")
-
-    # Queries without a strict hit look for any of their (first ``fallback_words``) words as a substring.
-    # The query table is user input; its words become one expression over each episode.
-    text = F.lower(F.concat_ws("\n", "title", "goal", "problem_signature"))
-    marks = []
-    for r in queries.select("query_id", F.lower("q").alias("q")).collect():
-        parts = [w for w in r["q"].split() if len(w) > 1][:fallback_words]
-        if parts:
-            hit = reduce(lambda x, y: x | y, [F.contains(F.col("_text"), F.lit(w)) for w in parts])
-            marks.append(F.when(hit, F.lit(r["query_id"])))
-    if not marks:
-        marks = [F.lit(None).cast("string")]
-    loose = active.withColumn("_text", text).withColumn(
-        "query_id", F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())))
-    loose = loose.join(strict.select("query_id").distinct(), "query_id", "left_anti")
+    strict = cut_lineage(strict)
+
+    # Queries without a strict hit look for any of their (first ``fallback_words``) words of two or more characters as a substring.
+    words = F.filter(F.split(F.lower("q"), r"(?U)\s+"), lambda w: F.char_length(w) > 1)
+    if fallback_words is not None:
+        words = F.slice(words, 1, fallback_words)
+    missed = queries.join(strict.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.explode(words).alias("term"))
+    texts = active.select("id", F.lower(F.concat_ws("\n", "title", "goal", "problem_signature")).alias("text"))
+    loose = containing(texts, missed).join(active, "id")
     loose = with_pattern(loose, outcomes, pattern_rows).select(
         "query_id", "id", "created_at", F.lit(0.0).alias("score"), "pattern_key", "pattern_confidence", "promoted", "lesson")
     ranked = top_n_per_group(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evigraph.operators.measures import density, endpoint_degree
 from evigraph.operators.predicates import low_signal, source_location, supported_entities, supported_graph, temporal_filter
 from evigraph.operators.ranking import top_n_per_group
+from evigraph.operators.substring import containing
 from evigraph.session import cut_lineage
 
 MAX_CITATIONS = 20
@@ -46,27 +47,25 @@ def search_entities(
     terms: DataFrame, entities: DataFrame, aliases: DataFrame, relations: DataFrame, evidence: DataFrame,
     limit: int = 25, as_of: Column | None = None, include_history: bool = False,
 ) -> DataFrame:
-    """Substring search on names and aliases for a small table ``terms(query_id, q[, entity_type])``.
+    """Substring search on names and aliases for ``terms(query_id, q[, entity_type, as_of, include_history])``.
 
-    ``terms`` holds user queries, not data: its rows are folded into one
-    array that rides along with every name, so names are read once.
+    Terms are a table like any other: an n-gram index brings them to the names
+    that contain them. A query's own ``as_of`` and ``include_history`` go before
+    the arguments, which hold for queries without them. A blank ``q`` finds nothing.
     """
-    live = supported_entities(entities, relations, evidence).filter(temporal_filter(as_of, include_history))
-    names = live.select("id", F.lower("canonical_name").alias("name")).unionByName(
-        aliases.select(F.col("entity_id").alias("id"), F.lower("alias").alias("name")))
-    kind = F.lower(F.trim("entity_type")) if "entity_type" in terms.columns else F.lit(None).cast("string")
-    asked = [r.asDict() for r in terms.select("query_id", F.lower(F.trim("q")).alias("q"), kind.alias("kind")).collect()]
-    matched = F.filter(
-        F.array(*[
-            F.when(F.contains(F.col("name"), F.lit(t["q"])),
-                   F.struct(F.lit(t["query_id"]).alias("query_id"), F.lit(t["q"]).alias("q"),
-                            F.lit(t["kind"]).cast("string").alias("kind")))
-            for t in asked if t["q"]
-        ]),
-        lambda m: m.isNotNull(),
-    )
-    hits = names.select("id", F.explode(matched).alias("m")).select("id", "m.query_id", "m.q", "m.kind").distinct()
-    found = hits.join(live, "id").filter(F.col("kind").isNull() | (F.lower("entity_type") == F.col("kind")))
+    given = {c: F.col(c) for c in ("entity_type", "as_of", "include_history") if c in terms.columns}
+    nothing = F.lit(None)
+    asked = terms.select(
+        "query_id", F.lower(F.trim("q")).alias("q"), F.lower(F.trim(given.get("entity_type", nothing.cast("string")))).alias("kind"),
+        F.coalesce(given.get("as_of", nothing.cast("timestamp")), (as_of if as_of is not None else nothing).cast("timestamp")).alias("moment"),
+        F.coalesce(given.get("include_history", nothing.cast("boolean")), F.lit(include_history)).alias("history"))
+    live = supported_entities(entities, relations, evidence)
+    names = live.select("id", F.lower("canonical_name").alias("text")).unionByName(
+        aliases.select(F.col("entity_id").alias("id"), F.lower("alias").alias("text")))
+    hits = containing(names, asked.select("query_id", F.col("q").alias("term")))
+    valid = F.col("history") | F.when(F.col("moment").isNull(), temporal_filter()).otherwise(temporal_filter(F.col("moment")))
+    found = hits.join(asked, "query_id").join(live, "id").filter(
+        valid & (F.col("kind").isNull() | (F.lower("entity_type") == F.col("kind"))))
     exact = F.lower("canonical_name") == F.col("q")
     return top_n_per_group(
         found, ["query_id"],

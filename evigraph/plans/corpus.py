@@ -9,8 +9,9 @@ from evigraph.operators import chunking as C
 from evigraph.operators import ranking as R
 from evigraph.plans.inputs import Inputs
 from evigraph.plans.registry import query, with_ctes
-from evigraph.session import spread
+from evigraph.session import cut_lineage, spread
 from evigraph.sources import corpus as S
+from evigraph.sources import html as H
 
 # Check-side spelling of the characters removed at text ends.
 WS = "||".join(["' '"] + [f"chr({ord(c)})" for c in S.WHITESPACE if c != " "])
@@ -24,7 +25,7 @@ def src1(spark: SparkSession, sf: str) -> DataFrame:
 @query("src3_admission", """
 SELECT page_id, CASE WHEN k = 1 THEN 'invalid filename or extension' WHEN k = 2 THEN 'MIME type does not match extension'
  WHEN k = 3 THEN 'invalid PDF signature' WHEN k = 4 THEN 'invalid JSON content'
- WHEN NOT (lower(ltrim(html)) LIKE '<!doctype html%' OR lower(ltrim(html)) LIKE '<html%' OR lower(ltrim(html)) LIKE '<head%' OR lower(ltrim(html)) LIKE '<body%') THEN 'invalid HTML content' END AS reason
+ WHEN NOT (lower(html) LIKE '<!doctype html%' OR lower(html) LIKE '<html%' OR lower(html) LIKE '<head%' OR lower(html) LIKE '<body%') THEN 'invalid HTML content' END AS reason
 FROM (SELECT page_id, html, CASE WHEN contains(url, '/de/') THEN 1 WHEN contains(url, '/fr/') THEN 2 WHEN contains(url, '?') THEN 3 WHEN contains(url, '#') THEN 4 ELSE 5 END AS k FROM pages) p""")
 def src3(spark: SparkSession, sf: str) -> DataFrame:
     def pick(*values: str) -> F.Column:
@@ -33,7 +34,7 @@ def src3(spark: SparkSession, sf: str) -> DataFrame:
 
     name = pick("../x.html", "x.html", "x.pdf", "x.json", "x.html")
     mime = pick("text/html", "text/plain", "application/pdf", "application/json", "text/html; charset=utf-8")
-    return Inputs(spark, sf).pages.select("page_id", S.reject_reason(name, mime, F.encode("html", "UTF-8")).alias("reason"))
+    return Inputs(spark, sf).pages.select("page_id", S.reject_reason(name, mime, F.encode(F.concat(F.lit(S.BOM + "\n\t \u00a0"), "html"), "UTF-8")).alias("reason"))
 
 
 @query("src4_json_valid", """
@@ -75,6 +76,30 @@ def src7(spark: SparkSession, sf: str) -> DataFrame:
     return Inputs(spark, sf).documents.select("doc_id", F.sha2(S.plain_text(raw), 256).alias("text_hash"))
 
 
+@query("src8_csv_errors", """
+SELECT p_partkey AS doc_id, 'malformed CSV: quote' AS error FROM part WHERE p_partkey % 3 < 2""")
+def src8_errors(spark: SparkSession, sf: str) -> DataFrame:
+    third = F.col("p_partkey") % 3
+    doc = F.concat(F.lit("id,note\n1,"), F.when(third == 0, '"unclosed\n2,3').when(third == 1, '"closed" too early\n').otherwise('in "the" middle\n2,""\n'), "p_name")
+    return S.csv_errors(Inputs(spark, sf).part.select(F.col("p_partkey").alias("doc_id"), doc.alias("text")), "doc_id")
+
+
+# Four documents: 5 000 quoted columns, and a cell of a million characters full of doubled quotes.
+@query("src8_large_cells", """
+SELECT DISTINCT p_size % 4 AS doc_id, i AS record_number, CASE i WHEN 1 THEN 5000 ELSE 1 END AS n_cells, CASE i WHEN 1 THEN 1 ELSE 1000000 END AS longest FROM part, (VALUES (CAST(1 AS BIGINT)), (2)) v(i)""")
+def src8_large(spark: SparkSession, sf: str) -> DataFrame:
+    groups = Inputs(spark, sf).part.groupBy((F.col("p_size") % 4).alias("doc_id")).agg(F.count("*").alias("n"))
+    # sizes that depend on a row, so that no text of this length becomes a literal of the plan
+    numbers = F.sequence(F.lit(1), F.least(F.col("n") + 5000, F.lit(5000)))
+    header = F.array_join(F.transform(numbers, lambda i: F.concat(F.lit('"c'), i.cast("string"), F.lit('"'))), ",")
+    wide = F.array_join(F.transform(numbers, lambda i: F.concat(F.lit('" '), "doc_id", F.lit('\n"'))), ",")
+    cell = F.repeat(F.lit('x""y'), F.least(F.col("n") + 333_333, F.lit(333_333)).cast("int"))
+    doc = F.concat(header, F.lit("\n"), wide, F.lit('\n"'), cell, "doc_id", F.lit('"\n'))
+    docs = cut_lineage(groups.select("doc_id", doc.alias("text")))
+    cells = F.map_values("values")
+    return S.csv_records(docs, "doc_id").select("doc_id", "record_number", F.size(cells).alias("n_cells"), F.array_max(F.transform(cells, lambda c: F.char_length(c))).alias("longest"))
+
+
 @query("src8_csv_records", """
 SELECT p_partkey AS doc_id, i AS record_number,
  CASE i WHEN 1 THEN 'name: ' || p_name || '; note: a;"b"; size: ' || CAST(p_size AS VARCHAR)
@@ -98,41 +123,82 @@ def src9(spark: SparkSession, sf: str) -> DataFrame:
     return S.json_records(docs, "doc_id")
 
 
-def _sql_visible(markup: str, lines: bool) -> str:
-    out = f"regexp_replace({markup}, '<[^>]*>', {'chr(10)' if lines else chr(39) + ' ' + chr(39)}, 'g')"
-    for name, char in S.ENTITIES:
-        out = f"replace({out}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+def _sql_decoded(text: str) -> str:
+    """The references that occur in the pages and the fixture."""
+    for name, char in (("&copy;", 169), ("&middot;", 183), ("&quot;", 34), ("&eacute;", 233), ("&#8217;", 8217), ("&#x2019;", 8217), ("&NotEqualTilde;", None)):
+        text = f"replace({text}, '{name}', {f'chr({char})' if char else 'chr(8770) || chr(824)'})"
+    return f"regexp_replace({text}, '&amp;?', '&', 'g')"
+
+
+def _sql_tidy(raw: str, lines: bool) -> str:
     if lines:
-        return f"trim(regexp_replace({out}, '[ \\t\\r]*\\n[ \\t\\r\\n]*', chr(10), 'g'), {WS})"
-    return f"trim(regexp_replace({out}, '[ \\t\\r\\n]+', ' ', 'g'), {WS})"
+        return f"trim(regexp_replace({raw}, '[ \\t\\r]*\\n[ \\t\\r\\n]*', chr(10), 'g'), {WS})"
+    return f"trim(regexp_replace({raw}, '[ \\t\\r\\n]+', ' ', 'g'), {WS})"
 
 
 _CLEAN = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
 for _tag in ("script", "style", "noscript"):
     _CLEAN = f"regexp_replace({_CLEAN}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', '', 'g')"
-_WHOLE = "regexp_replace(clean, '(?is)(<(?:table|pre)\\b.*?</(?:table|pre)\\s*>)', chr(1) || '\\1' || chr(1), 'g')"
-_OPENED = "regexp_replace(piece, '(?i)<(h[1-6]|p|li)\\b', chr(1) || '<\\1', 'g')"
-_CLOSED = f"regexp_replace({_OPENED}, '(?i)</(h[1-6]|p|li|ul|ol)\\s*>', chr(1), 'g')"
+
+# Hard cases put into every page: nested lists with text after them, unclosed items and headings, references, tables in tables, stray tags.
+HARD_HTML = """<ul><li>one<p>two</p> tail t&eacute;t&eacute; &#8217;x&#x2019;<ul><li>deep<li>deeper</ul> end</li><li>last &NotEqualTilde; a < b</ul>between
+<h3>Open heading<p>under <b>it<p>next</b> one</div><table><tr><td><p>cell</p>
+ two<table><tr><td>inner</td></tr></table> after</td></tr></table><pre>a
+  b <i>c</i>
+</pre></article>"""
+
+
+def hard_pages(t: Inputs) -> DataFrame:
+    return t.pages.withColumn("html", F.replace("html", F.lit("</article>"), F.lit(HARD_HTML)))
+
+
+def _cut(stack: str, tag: str) -> str:
+    """``stack`` before its last ``tag``."""
+    return f"{stack}[1:len({stack}) - list_position(list_reverse({stack}), {tag})]"
+
+
+def _at(stack: str, tag: str) -> str:
+    return f"CASE WHEN list_contains({stack}, {tag}) THEN len({stack}) - list_position(list_reverse({stack}), {tag}) + 1 ELSE 0 END"
+
+
+_P_ENDS = "','".join(H.ENDS_PARAGRAPH)
+_VOID = "','".join(H.VOID)
+_BLOCK = "tg IN ('h1','h2','h3','h4','h5','h6','p','li','pre','table')"
+_LIST_AT = lambda s: f"greatest({_at(s, chr(39) + 'ul' + chr(39))}, {_at(s, chr(39) + 'ol' + chr(39))})"
+_HEAD = "list_filter({0}, lambda x: x IN ('h1','h2','h3','h4','h5','h6'))[-1]"
 HTML_CTES = {
-    "cleaned": f"SELECT page_id, {_CLEAN} AS clean FROM pages",
-    "pieces": f"SELECT page_id, unnest(string_split({_WHOLE}, chr(1))) AS piece, generate_subscripts(string_split({_WHOLE}, chr(1)), 1) AS a FROM cleaned",
-    "parts": f"""SELECT page_id, a, CASE WHEN regexp_matches(piece, '(?i)^<(?:table|pre)\\b') THEN [piece] ELSE string_split({_CLOSED}, chr(1)) END AS list FROM pieces""",
-    "flat": "SELECT page_id, a, generate_subscripts(list, 1) AS b, unnest(list) AS raw FROM parts",
-    "blocks": f"""SELECT page_id, position, tag, text FROM (
-      SELECT page_id, position, tag, CASE WHEN tag IN ('pre', 'table') THEN {_sql_visible('raw', True)} ELSE {_sql_visible('raw', False)} END AS text FROM (
-       SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY a, b) - 1 AS position, raw,
-              lower(regexp_extract(raw, '(?i)^<(h[1-6]|p|li|table|pre)\\b', 1)) AS tag FROM flat) x WHERE tag <> '') y WHERE text <> ''""",
+    "cleaned": f"SELECT page_id, {_CLEAN} AS clean FROM (SELECT page_id, replace(html, '</article>', '{HARD_HTML.replace(chr(39), chr(39) * 2)}') AS html FROM pages) h",
+    "tokens": f"""SELECT page_id, k, tok, lower(regexp_extract(tok, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tg, starts_with(tok, '</') AS closing FROM (
+      SELECT page_id, unnest(l) AS tok, generate_subscripts(l, 1) AS k FROM (SELECT page_id, regexp_extract_all(clean, '{H.TOKEN}') AS l FROM cleaned) a) b""",
+    # The open elements after each token, the one that a block begins with (0 between blocks) and the blocks so far.
+    "fold": f"""SELECT page_id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS stack, CAST(0 AS BIGINT) AS begun, CAST(0 AS BIGINT) AS n, false AS fresh FROM cleaned
+     UNION ALL
+     SELECT page_id, k, stack, CASE WHEN fresh THEN len(stack) ELSE still END, n + CAST(fresh AS BIGINT), fresh FROM (
+      SELECT page_id, k, n, still, CASE WHEN opens THEN list_append(d, tg) ELSE d END AS stack, opens AND still = 0 AND {_BLOCK} AS fresh FROM (
+       SELECT *, CASE WHEN len(d) < begun THEN 0 ELSE begun END AS still FROM (
+        SELECT *, CASE WHEN tg = '' THEN c
+          WHEN closing THEN CASE WHEN list_contains(c, tg) AND NOT (tg = 'li' AND {_at('c', 'tg')} < {_LIST_AT('c')}) THEN {_cut('c', 'tg')} ELSE c END
+          WHEN tg = 'li' AND {_at('c', 'tg')} > {_LIST_AT('c')} THEN {_cut('c', 'tg')} ELSE c END AS d FROM (
+         SELECT *, CASE WHEN NOT closing AND {_BLOCK} AND {_HEAD.format('b')} IS NOT NULL THEN {_cut('b', _HEAD.format('b'))} ELSE b END AS c FROM (
+          SELECT t.*, f.n, f.begun, NOT t.closing AND t.tg <> '' AND t.tg NOT IN ('{_VOID}') AS opens,
+           CASE WHEN NOT t.closing AND t.tg IN ('{_P_ENDS}') AND list_contains(f.stack, 'p') THEN {_cut('f.stack', chr(39) + 'p' + chr(39))} ELSE f.stack END AS b
+          FROM fold f JOIN tokens t ON t.page_id = f.page_id AND t.k = f.k + 1) s1) s2) s3) s4) s5""",
+    "raws": f"""SELECT page_id, n - 1 AS position, first(tg ORDER BY k) AS tag, string_agg(piece, '' ORDER BY k) AS raw FROM (
+      SELECT f.page_id, f.n, f.k, t.tg, CASE WHEN f.fresh THEN '' WHEN t.tg <> '' THEN chr(0) WHEN regexp_matches(t.tok, '^<.') THEN '' ELSE {_sql_decoded('t.tok')} END AS piece
+      FROM fold f JOIN tokens t ON t.page_id = f.page_id AND t.k = f.k WHERE f.begun > 0) x GROUP BY 1, 2""",
+    "blocks": f"""SELECT page_id, position, tag, text FROM (SELECT page_id, position, tag,
+      CASE WHEN tag IN ('pre', 'table') THEN {_sql_tidy("replace(raw, chr(0), chr(10))", True)} ELSE {_sql_tidy("replace(raw, chr(0), ' ')", False)} END AS text FROM raws) y WHERE text <> ''""",
 }
 
 
-@query("src10_html_blocks", with_ctes("SELECT page_id, position, tag, text FROM blocks", **HTML_CTES))
+@query("src10_html_blocks", with_ctes("SELECT page_id, position, tag, text FROM blocks", **HTML_CTES).replace("WITH ", "WITH RECURSIVE ", 1))
 def src10(spark: SparkSession, sf: str) -> DataFrame:
-    return S.html_blocks(spread(Inputs(spark, sf).pages))
+    return H.html_blocks(hard_pages(Inputs(spark, sf)))
 
 
-@query("src10_html_titles", f"""SELECT page_id, nullif({_sql_visible("regexp_extract(" + _CLEAN + ", '(?is)<title[^>]*>(.*?)</title\\s*>', 1)", False)}, '') AS title FROM pages""")
+@query("src10_html_titles", f"""SELECT page_id, nullif({_sql_tidy(_sql_decoded("regexp_replace(regexp_extract(" + _CLEAN + ", '(?is)<title[^>]*>(.*?)</title\\s*>', 1), '<[^>]*>', ' ', 'g')"), False)}, '') AS title FROM pages""")
 def src10_title(spark: SparkSession, sf: str) -> DataFrame:
-    return Inputs(spark, sf).pages.select("page_id", S.html_title(F.col("html")).alias("title"))
+    return Inputs(spark, sf).pages.select("page_id", H.html_title(F.col("html")).alias("title"))
 
 
 _LEVELS = ", ".join(f"max(CASE WHEN tag = 'h{k}' THEN position END) OVER w AS p{k}" for k in range(1, 7))
@@ -143,9 +209,9 @@ _PATH = " || ".join(
 
 @query("src10_wn9_section_paths", with_ctes(
     f"""SELECT page_id, position, CASE tag WHEN 'li' THEN 'list' WHEN 'table' THEN 'table' WHEN 'pre' THEN 'code' ELSE 'paragraph' END AS block_type, {_PATH} AS section_path
-    FROM (SELECT *, {_LEVELS} FROM blocks WINDOW w AS (PARTITION BY page_id ORDER BY position)) s WHERE NOT starts_with(tag, 'h')""", **HTML_CTES))
+    FROM (SELECT *, {_LEVELS} FROM blocks WINDOW w AS (PARTITION BY page_id ORDER BY position)) s WHERE NOT starts_with(tag, 'h')""", **HTML_CTES).replace("WITH ", "WITH RECURSIVE ", 1))
 def src10_sections(spark: SparkSession, sf: str) -> DataFrame:
-    found = S.section_paths(S.html_blocks(spread(Inputs(spark, sf).pages)))
+    found = S.section_paths(H.html_blocks(hard_pages(Inputs(spark, sf))))
     path = F.array_join(F.transform("section_path", lambda h: F.concat(F.lit(" > "), h)), "")
     return found.select("page_id", "position", "block_type", path.alias("section_path"))
 

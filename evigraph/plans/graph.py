@@ -382,16 +382,35 @@ def l6(spark: SparkSession, sf: str) -> DataFrame:
     return current_graph(Inputs(spark, sf))[0].orderBy("canonical_name", "id").limit(2000).select("id")
 
 
+# Asked: every supplier's name, all customers by type with snapshots and history, runs of one and two letters, names of parts.
+Q2_TERMS = """
+SELECT concat('s', CAST(s_suppkey AS STRING)) AS query_id, concat(' SUPPLIER ', CAST(s_suppkey AS STRING)) AS q, CAST(NULL AS STRING) AS entity_type,
+       CAST(NULL AS TIMESTAMP) AS as_of, CAST(NULL AS BOOLEAN) AS include_history FROM supplier
+UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), concat('customer ', CAST(c_custkey AS STRING)), ' CUSTOMER',
+       CASE c_custkey % 3 WHEN 0 THEN TIMESTAMP '1996-01-01 00:00:00' WHEN 1 THEN TIMESTAMP '1998-01-01 00:00:00' END, c_custkey % 5 = 0 FROM customer
+UNION ALL SELECT concat('r', CAST(r_regionkey AS STRING)), substring(r_name, 2, 1), 'Nation', NULL, NULL FROM region
+UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), substring(n_name, 1, 2), NULL, NULL, NULL FROM nation
+UNION ALL SELECT concat('m', CAST(n_nationkey AS STRING)), n_name, 'Part', NULL, NULL FROM nation
+UNION ALL SELECT concat('p', CAST(p_partkey AS STRING)), p_name, NULL, NULL, NULL FROM part
+UNION ALL SELECT 'blank', '  ', NULL, NULL, NULL FROM region
+"""
+
+
 @query("q2_entity_search", oracle("""
 SELECT query_id, rank, id, canonical_name, entity_type, confidence FROM (
- SELECT t.query_id, ce.*, row_number() OVER (PARTITION BY t.query_id ORDER BY (lower(canonical_name) = t.q) DESC, confidence DESC, canonical_name, ce.id) AS rank
- FROM ce JOIN (VALUES ('a', 'widget'), ('b', 'customer 10'), ('c', 'nation')) t(query_id, q)
- ON contains(lower(ce.canonical_name), t.q) OR EXISTS (SELECT 1 FROM g_aliases a WHERE a.entity_id = ce.id AND contains(lower(a.alias), t.q))) x
-WHERE rank <= 25""", *GRAPH, "g_aliases", **CURRENT))
+ SELECT t.query_id, e.*, row_number() OVER (PARTITION BY t.query_id ORDER BY (lower(canonical_name) = lower(trim(t.q))) DESC, confidence DESC, canonical_name, e.id) AS rank
+ FROM q2_terms t JOIN (SELECT e.*, list(lower(n.name)) AS names FROM se e JOIN (
+   SELECT id, canonical_name AS name FROM g_entities UNION ALL SELECT entity_id, alias FROM g_aliases) n ON n.id = e.id GROUP BY ALL) e
+ ON trim(t.q) <> '' AND len(list_filter(e.names, lambda n: contains(n, lower(trim(t.q))))) > 0
+ AND (t.entity_type IS NULL OR lower(trim(t.entity_type)) = lower(e.entity_type))
+ AND (coalesce(t.include_history, false) OR CASE WHEN t.as_of IS NULL THEN e.valid_until IS NULL AND e.superseded_by IS NULL
+      ELSE e.valid_from <= t.as_of AND (e.valid_until IS NULL OR e.valid_until > t.as_of) END)) x
+WHERE rank <= 25""", *GRAPH, "g_aliases", **SUPPORT, q2_terms=Q2_TERMS))
 def q2(spark: SparkSession, sf: str) -> DataFrame:
     t = Inputs(spark, sf)
-    terms = spark.createDataFrame([("a", " Widget "), ("b", "customer 10"), ("c", "nation")], "query_id string, q string")
-    return Q.search_entities(terms, t.g_entities, t.g_aliases, t.g_relations, evidence_of(t))
+    for table in ("supplier", "customer", "region", "nation", "part"):
+        t.base(table).createOrReplaceTempView(table)
+    return Q.search_entities(spark.sql(Q2_TERMS), t.g_entities, t.g_aliases, t.g_relations, evidence_of(t))
 
 
 NEIGHBOURS_SQL = """

@@ -114,28 +114,35 @@ def am4(spark: SparkSession, sf: str) -> DataFrame:
 
 
 WORDS = "list_filter(regexp_split_to_array(lower(concat_ws(' ', e.title, e.goal, e.problem_signature)), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')"
+# Asked: three fixed searches, then one per user whose words are no words of any episode but substrings of some.
+ASKED_SQL = """
+SELECT 'q1' AS query_id, 'signup' AS q, CAST(NULL AS STRING) AS environment
+UNION ALL SELECT 'q2', 'Purchase', 'prod' UNION ALL SELECT 'q3', 'purch zzz', NULL
+UNION ALL SELECT DISTINCT concat('u', CAST(user_id AS STRING), left(event_type, 4)), concat('zq x ', left(event_type, 4), ' ', CAST(user_id AS STRING), '\u00a0Ser ZZ a2 a3 user'), NULL FROM events
+"""
 SEARCH_SQL = f"""
 SELECT query_id, id, rank, round(score, 6) AS score, pattern_key FROM (
  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, created_at DESC, id) AS rank FROM (
-  SELECT t.query_id, e.id, e.created_at, k.pattern_key, 0.1 * len(list_filter({WORDS}, lambda x: x = t.q)) + CASE WHEN t.env IS NULL THEN 0.0 ELSE 0.25 END
+  SELECT t.query_id, e.id, e.created_at, k.pattern_key, 0.1 * len(list_filter({WORDS}, lambda x: x = lower(t.q))) + CASE WHEN t.environment IS NULL THEN 0.0 ELSE 0.25 END
    + CASE WHEN e.problem_signature = t.q THEN 2.0 ELSE 0.0 END + CASE WHEN p.promoted THEN 0.5 ELSE 0.0 END + coalesce(p.confidence, 0.0) AS score
-  FROM (VALUES ('q1', 'signup', NULL), ('q2', 'purchase', 'prod')) t(query_id, q, env) JOIN m_episodes e ON list_contains({WORDS}, t.q) AND (t.env IS NULL OR e.environment = t.env)
+  FROM (SELECT * FROM asked WHERE query_id IN ('q1', 'q2')) t JOIN m_episodes e ON list_contains({WORDS}, lower(t.q)) AND (t.environment IS NULL OR e.environment = t.environment)
   LEFT JOIN keyed k ON k.episode_id = e.id LEFT JOIN patterns p ON p.pattern_key = k.pattern_key
   WHERE e.status NOT IN ('superseded', 'rejected')
   UNION ALL
-  SELECT 'q3', e.id, e.created_at, k.pattern_key, 0.0 FROM m_episodes e LEFT JOIN keyed k ON k.episode_id = e.id
-  WHERE e.status NOT IN ('superseded', 'rejected') AND (contains(lower(e.title), 'purch') OR contains(lower(e.goal), 'purch') OR contains(lower(e.problem_signature), 'purch'))) x) y WHERE rank <= 25"""
-ASKED = [("q1", "signup", None), ("q2", "Purchase", "prod"), ("q3", "purch zzz", None)]
+  SELECT DISTINCT t.query_id, e.id, e.created_at, k.pattern_key, 0.0
+  FROM (SELECT query_id, unnest(list_filter(regexp_split_to_array(lower(q), '[ \u00a0]+'), lambda w: length(w) > 1)[1:5]) AS w FROM asked WHERE query_id NOT IN ('q1', 'q2')) t
+  JOIN m_episodes e ON contains(lower(e.title), t.w) OR contains(lower(e.goal), t.w) OR contains(lower(e.problem_signature), t.w) LEFT JOIN keyed k ON k.episode_id = e.id
+  WHERE e.status NOT IN ('superseded', 'rejected')) x) y WHERE rank <= 25"""
 
 
 def searched(spark: SparkSession, sf: str) -> DataFrame:
     t = Inputs(spark, sf)
     out = keyed(t)
-    asked = spark.createDataFrame(ASKED, "query_id string, q string, environment string")
-    return Mm.search(asked, t.m_episodes, out, Mm.patterns(out), sequenced_attempts(t), fallback_words=5)
+    t.events.createOrReplaceTempView("events")
+    return Mm.search(spark.sql(ASKED_SQL), t.m_episodes, out, Mm.patterns(out), sequenced_attempts(t), fallback_words=5)
 
 
-@query("am5_am6_search", oracle(SEARCH_SQL, *MEM, **PATTERN_CTES))
+@query("am5_am6_search", oracle(SEARCH_SQL, *MEM, **PATTERN_CTES, asked=ASKED_SQL))
 def am5(spark: SparkSession, sf: str) -> DataFrame:
     return searched(spark, sf).select("query_id", "id", "rank", F.round("score", 6).alias("score"), "pattern_key")
 
@@ -143,13 +150,13 @@ def am5(spark: SparkSession, sf: str) -> DataFrame:
 @query("am7_search_assembly", oracle(f"""
 SELECT r.query_id, r.id, o.lesson, s.recommended_action FROM ({SEARCH_SQL}) r JOIN m_outcomes o ON o.episode_id = r.id
 LEFT JOIN (SELECT episode_id, max_by(action, sequence) AS recommended_action FROM seq WHERE result = 'success' GROUP BY 1) s ON s.episode_id = r.id""",
-    *MEM, "m_attempts", **PATTERN_CTES, seq=SEQ))
+    *MEM, "m_attempts", **PATTERN_CTES, seq=SEQ, asked=ASKED_SQL))
 def am7(spark: SparkSession, sf: str) -> DataFrame:
     return searched(spark, sf).select("query_id", "id", "lesson", "recommended_action")
 
 
 @query("am8_retrieval_audit", oracle(f"""
-SELECT query_id, string_agg(id, ',' ORDER BY rank) AS episode_ids, '[redacted]' AS query FROM ({SEARCH_SQL}) r GROUP BY 1""", *MEM, **PATTERN_CTES))
+SELECT query_id, string_agg(id, ',' ORDER BY rank) AS episode_ids, '[redacted]' AS query FROM ({SEARCH_SQL}) r GROUP BY 1""", *MEM, **PATTERN_CTES, asked=ASKED_SQL))
 def am8(spark: SparkSession, sf: str) -> DataFrame:
     audit = Mm.retrieval_audit(searched(spark, sf))
     return audit.select("query_id", F.array_join(F.transform("results", lambda r: r["episode_id"]), ",").alias("episode_ids"), "query")
@@ -396,6 +403,25 @@ def am23(spark: SparkSession, sf: str) -> DataFrame:
     return G.idempotent_first(Inputs(spark, sf).events, ["user_id", "event_type"]).select("user_id", "event_type", "event_id", "answered_by")
 
 
+# A third of all events share one key.
+HOT_KEYS = "SELECT CASE WHEN event_id % 3 = 0 THEN 'shared' ELSE concat('user ', CAST(user_id AS STRING)) END AS account, event_id, ts FROM events"
+
+
+@query("am23_hot_key", with_ctes("""
+SELECT k.account, k.event_id, arg_max(c.event_id, c.ts) AS answered_by FROM keyed k JOIN chain c
+ON c.account = k.account AND (c.ts < k.ts OR c.ts = k.ts AND c.event_id <= k.event_id) GROUP BY 1, 2""",
+    keyed=HOT_KEYS,
+    moments="SELECT account, ts, min(event_id) AS event_id FROM keyed GROUP BY 1, 2",
+    nxt="""SELECT m.account, m.ts, n.ts AS nts, n.event_id AS nid FROM (
+      SELECT account, ts, min(ts) OVER (PARTITION BY account ORDER BY ts RANGE BETWEEN INTERVAL 86400000001 MICROSECOND FOLLOWING AND UNBOUNDED FOLLOWING) AS nts FROM moments) m
+      JOIN moments n ON n.account = m.account AND n.ts = m.nts""",
+    chain="""SELECT account, min(ts) AS ts, arg_min(event_id, ts) AS event_id FROM moments GROUP BY 1
+     UNION ALL SELECT c.account, n.nts, n.nid FROM chain c JOIN nxt n ON n.account = c.account AND n.ts = c.ts""").replace("WITH ", "WITH RECURSIVE ", 1))
+def am23_hot(spark: SparkSession, sf: str) -> DataFrame:
+    Inputs(spark, sf).events.createOrReplaceTempView("events")
+    return G.idempotent_first(spark.sql(HOT_KEYS), ["account"])
+
+
 @query("am24_observations", """
 SELECT event_id, 'observed ' || event_type AS title, event_type || ' failure' AS problem_signature, event_type = 'error' AS rejected FROM events""")
 def am24(spark: SparkSession, sf: str) -> DataFrame:

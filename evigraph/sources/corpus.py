@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evigraph.functions.scalars import let
+from evigraph.sources.html import BLOCK_TYPES
+from evigraph.sources.text import WHITESPACE, strip
+
+BOM = chr(0xFEFF)
 # MIME types accepted for each file extension.
 MIME_TYPES = {
     ".txt": ("text/plain",),
@@ -40,7 +45,7 @@ def reject_reason(filename: Column, mime: Column, content: Column) -> Column:
         allowed = allowed | ((extension == ext) & kind.isin(*types))
     is_pdf = extension == ".pdf"
     text = F.try_validate_utf8(content)
-    start = F.lower(F.left(F.ltrim(F.coalesce(text, F.lit(""))), F.lit(64)))
+    start = F.lower(F.left(F.ltrim(F.coalesce(text, F.lit("")), F.lit(BOM + WHITESPACE)), F.lit(64)))
     html_ok = F.lit(False)
     for prefix in HTML_STARTS:
         html_ok = html_ok | start.startswith(prefix)
@@ -106,15 +111,6 @@ def new_documents(arrivals: DataFrame, stored: DataFrame, key: list[str], order:
 
 # Segments ----------------------------------------------------------------
 
-# The characters that count as whitespace at the ends of a text.
-WHITESPACE = "".join(chr(c) for c in (
-    *range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
-
-
-def strip(text: Column) -> Column:
-    return F.trim(text, F.lit(WHITESPACE))
-
-
 def collapse_blank_lines(text: Column) -> Column:
     return F.regexp_replace(text, "\n{3,}", "\n\n")
 
@@ -127,46 +123,83 @@ def plain_text(text: Column) -> Column:
 
 def csv_delimiter(text: Column) -> Column:
     """Most frequent candidate delimiter of the first line, comma first on ties."""
-    head = F.element_at(F.split(F.regexp_replace(text, '"[^"]*+"', ""), "\r?\n"), 1)  # marks inside quotes do not count
-    best, best_n = F.lit(","), F.lit(0)
-    for mark in CSV_DELIMITERS:
-        n = F.length(head) - F.length(F.replace(head, F.lit(mark), F.lit("")))
-        best, best_n = F.when(n > best_n, mark).otherwise(best), F.greatest(best_n, n)
-    return best
+    outside = F.regexp_replace(text, '"[^"]*+"', "")  # marks inside quotes do not count
+
+    def best(head: Column) -> Column:
+        counts = [F.struct((F.length(head) - F.length(F.replace(head, F.lit(mark), F.lit("")))).alias("n"), F.lit(-i).alias("order"), F.lit(mark).alias("mark"))
+                  for i, mark in enumerate(CSV_DELIMITERS)]
+        return F.array_max(F.array(*counts))["mark"]
+
+    return let(F.element_at(F.split(outside, "\r?\n", 2), 1), best)
+
+
+def csv_parsed(text: Column) -> Column:
+    """Struct ``records`` (their fields) and ``error`` of a whole CSV text.
+
+    Fields are matched one behind the other, each with the delimiter or line end
+    before it; a quoted field runs to its closing quote and must be followed by
+    a delimiter, a line end or the end. Where that fails matching stops, so an
+    unclosed quote or text after a closing one leaves characters over: an error.
+    """
+    body = F.replace(F.regexp_replace(text, f"^{BOM}", ""), F.lit("\r\n"), F.lit("\n"))
+
+    def parsed(bound: Column) -> Column:
+        mark, whole = bound["mark"], F.concat(F.lit("\n"), bound["body"])
+        safe = F.when(mark == "|", F.lit("\\|")).otherwise(mark)
+        # possessive: a plain repetition of a group recurses, and a long quoted cell overflows the stack
+        quoted = F.concat(F.lit('"[^"]*+(?:""[^"]*+)*+"(?=\n|\\z|'), safe, F.lit(")"))
+        pattern = F.concat(F.lit("\\G(?:\n|"), safe, F.lit(")(?:"), quoted, F.lit('|(?!")[^\n'), safe, F.lit("]*+)"))
+        return let(F.regexp_extract_all(whole, pattern, F.lit(0)), lambda tokens: F.struct(
+            _csv_rows(tokens).alias("records"),
+            F.when(F.char_length(F.array_join(tokens, "")) < F.char_length(whole), "malformed CSV: quote").alias("error")))
+
+    return let(F.struct(body.alias("body"), csv_delimiter(body).alias("mark")), parsed)
+
+
+def _csv_rows(tokens: Column) -> Column:
+    """Fields by record from fields that begin with the sign before them."""
+    def value(token: Column) -> Column:
+        field = F.substring(token, F.lit(2), F.char_length(token))
+        inner = F.substring(field, F.lit(2), F.char_length(field) - 2)
+        return strip(F.when(field.startswith('"'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(field))
 
+    starts = F.array_compact(F.transform(tokens, lambda t, i: F.when(t.startswith("\n"), i)))
 
-def _csv_fields(line: Column, mark: Column) -> Column:
-    """Fields of one record; quoted fields may hold the delimiter, line ends and doubled quotes."""
-    safe = F.when(mark == "|", F.lit("\\|")).otherwise(mark)
-    # possessive: a plain repetition of a group recurses, and a long quoted cell overflows the stack
-    pattern = F.concat(safe, F.lit('("[^"]*+(?:""[^"]*+)*+"|[^"'), safe, F.lit("]*+)"))
-    raw = F.regexp_extract_all(F.concat(mark, line), pattern, F.lit(1))
-    return F.transform(raw, lambda f: strip(
-        F.when(f.startswith('"'), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)))
+    def rows(bound: Column) -> Column:
+        ends = F.concat(F.slice(bound["starts"], F.lit(2), F.size(bound["starts"])), F.array(F.size(bound["values"])))
+        return F.zip_with(bound["starts"], ends, lambda a, b: F.slice(bound["values"], a + 1, b - a))
+
+    return let(F.struct(F.transform(tokens, value).alias("values"), starts.alias("starts")), rows)
+
+
+def csv_errors(documents: DataFrame, doc_id: str = "document_id", text: str = "text") -> DataFrame:
+    """The documents that ``csv_records`` rejects as a whole, with the reason."""
+    return documents.select(doc_id, csv_parsed(F.col(text))["error"].alias("error")).where("error IS NOT NULL")
 
 
 def csv_records(documents: DataFrame, doc_id: str = "document_id", text: str = "text") -> DataFrame:
-    """One row per CSV record: number, columns, values and ``k: v; …`` text.
+    """One row per CSV record of a well-formed document: number, columns, values and ``k: v; …`` text.
 
     A record ends at a line end outside quotes. Blank records are dropped; short
-    records keep the columns they fill.
+    records keep the columns they fill; a document with an unclosed quote gives
+    no record at all (see ``csv_errors``).
     """
-    body = F.replace(F.regexp_replace(F.col(text), "^﻿", ""), F.lit("\r\n"), F.lit("\n"))
-    records = F.regexp_extract_all(body, F.lit(r'([^"\n]*+(?:"[^"]*+"[^"\n]*+)*+)'), F.lit(1))
-    rows = documents.select(doc_id, csv_delimiter(F.col(text)).alias("_mark"), records.alias("_records"))
-    cells = rows.withColumn(
-        "_rows", F.filter(F.transform("_records", lambda r: _csv_fields(r, F.col("_mark"))),
-                          lambda c: F.exists(c, lambda v: v != "")))
+    rows = documents.select(doc_id, csv_parsed(F.col(text)).alias("_csv")).where("_csv.error IS NULL")
+    kept = rows.select(doc_id, F.filter("_csv.records", lambda c: F.exists(c, lambda v: v != "")).alias("_rows"))
     header = F.element_at(F.col("_rows"), 1)
     body_rows = F.slice("_rows", F.lit(2), F.greatest(F.size("_rows") - 1, F.lit(0)))
-    out = cells.filter(F.size("_rows") > 0).select(doc_id, header.alias("columns"), F.posexplode(body_rows).alias("_pos", "_cells"))
+    out = kept.filter(F.size("_rows") > 0).select(doc_id, header.alias("columns"), F.posexplode(body_rows).alias("_pos", "_cells"))
     width = F.least(F.size("columns"), F.size("_cells"))
     keys, values = F.slice("columns", F.lit(1), width), F.slice("_cells", F.lit(1), width)
+
+    def by_name(b: Column) -> Column:
+        names = F.array_distinct(b["k"])
+        # a repeated name takes its last value
+        return F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(b["v"], -F.array_position(b["back"], k).cast("int"))))
+
     return out.select(
         doc_id, (F.col("_pos") + 1).cast("bigint").alias("record_number"), "columns",
-        F.map_from_arrays(F.array_distinct(keys), F.transform(
-            F.array_distinct(keys), lambda k: F.element_at(values, (F.size(keys) - F.array_position(F.reverse(keys), k) + 1).cast("int"))))
-        .alias("values"),
+        let(F.struct(keys.alias("k"), values.alias("v"), F.reverse(keys).alias("back")), by_name).alias("values"),
         F.array_join(F.zip_with(keys, values, lambda k, v: F.concat(k, F.lit(": "), v)), "; ").alias("text"),
     )
 
@@ -197,65 +230,6 @@ def json_records(documents: DataFrame, doc_id: str = "document_id", text: str =
     )
 
 
-# Block tags in HTML and the block type each yields.
-BLOCK_TYPES = {"li": "list", "table": "table", "pre": "code", "p": "paragraph"}
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
-
-
-def _decoded(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
-
-
-def _visible(markup: Column, keep_lines: bool = False) -> Column:
-    """Text of a markup fragment: tags become gaps, entities are decoded, spaces collapse."""
-    gap = "\n" if keep_lines else " "
-    out = _decoded(F.regexp_replace(markup, "<[^>]*>", gap))
-    if keep_lines:
-        return strip(F.regexp_replace(out, "[ \\t\\r]*\n[ \\t\\r\\n]*", "\n"))
-    return strip(F.regexp_replace(out, "[ \\t\\r\\n]+", " "))
-
-
-def html_without_scripts(html: Column) -> Column:
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for tag in ("script", "style", "noscript"):
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    return out
-
-
-def html_title(html: Column) -> Column:
-    return F.nullif(_visible(F.regexp_extract(html_without_scripts(html), r"(?is)<title[^>]*>(.*?)</title\s*>", 1)), F.lit(""))
-
-
-CUT = "\x01"
-
-
-def html_blocks(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """Headings and p / li / pre / table blocks in document order, as ``position``, ``tag``, ``text``.
-
-    Tables and code stay whole. Other blocks end at their closing tag or where
-    the next block opens, so unclosed tags do not swallow what follows.
-    """
-    clean = F.replace(html_without_scripts(F.col(html)), F.lit(CUT), F.lit(""))
-    whole = F.regexp_replace(clean, r"(?is)(<(?:table|pre)\b.*?</(?:table|pre)\s*>)", f"{CUT}$1{CUT}")
-    pieces = F.split(whole, CUT)
-
-    def cut(piece: Column) -> Column:
-        opened = F.regexp_replace(piece, r"(?i)<(h[1-6]|p|li)\b", f"{CUT}<$1")
-        closed = F.regexp_replace(opened, r"(?i)</(h[1-6]|p|li|ul|ol)\s*>", CUT)
-        return F.when(piece.rlike(r"(?i)^<(?:table|pre)\b"), F.array(piece)).otherwise(F.split(closed, CUT))
-
-    found = pages.select(page_id, F.posexplode(F.flatten(F.transform(pieces, cut))).alias("position", "_raw"))
-    tag = F.lower(F.regexp_extract("_raw", r"(?i)^<(h[1-6]|p|li|table|pre)\b", 1))
-    return (
-        found.select(page_id, F.col("position").cast("bigint").alias("position"), tag.alias("tag"), "_raw")
-        .filter(F.col("tag") != "")
-        .withColumn("text", F.when(F.col("tag").isin("pre", "table"), _visible(F.col("_raw"), True)).otherwise(_visible(F.col("_raw"))))
-        .filter(F.col("text") != "").drop("_raw")
-    )
-
-
 def section_paths(blocks: DataFrame, page_id: str = "page_id") -> DataFrame:
     """Body blocks with the path of enclosing headings.
 

@@ -30,9 +30,11 @@ def test_idempotency_hot_and_normal_keys(spark):
     rows += [("c", start, 900), ("c", start + dt.timedelta(hours=24), 901), ("c", start + dt.timedelta(hours=24, seconds=1), 902)]
     df = spark.createDataFrame(rows, "k string, ts timestamp, event_id int")
     want = _answers(rows)
-    for limit in (1, 10**6):
-        got = {r.event_id: r.answered_by for r in G.idempotent_first(df, ["k"], key_limit=limit).collect()}
-        assert got == want
+    got = {r.event_id: r.answered_by for r in G.idempotent_first(df, ["k"]).collect()}
+    assert got == want
+    short = {r.event_id: r.answered_by for r in G.idempotent_first(df, ["k"], hours=1).collect()}
+    assert short == _answers(rows, 1)
+    assert G.idempotent_first(df.where("false"), ["k"]).count() == 0
 
 
 def test_confidence_fold_over_many_blocks(spark, monkeypatch):

@@ -10,6 +10,7 @@ from evigraph.operators import chunking as C
 from evigraph.operators import construction as B
 from evigraph.operators import extraction as E
 from evigraph.sources import corpus as S
+from evigraph.sources import html as H
 
 
 def test_find_evidence_keeps_source_quote(spark):
@@ -117,7 +118,7 @@ def test_csv_quotes_and_blank_records(spark):
 def test_html_sections(spark):
     html = "<body><h1>A</h1><p>one<p>two<h3>C</h3><ul><li>x</li></ul><h2>B</h2><pre>a\n b</pre><table><tr><td>q</td><td>r</td></tr></table>tail</body>"
     df = spark.createDataFrame([(1, html)], "page_id int, html string")
-    rows = S.section_paths(S.html_blocks(df)).orderBy("position").collect()
+    rows = S.section_paths(H.html_blocks(df)).orderBy("position").collect()
     assert [(r.block_type, r.text, r.section_path) for r in rows] == [
         ("paragraph", "one", ["A"]), ("paragraph", "two", ["A"]), ("list", "x", ["A", "C"]),
         ("code", "a\nb", ["A", "B"]), ("table", "q\nr", ["A", "B"])]
