@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from evigraph.functions.scalars import language_of, symbol_id, token_count
+from evigraph.functions.scalars import language_of, let, symbol_id, token_count
 from evigraph.operators.chunking import chunk_pieces
 
 # Fixed value: a line that opens a symbol.
 SYMBOL_LINE = r"^\s*(?:async\s+)?(def|function|fn|func|class|struct|interface|type)\s+([A-Za-z0-9_]+)"
 FUNCTION_WORDS = ("def", "function", "fn", "func")
-SYMBOL_LINES = 20
 CHUNK_CHARS = 1200
 # Files taken from a source tree.
 SOURCE_SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go", ".rs", ".c", ".cpp", ".h", ".hpp")
@@ -47,31 +46,25 @@ def _opened(lines: Column) -> Column:
     return F.filter(found, lambda s: s["word"] != "")
 
 
-def _symbol_ends(n_lines: Column, max_lines: int | None) -> Column:
-    """Last line of each of ``_symbols``: before the next one of equal or lower indentation, else the file's last.
+def _symbol_ends(symbols: Column, n_lines: Column, max_lines: int | None) -> Column:
+    """Last line of each symbol: before the next one of equal or lower indentation, else the file's last.
 
-    SYMBOL_LINES lines after the first belong to a symbol in any case; ``max_lines`` ends it so many lines after its first.
+    The symbols are folded from the last one; the stack holds the later ones
+    that still can end an earlier one, so it is as deep as the indentation.
+    ``max_lines`` ends a symbol so many lines after its first.
     """
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def ends(places: pd.Series, indents: pd.Series, sizes: pd.Series) -> pd.Series:
-        rows = []
-        for at, indent, n in zip(places, indents, sizes):
-            if at is None:
-                rows.append(None)
-                continue
-            out, still_open = [n] * len(at), []
-            for k in range(len(at)):
-                while still_open and indent[still_open[-1]] >= indent[k]:
-                    out[still_open.pop()] = at[k]
-                still_open.append(k)
-            rows.append([int(x) for x in out])
-        return pd.Series(rows, dtype=object)
-
-    least = lambda s, lines: F.least(s["at"] + 1 + lines, n_lines)
     if max_lines is not None:
-        return F.transform("_symbols", lambda s: least(s, max_lines))
-    own = ends(F.col("_symbols.at"), F.col("_symbols.indent"), n_lines)
-    return F.zip_with("_symbols", own, lambda s, end: F.greatest(end, least(s, SYMBOL_LINES)))
+        return F.transform(symbols, lambda s: F.least(s["at"] + 1 + max_lines, n_lines))
+    start = F.struct(F.array().cast("array<struct<at: int, indent: int>>").alias("stack"), F.array().cast("array<int>").alias("ends"))
+
+    def step(acc: Column, s: Column) -> Column:
+        def settled(kept: Column) -> Column:
+            return F.struct(F.concat(kept, F.array(F.struct(s["at"].alias("at"), s["indent"].alias("indent")))).alias("stack"),
+                            F.concat(acc["ends"], F.array(F.coalesce(F.try_element_at(kept, F.lit(-1))["at"], n_lines))).alias("ends"))
+
+        return let(F.filter(acc["stack"], lambda later: later["indent"] <= s["indent"]), settled)
+
+    return F.reverse(F.aggregate(F.reverse(symbols), start, step, lambda acc: acc["ends"]))
 
 
 def symbols(files: DataFrame, path: str = "file_path", code: str = "code", max_lines: int | None = None) -> DataFrame:
@@ -80,7 +73,7 @@ def symbols(files: DataFrame, path: str = "file_path", code: str = "code", max_l
     base = files.select(F.col(path).alias("file_path"), lang.alias("language"), lines_of(F.col(code)).alias("_lines"))
     base = base.withColumn("parent_id", symbol_id(F.col("language"), F.col("file_path"), _file_name(F.col("file_path")), F.lit("file")))
     base = base.select("file_path", "language", "parent_id", F.size("_lines").alias("_n"), _opened(F.col("_lines")).alias("_symbols"))
-    found = base.withColumn("_end", _symbol_ends(F.col("_n"), max_lines)).select(
+    found = base.withColumn("_end", _symbol_ends(F.col("_symbols"), F.col("_n"), max_lines)).select(
         "file_path", "language", "parent_id", F.explode(F.arrays_zip("_symbols", "_end")).alias("_r")).select(
         "file_path", "language", "parent_id", "_r._symbols.*", F.col("_r._end").alias("_end"))
     kind = F.when(F.col("word").isin(*FUNCTION_WORDS), "function").otherwise("class")
@@ -124,7 +117,7 @@ def symbol_chunks(files: DataFrame, path: str = "file_path", code: str = "code",
     """
     base = files.select(F.col(path).alias("file_path"), F.col(code).alias("code"), lines_of(F.col(code)).alias("_lines"))
     base = base.withColumn("_symbols", _opened(F.col("_lines"))).withColumn("_n", F.size("_lines"))
-    own = F.zip_with("_symbols", _symbol_ends(F.col("_n"), max_lines), lambda s, end: F.struct(
+    own = F.zip_with("_symbols", _symbol_ends(F.col("_symbols"), F.col("_n"), max_lines), lambda s, end: F.struct(
         s["name"].alias("name"), (s["at"] + 1).alias("first"), end.alias("last"),
         F.array_join(F.slice("_lines", s["at"] + 1, end - s["at"]), "\n").alias("text")))
     name = _file_name(F.col("file_path")).alias("name")
@@ -156,20 +149,35 @@ CALL = r"([A-Za-z_][A-Za-z0-9_]*)\s*\("
 NOT_CALLS = ("if", "for", "while", "switch", "return", "def", "fn", "func", "function", "class", "print", "catch", "with", "match")
 
 
+def _relation_lines(lines: Column) -> Column:
+    """The lines that may hold a relation, with their place and the innermost symbol open there.
+
+    A line belongs to the last symbol above it that is indented less (any symbol
+    that closed that one would come later and be taken itself); a line that
+    opens a symbol belongs to it.
+    """
+    def owned(every: Column, opened: Column) -> Column:
+        def owner(line: Column, at: Column) -> Column:
+            indent = F.length(F.regexp_extract(line, r"^\s*", 0))
+            return F.try_element_at(F.filter(opened, lambda s: (s["at"] == at) | ((s["at"] < at) & (s["indent"] < indent))), F.lit(-1))
+
+        marked = F.transform(every, lambda line, at: F.when(line.rlike(f"{SYMBOL_LINE}|{IMPORT_LINE}|{CALL}"), F.struct(
+            at.alias("at"), line.alias("line"), owner(line, at).alias("own"))))
+        return F.array_compact(marked)
+
+    return let(lines, lambda every: let(_opened(every), lambda opened: owned(every, opened)))
+
+
 def text_relations(files: DataFrame, path: str = "file_path", code: str = "code") -> DataFrame:
-    """Imports, inheritance and calls by line; a call belongs to the nearest symbol opened above it.
+    """Imports, inheritance and calls by line; a call belongs to the innermost symbol open at its line, one outside all symbols to none.
 
     Only lines that open a symbol or hold a relation leave the file's row.
     """
     p = F.col(path)
-    base = files.select(p.alias("file_path"), language_of(p).alias("language"), lines_of(F.col(code)).alias("_lines"))
-    word = F.regexp_extract("_line", SYMBOL_LINE, 1)
-    rows = base.select("file_path", "language", F.posexplode("_lines").alias("_at", "_line")).filter(
-        F.col("_line").rlike(f"{SYMBOL_LINE}|{IMPORT_LINE}|{CALL}"))
-    opened = F.when(word != "", F.struct(
-        F.regexp_extract("_line", SYMBOL_LINE, 2).alias("name"), F.when(word.isin(*FUNCTION_WORDS), "function").otherwise("class").alias("kind")))
-    above = Window.partitionBy("file_path").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_own", F.last(opened, ignorenulls=True).over(above)).withColumn("line_number", (F.col("_at") + 1).cast("bigint"))
+    base = files.select(p.alias("file_path"), language_of(p).alias("language"), F.explode(_relation_lines(lines_of(F.col(code)))).alias("r"))
+    kind = F.when(F.col("r.own.word").isin(*FUNCTION_WORDS), "function").otherwise("class")
+    rows = base.select("file_path", "language", F.col("r.line").alias("_line"), (F.col("r.at") + 1).cast("bigint").alias("line_number"),
+                       F.when(F.col("r.own").isNotNull(), F.struct(F.col("r.own.name").alias("name"), kind.alias("kind"))).alias("_own"))
     file_id = symbol_id(F.col("language"), F.col("file_path"), _file_name(F.col("file_path")), F.lit("file"))
     owner_id = F.when(F.col("_own").isNotNull(), symbol_id(F.col("language"), F.col("file_path"), F.col("_own.name"), F.col("_own.kind")))
     calls = F.filter(F.regexp_extract_all("_line", F.lit(CALL), F.lit(1)), lambda c: ~c.isin(*NOT_CALLS) & (c != F.regexp_extract("_line", SYMBOL_LINE, 2)))

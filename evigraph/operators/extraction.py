@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.functions.scalars import ascii_name, clamp01, normalize_name
+from evigraph.session import cut_lineage
 from evigraph.sources.corpus import strip
 
 # The grammar, the heuristics and the sentence patterns.
@@ -49,7 +50,7 @@ def grammar_entities(docs: DataFrame, keys: list[str], text: str = "text") -> Da
     hits = docs.select(*keys, F.posexplode(_groups(F.col(text), ENTITY_GRAMMAR, ("name", 1), ("type", 2))).alias("position", "m"))
     hits = hits.select(*keys, "position", strip(F.col("m.name")).alias("name"), F.col("m.type").alias("type"))
     return (
-        hits.groupBy(*keys, ascii_name(F.col("name")).alias("norm_name"), ascii_name(F.col("type")).alias("norm_type"))
+        hits.groupBy(*keys, normalize_name(F.col("name")).alias("norm_name"), ascii_name(F.col("type")).alias("norm_type"))
         .agg(F.max_by(F.struct("name", "type"), "position").alias("m"), F.min("position").alias("position"))
         .select(*keys, "m.name", "m.type", "norm_name", "norm_type", F.lit(1.0).alias("confidence"), "position")
     )
@@ -158,6 +159,12 @@ def _text_of(item: Column, *fields: str) -> Column:
     return F.coalesce(*picks)
 
 
+def _texts_of(item: Column, field: str) -> Column:
+    """The items of a list that are text."""
+    listed = F.coalesce(F.try_variant_get(item, f"$.{field}", _ITEM), F.array().cast(_ITEM))
+    return F.transform(F.filter(listed, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.try_variant_get(v, "$", "string"))
+
+
 def _confidence_of(item: Column) -> Column:
     raw = F.try_variant_get(item, "$.confidence", "variant")
     numeric = F.regexp_like(F.schema_of_variant(raw), F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"))
@@ -181,11 +188,11 @@ def payload_tables(docs: DataFrame, keys: list[str], content: str = "content") -
 
     entity = F.transform(items("entities", "nodes"), lambda i: F.struct(
         _text_of(i, "name", "label", "id").alias("name"), F.coalesce(_text_of(i, "type"), F.lit("Entity")).alias("type"),
-        _confidence_of(i).alias("confidence"), _text_of(i, "id").alias("id")))
+        _confidence_of(i).alias("confidence"), _text_of(i, "id").alias("id"), _texts_of(i, "aliases").alias("aliases")))
     known = F.filter(entity, lambda e: e["name"].isNotNull())
-    staged = parsed.withColumn("_entities", F.coalesce(known, F.array().cast("array<struct<name:string,type:string,confidence:double,id:string>>")))
+    staged = parsed.withColumn("_entities", F.coalesce(known, F.array().cast("array<struct<name:string,type:string,confidence:double,id:string,aliases:array<string>>>")))
     entities = staged.select(*keys, F.posexplode("_entities").alias("position", "e")).select(
-        *keys, "position", "e.name", "e.type", "e.confidence")
+        *keys, "position", "e.name", "e.type", "e.confidence", "e.aliases")
 
     def name_of(ref: Column) -> Column:
         named = F.filter("_entities", lambda e: e["id"] == ref)
@@ -204,18 +211,30 @@ def payload_tables(docs: DataFrame, keys: list[str], content: str = "content") -
     return entities, relations
 
 
-def answer_or_grammar(docs: DataFrame, keys: list[str], content: str = "content", text: str = "text") -> DataFrame:
-    """Which source each document uses: its stored answer, or the grammar when the answer is unusable or empty."""
+def deterministic(docs: DataFrame, keys: list[str], text: str = "text", phrase_stop: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations of all fixed rules: the grammar, and contacts, skills and phrases where no entity is typed."""
+    columns = [*keys, "name", "type", "confidence"]
+    entities = grammar_entities(docs, keys, text).select(*columns).unionByName(heuristic_entities(docs, keys, text, phrase_stop).select(*columns))
+    return entities, grammar_relations(docs, keys, text).select(*keys, "source", "type", "target", "confidence")
+
+
+def extract(
+    docs: DataFrame, keys: list[str], content: str = "content", text: str = "text", phrase_stop: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations per document with ``extraction_source``.
+
+    A stored answer counts if it holds anything; else the fixed rules speak for
+    the document, whether the answer is no JSON object or an empty one.
+    """
     entities, relations = payload_tables(docs, keys, content)
-    answered = entities.select(*keys).unionByName(relations.select(*keys)).distinct().withColumn("_answered", F.lit(True))
-    parsed = F.try_variant_get(payload_object(F.col(content)), "$", "variant").isNotNull()
-    grammar = F.regexp_like(F.col(text), F.lit(ENTITY_GRAMMAR)) | F.regexp_like(F.col(text), F.lit(RELATION_GRAMMAR))
-    return (
-        docs.join(answered, keys, "left")
-        .withColumn("extraction_source", F.when(F.col("_answered"), "answer")
-                    .when(F.coalesce(parsed, F.lit(False)) & ~grammar, "answer").otherwise("grammar"))
-        .drop("_answered")
-    )
+    entities = entities.select(*keys, "name", "type", "confidence", "aliases", F.lit("answer").alias("extraction_source"))
+    relations = relations.select(*keys, "source", "type", "target", "confidence", F.lit("answer").alias("extraction_source"))
+    answered = cut_lineage(entities.select(*keys).unionByName(relations.select(*keys)).distinct())
+    silent = docs.join(answered, keys, "left_anti")
+    found, links = deterministic(silent, keys, text, phrase_stop)
+    rules = F.lit("rules").alias("extraction_source")
+    return (entities.unionByName(found.select("*", F.array().cast("array<string>").alias("aliases"), rules)),
+            relations.unionByName(links.select("*", rules)))
 
 
 def resolve_candidates(mentions: DataFrame, entities: DataFrame) -> DataFrame:

@@ -11,11 +11,13 @@ from pyspark.sql.types import DoubleType
 
 from evigraph.functions.content import content_error
 from evigraph.functions.scalars import (
-    feedback_status, is_promoted, outcome_score, pattern_key, redact_map, smoothed_confidence, verifier_weight,
+    feedback_status, is_promoted, outcome_score, pattern_key, redact_json, smoothed_confidence, stable_id, verifier_weight,
 )
+from evigraph.operators.governance import idempotent_first
 from evigraph.operators.ranking import fixed_batches, top_n_per_group
 from evigraph.operators.substring import containing
 from evigraph.session import cut_lineage
+from evigraph.sources.corpus import json_valid
 
 OPEN_STATES = ("open", "active", "degraded")
 CLOSED_STATES = ("superseded", "rejected")
@@ -27,24 +29,74 @@ BLOCK = 1000
 # Intake and attempts -----------------------------------------------------
 
 
+def _json_text(df: DataFrame, column: str) -> Column:
+    """A JSON column as text: maps and structs are written out, text stays."""
+    return F.col(column) if df.schema[column].dataType.simpleString() == "string" else F.to_json(column)
+
+
+def _is_object(text: Column) -> Column:
+    return F.coalesce(json_valid(text) & F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
+
+
 def intake(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) episodes: typed content checked, maps redacted, defaults filled.
+    """(accepted, rejected) episodes: typed content checked, secrets masked at every depth, defaults filled.
 
-    ``raw`` has ``id, domain, type, title, goal, problem_signature, metadata
-    map, content map``; accepted rows start open at version 1.
+    ``raw`` has ``id, domain, type, title, goal, problem_signature`` and
+    ``metadata`` and ``content`` as JSON text, map or struct; accepted rows keep
+    them as JSON text with their types and start open at version 1.
     """
+    texts = raw.withColumns({c: _json_text(raw, c) for c in ("metadata", "content")})
+    content, metadata = F.col("content"), F.col("metadata")
     reason = F.coalesce(
         F.when(~F.col("domain").isin(*DOMAINS), "invalid domain"),
-        F.when(F.size("content") > 0, content_error(F.col("type"), F.to_json("content"))),
+        F.when(content.isNotNull() & ~_is_object(content), "invalid content"),
+        F.when(metadata.isNotNull() & ~_is_object(metadata), "invalid metadata"),
+        F.when(F.size(F.json_object_keys(content)) > 0, content_error(F.col("type"), content)),
     )
-    checked = raw.withColumn("reject_reason", reason)
+    checked = texts.withColumn("reject_reason", reason)
     good = checked.filter("reject_reason IS NULL").drop("reject_reason").select(
         *[c for c in raw.columns if c not in ("metadata", "content")],
-        redact_map(F.col("metadata")).alias("metadata"), redact_map(F.col("content")).alias("content"),
+        redact_json(metadata).alias("metadata"), redact_json(content).alias("content"),
         F.lit("open").alias("status"), F.lit(1).alias("version"), F.lit(0).alias("feedback_score"))
     return good, checked.filter("reject_reason IS NOT NULL")
 
 
+def recorded(requests: DataFrame, ts: str = "ts") -> tuple[DataFrame, DataFrame]:
+    """(episodes, answers) of observation and commit requests.
+
+    ``requests(request_id, project_id, operation, kind, content, metadata, confidence, idempotency_key, ts)``:
+    an ``observe`` is stored as it comes, a ``commit`` must hold typed content of
+    its kind. Requests of one key within its window are answered by the episode
+    of the first accepted one; requests without a key are stored each. Answers
+    have the episode or the reason of the refusal.
+    """
+    observed = F.col("operation") == "observe"
+    texts = requests.withColumns({c: _json_text(requests, c) for c in ("metadata", "content")})
+    refusal = F.coalesce(
+        F.when(~F.col("operation").isin("observe", "commit"), "unknown operation"),
+        F.when(~_is_object(F.coalesce("content", F.lit("{}"))), "invalid content"),
+        F.when(~_is_object(F.coalesce("metadata", F.lit("{}"))), "invalid metadata"),
+        F.when(F.col("operation") == "commit", content_error(F.col("kind"), F.coalesce("content", F.lit("{}")))))
+    checked = cut_lineage(texts.withColumn("refusal", refusal))
+    accepted = checked.where("refusal IS NULL")
+    keyed = idempotent_first(accepted.where("idempotency_key IS NOT NULL"), ["project_id", "idempotency_key"], ts, "request_id")
+    first = cut_lineage(keyed.select("request_id", F.col("answered_by")).unionByName(
+        accepted.where("idempotency_key IS NULL OR project_id IS NULL").select("request_id", F.col("request_id").alias("answered_by"))))
+    episode = stable_id("mem", F.col("answered_by"))
+    answers = checked.select("request_id", "refusal").join(first, "request_id", "left").select(
+        "request_id", F.when(F.col("answered_by").isNotNull(), episode).alias("episode_id"), "answered_by", "refusal")
+    stored = accepted.join(first.where("request_id = answered_by"), "request_id", "left_semi")
+    episodes = stored.select(
+        stable_id("mem", F.col("request_id")).alias("id"), "project_id", F.when(observed, "engineering").otherwise("custom").alias("domain"),
+        F.when(observed, "custom").otherwise(F.col("kind")).alias("type"),
+        F.when(observed, F.coalesce("kind", F.lit("observation"))).otherwise(F.concat(F.lit("commit: "), "kind")).alias("title"),
+        F.when(observed, "observation").otherwise("committed memory").alias("goal"), F.coalesce("kind", F.lit("observation")).alias("problem_signature"),
+        redact_json(F.coalesce("metadata", F.lit("{}"))).alias("metadata"), redact_json(F.coalesce("content", F.lit("{}"))).alias("content"),
+        F.when(observed, 0.5).otherwise(F.coalesce("confidence", F.lit(0.5))).alias("confidence"),
+        F.lit("open").alias("status"), F.lit(1).alias("version"), F.col(ts).alias("created_at"))
+    return episodes, answers
+
+
 def episode_evidence(episodes: DataFrame, references: str = "references") -> DataFrame:
     """One row per evidence reference of an episode."""
     return episodes.select(F.col("id").alias("episode_id"), F.posexplode(references).alias("position", "reference"))

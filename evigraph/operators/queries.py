@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.operators.measures import density, endpoint_degree
-from evigraph.operators.predicates import low_signal, source_location, supported_entities, supported_graph, temporal_filter
+from evigraph.operators.predicates import low_signal, source_location, supported_entities, supported_graph, supported_relations, temporal_filter
 from evigraph.operators.ranking import top_n_per_group
 from evigraph.operators.substring import containing
 from evigraph.session import cut_lineage
@@ -135,6 +135,40 @@ def graph_summary(
         "id", "canonical_name", "entity_type", "degree", "entity_count", "relation_count")
 
 
+def with_citations(relations: DataFrame, evidence: DataFrame, chunks: DataFrame, limit: int = MAX_CITATIONS) -> DataFrame:
+    """Relations with ``citations``, their first cited quotes and places, at most ``limit`` each, in order."""
+    cited = citations(evidence, chunks, relations, limit).groupBy("relation_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", F.col("id").alias("evidence_id"), "document_id", "chunk_id", "quote", "source_location"))).alias("citations"))
+    kind = cited.schema["citations"].dataType
+    return relations.join(cited, relations["id"] == cited["relation_id"], "left").drop("relation_id").withColumn(
+        "citations", F.coalesce("citations", F.array().cast(kind)))
+
+
+def neighbour_citations(near: DataFrame, evidence: DataFrame, chunks: DataFrame, limit: int = MAX_CITATIONS) -> DataFrame:
+    """``neighbours`` with the citations of each relation; a relation that many roots share is looked up once."""
+    found = with_citations(near.select(F.col("relation_id").alias("id")).distinct(), evidence, chunks, limit)
+    return near.join(found.withColumnRenamed("id", "relation_id"), "relation_id")
+
+
+def relations_among(
+    nodes: DataFrame, relations: DataFrame, limit: int | None = None, as_of: Column | None = None, include_history: bool = True,
+) -> DataFrame:
+    """Relations between shown nodes, the first ``limit`` by id (a view's limit; none keeps all)."""
+    kept = induced(relations.filter(temporal_filter(as_of, include_history)), nodes).select(
+        "id", "source_entity_id", "target_entity_id", "relation_type", "confidence")
+    return kept if limit is None else kept.orderBy("id").limit(limit)
+
+
+def summary_relations(
+    summary: DataFrame, relations: DataFrame, evidence: DataFrame, chunks: DataFrame, limit: int = 100,
+    depth: int = 1, as_of: Column | None = None, include_history: bool = False,
+) -> DataFrame:
+    """The relations that a summary shows among its nodes, with citations; depth 0 shows none."""
+    live = supported_relations(relations, evidence)
+    shown = relations_among(summary, live if depth else live.limit(0), limit, as_of, include_history)
+    return with_citations(shown, evidence, chunks)
+
+
 def explorer_nodes(entities: DataFrame, members: DataFrame, metrics: DataFrame, level: int = 0) -> DataFrame:
     """Entities with community and metrics; entities newer than the analytics run keep defaults."""
     at_level = members.filter(F.col("level") == level).select(F.col("entity_id").alias("id"), "community_id")
@@ -153,8 +187,14 @@ def explorer_stats(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return one.withColumn("density", density(F.col("relation_count"), F.col("entity_count")))
 
 
+def child_ids(stats: DataFrame) -> DataFrame:
+    """(level, community_id, child_id): the communities one level below, by their parent."""
+    below = stats.filter(F.col("parent_id").isNotNull())
+    return below.select((F.col("level") + 1).alias("level"), F.col("parent_id").alias("community_id"), F.col("community_id").alias("child_id"))
+
+
 def children(stats: DataFrame) -> DataFrame:
-    """Child communities per parent as (parent, child) rows plus the child count."""
+    """Communities with the number of their children."""
     sizes = stats.filter(F.col("parent_id").isNotNull()).groupBy(
         F.col("level") + 1, "parent_id").agg(F.count("*").alias("child_count"))
     sizes = sizes.toDF("level", "community_id", "child_count")

@@ -221,10 +221,38 @@ def x12_rel(spark: SparkSession, sf: str) -> DataFrame:
     return E.payload_tables(answers(spark, sf), ["doc_id"])[1].select("doc_id", "source", "type", "target", "confidence")
 
 
-@query("x13_answer_or_grammar", """
-SELECT c_custkey AS doc_id, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'answer' ELSE 'grammar' END AS extraction_source FROM customer""")
+@query("x12_payload_aliases", """
+SELECT c_custkey AS doc_id, c_name || ' / ' || CAST(c_custkey AS VARCHAR) AS aliases FROM customer WHERE c_mktsegment = 'MACHINERY'""")
+def x12_aliases(spark: SparkSession, sf: str) -> DataFrame:
+    content = F.concat(F.lit('{"entities": [{"name": "n", "aliases": ["'), "c_name", F.lit('", 7, null, "'), F.col("c_custkey").cast("string"), F.lit('"]}]}'))
+    docs = Inputs(spark, sf).customer.where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("doc_id"), content.alias("content"))
+    return E.payload_tables(docs, ["doc_id"])[0].select("doc_id", F.array_join("aliases", " / ").alias("aliases"))
+
+
+# Documents without a usable answer: typed names (two spellings that fold alike), contacts and skills, or nothing at all.
+SPOKEN = ANSWERS.replace("concat('Customer ', CAST(c_custkey AS STRING), ' [Customer]') AS text", """CASE c_mktsegment
+  WHEN 'HOUSEHOLD' THEN concat('Mail bob', CAST(c_custkey AS STRING), '@x.org about docker') WHEN 'AUTOMOBILE' THEN concat('Straße ', CAST(c_custkey AS STRING), ' [Street] STRASSE ', CAST(c_custkey AS STRING), ' [street]; ', c_name, ' -> NEAR -> B')
+  ELSE 'nothing here' END AS text""")
+
+
+@query("x13_extracted_entities", """
+SELECT c_custkey AS doc_id, c_name AS name, CASE c_mktsegment WHEN 'BUILDING' THEN 'Entity' ELSE 'Customer' END AS type, CAST(0.8 AS DOUBLE) AS confidence, 'answer' AS extraction_source
+FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')
+UNION ALL SELECT c_custkey, 'Nation ' || CAST(c_nationkey AS VARCHAR), 'Nation', CAST(1.0 AS DOUBLE), 'answer' FROM customer WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT c_custkey, 'bob' || CAST(c_custkey AS VARCHAR) || '@x.org', 'Contact', CAST(0.7 AS DOUBLE), 'rules' FROM customer WHERE c_mktsegment = 'HOUSEHOLD'
+UNION ALL SELECT c_custkey, 'docker', 'Skill', CAST(0.7 AS DOUBLE), 'rules' FROM customer WHERE c_mktsegment = 'HOUSEHOLD'
+UNION ALL SELECT c_custkey, 'STRASSE ' || CAST(c_custkey AS VARCHAR), 'street', CAST(1.0 AS DOUBLE), 'rules' FROM customer WHERE c_mktsegment = 'AUTOMOBILE'""")
 def x13(spark: SparkSession, sf: str) -> DataFrame:
-    return E.answer_or_grammar(answers(spark, sf), ["doc_id"]).select("doc_id", "extraction_source")
+    Inputs(spark, sf).customer.createOrReplaceTempView("customer")
+    return E.extract(spark.sql(SPOKEN), ["doc_id"])[0].drop("aliases")
+
+
+@query("x13_extracted_relations", """
+SELECT c_custkey AS doc_id, c_name AS source, 'LIVES_IN' AS type, 'Nation ' || CAST(c_nationkey AS VARCHAR) AS target, 'answer' AS extraction_source FROM customer WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT c_custkey, c_name, 'NEAR', 'B', 'rules' FROM customer WHERE c_mktsegment = 'AUTOMOBILE'""")
+def x13_relations(spark: SparkSession, sf: str) -> DataFrame:
+    Inputs(spark, sf).customer.createOrReplaceTempView("customer")
+    return E.extract(spark.sql(SPOKEN), ["doc_id"])[1].drop("confidence")
 
 
 # Ledger, completeness, consolidation -------------------------------------

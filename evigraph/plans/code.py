@@ -14,11 +14,13 @@ from evigraph.plans.memory import SEQ
 from evigraph.plans.registry import query, with_ctes
 from evigraph.sources import transfer as T
 
-# One source file per part: a class with a method that calls a shared helper.
+# One source file per part: a class with methods, a function inside one of them, short symbols one behind the other,
+# calls after an inner function and outside all symbols.
 FILES = """SELECT concat('src/m', CAST(p_size AS STRING), '/part', CAST(p_partkey AS STRING), CASE WHEN p_type = 'ECONOMY' THEN '.ts' ELSE '.py' END) AS file_path, p_partkey,
  concat('import os', chr(10), chr(10), 'class Part', CAST(p_partkey AS STRING), '(Base', CAST(p_size AS STRING), '):', chr(10),
-        '    def price', CAST(p_size AS STRING), '(self):', chr(10), '        return helper', CAST(p_size AS STRING), '(1)', chr(10), chr(10),
-        'def helper', CAST(p_size AS STRING), '(x):', chr(10), '    return x', chr(10)) AS code, p_size FROM part"""
+        '    def price', CAST(p_size AS STRING), '(self):', chr(10), '        def inner(y):', chr(10), '            return deep(y)', chr(10),
+        '        return helper', CAST(p_size AS STRING), '(1)', chr(10), '    def short(self): return price', CAST(p_size AS STRING), '(2)', chr(10), chr(10),
+        'def helper', CAST(p_size AS STRING), '(x):', chr(10), '    return x', chr(10), 'run', CAST(p_size AS STRING), '(3)', chr(10)) AS code, p_size FROM part"""
 LANG = "CASE WHEN file_path LIKE '%.ts' THEN 'typescript' ELSE 'python' END"
 
 
@@ -26,10 +28,16 @@ def sid(path: str, name: str, kind: str) -> str:
     return f"'code_' || {LANG} || '_' || left(regexp_replace({name}, '[^a-zA-Z0-9_]+', '_', 'g'), 40) || '_' || substr(sha256({LANG} || ':' || {path} || ':{kind}:' || {name}), 1, 12)"
 
 
-SYMBOLS_SQL = f"""
-SELECT file_path, 'Part' || CAST(p_partkey AS VARCHAR) AS name, 'class' AS kind, CAST(3 AS BIGINT) AS start_line, CAST(8 AS BIGINT) AS end_line, {sid('file_path', "'Part' || CAST(p_partkey AS VARCHAR)", 'class')} AS id FROM files
-UNION ALL SELECT file_path, 'price' || CAST(p_size AS VARCHAR), 'function', 4, 8, {sid('file_path', "'price' || CAST(p_size AS VARCHAR)", 'function')} FROM files
-UNION ALL SELECT file_path, 'helper' || CAST(p_size AS VARCHAR), 'function', 7, 8, {sid('file_path', "'helper' || CAST(p_size AS VARCHAR)", 'function')} FROM files"""
+def named(prefix: str) -> str:
+    return f"'{prefix}' || CAST(p_size AS VARCHAR)"
+
+
+PART = "'Part' || CAST(p_partkey AS VARCHAR)"
+# Name, kind, first and last line of each symbol.
+SPANS = ((PART, "class", 3, 9), (named("price"), "function", 4, 7), ("'inner'", "function", 5, 7), ("'short'", "function", 8, 9), (named("helper"), "function", 10, 12))
+SYMBOLS_SQL = " UNION ALL ".join(
+    f"SELECT file_path, {name} AS name, '{kind}' AS kind, CAST({first} AS BIGINT) AS start_line, CAST({last} AS BIGINT) AS end_line, {sid('file_path', name, kind)} AS id FROM files"
+    for name, kind, first, last in SPANS)
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,22 +50,23 @@ def cg1(spark: SparkSession, sf: str) -> DataFrame:
     return K.symbols(files(spark, sf)).select("file_path", "name", "kind", "start_line", "end_line", "id")
 
 
-@query("cg2_symbol_chunks", with_ctes(r"""
-SELECT file_path, i AS chunk_index, CASE i WHEN 0 THEN 'Part' || CAST(p_partkey AS VARCHAR) WHEN 1 THEN 'price' || CAST(p_size AS VARCHAR) ELSE 'helper' || CAST(p_size AS VARCHAR) END AS symbol_name,
- array_to_string(list_slice(lines, CASE i WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 7 END, 8), chr(10)) AS text FROM (SELECT *, string_split(rtrim(code, chr(10)), chr(10)) AS lines FROM files) f, (VALUES (CAST(0 AS BIGINT)), (1), (2)) v(i)""", files=FILES))
+@query("cg2_symbol_chunks", with_ctes(" UNION ALL ".join(
+    f"SELECT file_path, CAST({i} AS BIGINT) AS chunk_index, {name} AS symbol_name, array_to_string(list_slice(string_split(code, chr(10)), {first}, {last}), chr(10)) AS text FROM files"
+    for i, (name, _, first, last) in enumerate(SPANS)), files=FILES))
 def cg2(spark: SparkSession, sf: str) -> DataFrame:
     return K.symbol_chunks(files(spark, sf)).select("file_path", "chunk_index", "symbol_name", "text")
 
 
-@query("cg3_text_relations", with_ctes(f"""
-SELECT file_path, 'imports' AS kind, 'os' AS target_name, CAST(1 AS BIGINT) AS line_number FROM files
-UNION ALL SELECT file_path, 'inherits', 'Base' || CAST(p_size AS VARCHAR), 3 FROM files
-UNION ALL SELECT file_path, 'calls', 'helper' || CAST(p_size AS VARCHAR), 5 FROM files
-UNION ALL SELECT file_path, 'calls', 'Base' || CAST(p_size AS VARCHAR), 3 FROM files WHERE false""", files=FILES))
+# Kind, target, line and the symbol that holds it ('' for the file).
+RELATIONS = (("imports", "'os'", 1, "''"), ("inherits", named("Base"), 3, PART), ("calls", "'deep'", 6, "'inner'"),
+             ("calls", named("helper"), 7, named("price")), ("calls", named("price"), 8, "'short'"))
+
+
+@query("cg3_text_relations", with_ctes(" UNION ALL ".join(
+    f"SELECT file_path, '{kind}' AS kind, {target} AS target_name, CAST({line} AS BIGINT) AS line_number, {owner} AS owner FROM files" for kind, target, line, owner in RELATIONS), files=FILES))
 def cg3(spark: SparkSession, sf: str) -> DataFrame:
-    # A bare class header is not a call: only the symbol's own name is dropped by the operator.
-    rel = K.text_relations(files(spark, sf))
-    return rel.select("file_path", "kind", "target_name", "line_number")
+    rel, owners = K.text_relations(files(spark, sf)), K.symbols(files(spark, sf)).select(F.col("id").alias("source_id"), F.col("name").alias("owner"))
+    return rel.join(owners, "source_id", "left").select("file_path", "kind", "target_name", "line_number", F.coalesce("owner", F.lit("")).alias("owner"))
 
 
 @query("cg4_j10_symbol_table", with_ctes("""
@@ -67,16 +76,14 @@ def cg4(spark: SparkSession, sf: str) -> DataFrame:
     return K.symbol_table(K.symbols(files(spark, sf)))
 
 
-@query("cg5_j10_code_relations", with_ctes(f"""
-SELECT relation_type, count(*) AS n FROM (
- SELECT DISTINCT 'contains' AS relation_type, id FROM syms UNION ALL
- SELECT DISTINCT 'calls', {sid('file_path', "'price' || CAST(p_size AS VARCHAR)", 'function')} FROM files) r GROUP BY 1""", files=FILES, syms=SYMBOLS_SQL))
+@query("cg5_j10_code_relations", with_ctes("""
+SELECT 'contains' AS relation_type, count(*) AS n FROM syms UNION ALL SELECT 'calls', 2 * count(*) FROM files""", files=FILES, syms=SYMBOLS_SQL))
 def cg5(spark: SparkSession, sf: str) -> DataFrame:
     return K.code_graph(files(spark, sf))[1].groupBy("relation_type").agg(F.count("*").alias("n"))
 
 
 @query("cg6_ag15_ingest_totals", with_ctes("""
-SELECT count(*) AS files, CAST(count(*) * 8 AS BIGINT) AS loc, count(*) * 4 AS entities, count(*) * 4 AS relations FROM files""", files=FILES))
+SELECT count(*) AS files, CAST(count(*) * 12 AS BIGINT) AS loc, count(*) * 6 AS entities, count(*) * 7 AS relations FROM files""", files=FILES))
 def cg6(spark: SparkSession, sf: str) -> DataFrame:
     f = files(spark, sf)
     return K.totals(f, *K.code_graph(f))

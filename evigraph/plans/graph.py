@@ -9,9 +9,11 @@ from evigraph.operators import measures as M
 from evigraph.operators import predicates as P
 from evigraph.operators import queries as Q
 from evigraph.operators import ranking as R
+from evigraph.operators.communities import latest_runs, stale
 from evigraph.plans.inputs import Inputs, oracle
 from evigraph.plans.registry import query
 from evigraph.plans.sqlparts import ADJ, CURRENT, EDGES, GRAPH, LOW, NOW, SUPPORT, digest
+from evigraph.session import cut_lineage
 
 
 def evidence_of(t: Inputs) -> DataFrame:
@@ -417,24 +419,87 @@ NEIGHBOURS_SQL = """
 SELECT root, rank, relation_id, relation_type, entity_id, canonical_name, entity_type FROM (
  SELECT a.node AS root, a.id AS relation_id, a.relation_type, a.other AS entity_id, ce.canonical_name, ce.entity_type,
         row_number() OVER (PARTITION BY a.node ORDER BY a.id) AS rank
- FROM adj a JOIN ce ON ce.id = a.other WHERE a.node IN (SELECT id FROM g_entities WHERE entity_type = '{kind}') {extra}) x WHERE rank <= 25"""
+ FROM adj a JOIN ce ON ce.id = a.other WHERE true {extra}) x WHERE rank <= 25"""
 
 
-@query("q3_neighbours", oracle(NEIGHBOURS_SQL.format(kind="Customer", extra=""), *GRAPH, **CURRENT, adj=ADJ))
+@query("q3_neighbours", oracle(NEIGHBOURS_SQL.format(extra=""), *GRAPH, **CURRENT, adj=ADJ))
 def q3(spark: SparkSession, sf: str) -> DataFrame:
     t = Inputs(spark, sf)
-    roots = t.g_entities.filter("entity_type = 'Customer'").select(F.col("id").alias("root"))
+    roots = t.g_entities.select(F.col("id").alias("root"))
     return Q.neighbours(roots, t.g_entities, t.g_relations, evidence_of(t))
 
 
 @query("cg7_typed_neighbours", oracle(
-    NEIGHBOURS_SQL.format(kind="Supplier", extra="AND a.relation_type = 'SUPPLIES'"), *GRAPH, **CURRENT, adj=ADJ))
+    NEIGHBOURS_SQL.format(extra="AND a.relation_type = 'SUPPLIES'"), *GRAPH, **CURRENT, adj=ADJ))
 def cg7(spark: SparkSession, sf: str) -> DataFrame:
     t = Inputs(spark, sf)
-    roots = t.g_entities.filter("entity_type = 'Supplier'").select(F.col("id").alias("root"))
+    roots = t.g_entities.select(F.col("id").alias("root"))
     return Q.neighbours(roots, t.g_entities, t.g_relations, evidence_of(t), relation_types=("SUPPLIES",))
 
 
+@query("q3_neighbour_citations", oracle(f"""
+SELECT n.root, n.relation_id, n.entity_id, e.id AS evidence_id, e.quote, e.rank, c.chunk_index AS record_number FROM ({NEIGHBOURS_SQL.format(extra="")}) n JOIN (
+ SELECT *, row_number() OVER (PARTITION BY relation_id ORDER BY id) AS rank FROM g_evidence_unique) e ON e.relation_id = n.relation_id AND e.rank <= 20
+ JOIN g_chunks c ON c.id = e.chunk_id""", *GRAPH, "g_evidence_unique", "g_chunks", **CURRENT, adj=ADJ))
+def q3_citations(spark: SparkSession, sf: str) -> DataFrame:
+    t = Inputs(spark, sf)
+    near = Q.neighbours(t.g_entities.select(F.col("id").alias("root")), t.g_entities, t.g_relations, evidence_of(t))
+    rows = Q.neighbour_citations(near, t.g_evidence_unique, t.g_chunks).select("root", "relation_id", "entity_id", F.explode("citations").alias("c"))
+    return rows.select("root", "relation_id", "entity_id", "c.evidence_id", "c.quote", "c.rank", F.col("c.source_location.record_number").alias("record_number"))
+
+
+TOP_100 = f"""
+SELECT id FROM (SELECT ce.*, coalesce(d.degree, 0) AS degree, {LOW} AS low FROM ce
+ LEFT JOIN (SELECT node, count(*) AS degree FROM ({ADJ}) a GROUP BY node) d ON d.node = ce.id) x
+WHERE NOT low ORDER BY degree DESC, lower(entity_type), lower(canonical_name), id LIMIT 100"""
+
+
+@query("q7_summary_relations", oracle("""
+SELECT r.id, r.source_entity_id, r.target_entity_id, r.relation_type, coalesce(e.n, 0) AS n_citations, e.quotes FROM (
+ SELECT * FROM cr WHERE source_entity_id IN (SELECT id FROM top) AND target_entity_id IN (SELECT id FROM top) ORDER BY id LIMIT 100) r
+LEFT JOIN (SELECT relation_id, count(*) AS n, string_agg(quote, '|' ORDER BY id) AS quotes FROM (
+ SELECT *, row_number() OVER (PARTITION BY relation_id ORDER BY id) AS rank FROM g_evidence_unique) v WHERE rank <= 20 GROUP BY 1) e ON e.relation_id = r.id""",
+    *GRAPH, "g_evidence_unique", "g_chunks", **CURRENT, top=TOP_100))
+def q7_relations(spark: SparkSession, sf: str) -> DataFrame:
+    t = Inputs(spark, sf)
+    nodes = Q.graph_summary(t.g_entities, t.g_relations, evidence_of(t), 100)
+    rows = Q.summary_relations(nodes, t.g_relations, t.g_evidence_unique, t.g_chunks, 100)
+    quotes = F.when(F.size("citations") > 0, F.array_join(F.transform("citations", lambda c: c["quote"]), "|"))
+    return rows.select("id", "source_entity_id", "target_entity_id", "relation_type", F.size("citations").cast("bigint").alias("n_citations"), quotes.alias("quotes"))
+
+
+@query("q8_explorer_relations", oracle("""
+SELECT id, source_entity_id, target_entity_id, relation_type, confidence FROM cr
+WHERE source_entity_id IN (SELECT id FROM shown) AND target_entity_id IN (SELECT id FROM shown) ORDER BY id LIMIT 5000""",
+    *GRAPH, **CURRENT, **METRICS_SQL, shown="SELECT ce.id FROM ce JOIN metrics x ON x.id = ce.id ORDER BY round(x.importance, 12) DESC, ce.id LIMIT 3000"))
+def q8_relations(spark: SparkSession, sf: str) -> DataFrame:
+    ent, rel = current_graph(Inputs(spark, sf))
+    metrics = M.node_metrics(ent, M.fold_edges(rel))
+    shown = ent.select("id").join(metrics, "id").orderBy(F.round("importance", 12).desc(), "id").limit(3000).select("id")
+    return Q.relations_among(cut_lineage(shown), rel, 5000)
+
+
+@query("ag10_stale_runs", oracle(f"""
+SELECT dataset_id, id, created_at, snapshot_hash <> (SELECT h FROM whole) AS stale FROM (
+ SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY created_at DESC, id DESC) AS k FROM (
+  SELECT * FROM (VALUES ('ds_a', DATE '2024-01-01', 'run1', true), ('ds_a', DATE '2024-01-02', 'run2', false), ('ds_b', DATE '2024-01-01', 'run3', false), ('ds_b', DATE '2024-01-01', 'run4', true))
+   v(dataset_id, created_at, id, current) JOIN (SELECT true AS current, h AS snapshot_hash FROM whole UNION ALL SELECT false, h FROM partial_graph) USING (current)) r) x WHERE k = 1""",
+    *GRAPH, **CURRENT,
+    rows_of="""SELECT 'e:' || id AS row, confidence = 1.0 AS kept FROM ce
+     UNION ALL SELECT concat_ws(':', 'r', source_entity_id, target_entity_id, CAST(CAST(round(confidence * 10000) AS BIGINT) AS VARCHAR)), true FROM cr""",
+    whole=f"SELECT {digest('row')} AS h FROM rows_of", partial_graph=f"SELECT {digest('row')} AS h FROM rows_of WHERE kept"))
+def ag10_stale(spark: SparkSession, sf: str) -> DataFrame:
+    ent, rel = current_graph(Inputs(spark, sf))
+    now, before = cut_lineage(M.graph_digest(ent, rel)), M.graph_digest(ent.filter("confidence = 1.0"), rel)
+
+    def run(of: DataFrame, dataset: str, day: str, name: str) -> DataFrame:
+        return of.select(F.lit("p1").alias("project_id"), F.lit(dataset).alias("dataset_id"), F.lit(day).cast("date").alias("created_at"), F.lit(name).alias("id"), "snapshot_hash")
+
+    runs = run(now, "ds_a", "2024-01-01", "run1").unionByName(run(before, "ds_a", "2024-01-02", "run2")).unionByName(
+        run(before, "ds_b", "2024-01-01", "run3")).unionByName(run(now, "ds_b", "2024-01-01", "run4"))
+    return stale(latest_runs(runs), now).select("dataset_id", "id", "created_at", "stale")
+
+
 @query("q7_graph_summary", oracle(f"""
 SELECT id, canonical_name, entity_type, degree, (SELECT count(*) FROM ce) AS entity_count, (SELECT count(*) FROM cr) AS relation_count FROM (
  SELECT ce.*, coalesce(d.degree, 0) AS degree, {LOW} AS low FROM ce

@@ -10,6 +10,7 @@ from evigraph.functions.content import content_error
 from evigraph.operators import governance as G
 from evigraph.operators import memory as Mm
 from evigraph.operators.ranking import sequence_in_group
+from evigraph.operators.secrets import secrets_in
 from evigraph.plans.inputs import Inputs, oracle
 from evigraph.plans.registry import query, with_ctes
 from evigraph.session import spread
@@ -71,21 +72,28 @@ def j8(spark: SparkSession, sf: str) -> DataFrame:
     return Mm.with_pattern(t.m_episodes, out, Mm.patterns(out)).select("id", "pattern_key", "lesson", F.round("pattern_confidence", 6).alias("pattern_confidence"))
 
 
-@query("am1_intake", r"""
-SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'invalid domain' WHEN event_type = 'view' THEN 'missing summary' WHEN event_type = 'click' THEN 'unknown extra' END AS reject_reason,
- CASE WHEN event_type IN ('purchase', 'signup') THEN 'saw token [REDACTED] in log' END AS summary FROM (SELECT * FROM events) e""".replace("'saw token [REDACTED] in log'", "'saw password=[REDACTED] in log'"))
+# Content and metadata hold secrets three levels deep, numbers, booleans and a key whose text is exempt.
+@query("am1_intake", """
+SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'invalid domain' WHEN event_type = 'view' THEN 'missing summary' WHEN event_type = 'click' THEN 'invalid content' END AS reject_reason,
+ CASE WHEN event_type IN ('purchase', 'signup') THEN '{"summary": "saw password=[REDACTED] in log", "verified": true, "verification_evidence": "run ' || CAST(user_id AS VARCHAR)
+  || '", "extensions": {"a": {"b": [{"api_key": "[REDACTED]", "n": 1.5, "ok": false, "none": null}, "Bearer [REDACTED]"], "pattern": "password=kept"}}}' END AS content,
+ CASE WHEN event_type IN ('purchase', 'signup') THEN '{"k": {"list": [[{"auth_token": "[REDACTED]"}], "plain", ' || CAST(user_id AS VARCHAR) || ']}}' END AS metadata FROM events""")
 def am1(spark: SparkSession, sf: str) -> DataFrame:
     e = Inputs(spark, sf).events
-    summary = F.concat(F.lit("saw password=p"), F.col("user_id").cast("string"), F.lit(" in log"))
-    content = (F.when(F.col("event_type") == "view", F.create_map(F.lit("fix"), F.lit("none")))
-               .when(F.col("event_type") == "click", F.create_map(F.lit("summary"), summary, F.lit("extra"), F.lit("x")))
-               .otherwise(F.create_map(F.lit("summary"), summary)))
+    user = F.col("user_id").cast("string")
+    full = F.concat(
+        F.lit('{"summary": "saw password=p'), user, F.lit(' in log", "verified": true, "verification_evidence": "run '), user,
+        F.lit('", "extensions": {"a": {"b": [{"api_key": {"deep": "x'), user, F.lit('"}, "n": 1.5, "ok": false, "none": null}, "Bearer t'), user,
+        F.lit('"], "pattern": "password=kept"}}}'))
+    content = F.when(F.col("event_type") == "view", '{"fix": "none"}').when(F.col("event_type") == "click", F.concat(full, F.lit("x"))).otherwise(full)
+    metadata = F.concat(F.lit('{"k": {"list": [[{"auth_token": ["a", "b"]}], "plain", '), user, F.lit("]}}"))
     raw = e.select(
         F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", "cooking").otherwise("engineering").alias("domain"),
-        F.lit("bugfix").alias("type"), F.create_map(F.lit("k"), F.col("props")).alias("metadata"), content.alias("content"))
+        F.lit("bugfix").alias("type"), metadata.alias("metadata"), content.alias("content"))
     good, bad = Mm.intake(raw)
-    return good.select("id", F.lit(None).cast("string").alias("reject_reason"), F.col("content")["summary"].alias("summary")).unionByName(
-        bad.select("id", "reject_reason", F.lit(None).cast("string").alias("summary")))
+    nothing = F.lit(None).cast("string")
+    return good.select("id", nothing.alias("reject_reason"), "content", "metadata").unionByName(
+        bad.select("id", "reject_reason", nothing.alias("content"), nothing.alias("metadata")))
 
 
 @query("am2_episode_attempts", oracle(
@@ -422,13 +430,54 @@ def am23_hot(spark: SparkSession, sf: str) -> DataFrame:
     return G.idempotent_first(spark.sql(HOT_KEYS), ["account"])
 
 
-@query("am24_observations", """
-SELECT event_id, 'observed ' || event_type AS title, event_type || ' failure' AS problem_signature, event_type = 'error' AS rejected FROM events""")
+# Every fourth request has no key; errors commit content without a summary.
+RECORDED = """
+SELECT event_id AS request_id, 'p1' AS project_id, CASE WHEN event_type IN ('view', 'click') THEN 'observe' ELSE 'commit' END AS operation,
+       CASE WHEN event_type IN ('view', 'click') THEN event_type ELSE 'bugfix' END AS kind,
+       CASE WHEN event_type = 'error' THEN '{"fix": "x"}' ELSE '{"summary": "s", "extensions": {"deep": [{"password": "hunter2"}]}}' END AS content,
+       props AS metadata, CASE WHEN event_type = 'signup' THEN 0.9 END AS confidence,
+       CASE WHEN event_id % 4 <> 0 THEN CONCAT('key ', CAST(user_id AS STRING)) END AS idempotency_key, ts FROM events
+"""
+
+
+@query("am24_recorded_episodes", with_ctes("""
+SELECT r.request_id, CASE WHEN r.request_id % 4 <> 0 AND r.kind || r.content <> 'bugfix{"fix": "x"}' THEN (
+   SELECT arg_max(c.request_id, c.ts) FROM chain c WHERE c.idempotency_key = r.idempotency_key AND (c.ts < r.ts OR c.ts = r.ts AND c.request_id <= r.request_id))
+  WHEN r.content <> '{"fix": "x"}' THEN r.request_id END AS answered_by,
+ CASE WHEN r.content = '{"fix": "x"}' THEN 'missing summary' END AS refusal FROM recorded r""",
+    recorded=RECORDED,
+    moments="SELECT idempotency_key, ts, min(request_id) AS request_id FROM recorded WHERE content <> '{\"fix\": \"x\"}' AND idempotency_key IS NOT NULL GROUP BY 1, 2",
+    nxt="""SELECT m.idempotency_key, m.ts, n.ts AS nts, n.request_id AS nid FROM (
+      SELECT idempotency_key, ts, min(ts) OVER (PARTITION BY idempotency_key ORDER BY ts RANGE BETWEEN INTERVAL 86400000001 MICROSECOND FOLLOWING AND UNBOUNDED FOLLOWING) AS nts FROM moments) m
+      JOIN moments n ON n.idempotency_key = m.idempotency_key AND n.ts = m.nts""",
+    chain="""SELECT idempotency_key, min(ts) AS ts, arg_min(request_id, ts) AS request_id FROM moments GROUP BY 1
+     UNION ALL SELECT c.idempotency_key, n.nts, n.nid FROM chain c JOIN nxt n ON n.idempotency_key = c.idempotency_key AND n.ts = c.ts""").replace("WITH ", "WITH RECURSIVE ", 1))
 def am24(spark: SparkSession, sf: str) -> DataFrame:
-    e = Inputs(spark, sf).events
-    content = F.to_json(F.when(F.col("event_type") == "error", F.create_map(F.lit("fix"), F.lit("x"))).otherwise(F.create_map(F.lit("summary"), F.col("props"))))
-    return e.select("event_id", F.concat(F.lit("observed "), "event_type").alias("title"), F.concat("event_type", F.lit(" failure")).alias("problem_signature"),
-                    content_error(F.lit("bugfix"), content).isNotNull().alias("rejected"))
+    Inputs(spark, sf).events.createOrReplaceTempView("events")
+    return Mm.recorded(spark.sql(RECORDED))[1].select("request_id", "answered_by", "refusal")
+
+
+@query("am24_stored_content", """
+SELECT kind AS title, CAST(confidence AS DOUBLE) AS confidence, '{"summary": "s", "extensions": {"deep": [{"password": "[REDACTED]"}]}}' AS content, count(*) AS n FROM (
+ SELECT CASE WHEN event_type IN ('view', 'click') THEN event_type ELSE 'commit: bugfix' END AS kind, CASE WHEN event_type = 'signup' THEN 0.9 ELSE 0.5 END AS confidence
+ FROM events WHERE event_id % 4 = 0 AND event_type <> 'error') e GROUP BY 1, 2""")
+def am24_content(spark: SparkSession, sf: str) -> DataFrame:
+    Inputs(spark, sf).events.createOrReplaceTempView("events")
+    episodes, _ = Mm.recorded(spark.sql(RECORDED).where("idempotency_key IS NULL"))
+    return episodes.groupBy("title", F.col("confidence").cast("double").alias("confidence"), "content").agg(F.count("*").alias("n"))
+
+
+@query("f14_nested_secrets", """
+SELECT event_id, path, family FROM events, (VALUES
+ ('view', '$.a.b[0].api_key', 'key'), ('view', '$.a.b[1]', 'auth'), ('click', '$.a.list[0][1].note', 'assignment'), ('purchase', '$', 'dsn'), ('signup', '$.user_token', 'key')) v(kind, path, family)
+WHERE event_type = kind""")
+def f14_nested(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.col("event_type")
+    text = (F.when(kind == "view", '{"a": {"b": [{"api_key": {"deep": [1]}, "n": 1}, "Bearer abc", "fine"], "pattern": "password=x"}}')
+            .when(kind == "click", '{"a": {"list": [[1, {"note": "passwd: \\"x y\\"", "pattern": {"more": true}}]]}, "e": {}}')
+            .when(kind == "purchase", "not json, redis://u:p@h").when(kind == "signup", F.concat(F.lit('{"user_token": null, "p": '), "props", F.lit("}")))
+            .otherwise(F.col("props")))
+    return secrets_in(Inputs(spark, sf).events.select("event_id", text.alias("text")), "event_id")
 
 
 @query("f15_quality_rules", oracle("""

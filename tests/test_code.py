@@ -26,5 +26,15 @@ def test_long_symbols_and_files_stay_whole(spark):
     assert [r["chunk_index"] for r in pieces] == list(range(len(pieces)))
     assert by_name["small.py"]["text"] == " x = 1\n" and by_name["empty.py"]["text"] == ""
 
-    cut = {r["symbol_name"]: r for r in K.symbol_chunks(files, max_lines=K.SYMBOL_LINES, max_chars=K.CHUNK_CHARS).collect()}
+    cut = {r["symbol_name"]: r for r in K.symbol_chunks(files, max_lines=20, max_chars=K.CHUNK_CHARS).collect()}
     assert cut["long"]["end_line"] == 23 and cut["plain.py"]["text"] == plain[:1200]
+
+
+def test_short_symbols_end_before_the_next(spark):
+    code = "def a():\n    pass\n\ndef b(): pass\nclass C:\n    def c(self):\n        def d():\n            e()\n        f()\n    x = g()\nh()\n"
+    files = spark.createDataFrame([("s.py", code)], "file_path string, code string")
+    got = {r["name"]: (r["start_line"], r["end_line"]) for r in K.symbols(files).collect()}
+    assert got == {"a": (1, 3), "b": (4, 4), "C": (5, 11), "c": (6, 11), "d": (7, 11)}
+    names = {r["id"]: r["name"] for r in K.symbols(files).collect()}
+    calls = {(r["target_name"], names[r["source_id"]]) for r in K.text_relations(files).where("kind = 'calls'").collect()}
+    assert calls == {("e", "d"), ("f", "c"), ("g", "C")}
