@@ -175,8 +175,9 @@ def _chains(giants: DataFrame, steps: DataFrame, block: int) -> DataFrame:
 def _burst(reps: DataFrame, steps: DataFrame, bound: int) -> tuple[DataFrame, list[DataFrame]]:
     """The suffixes at rest, each with its container and depth, and the burst heads of every depth."""
     nothing = F.lit(None).cast("long")
-    state = reps.select("rep", "weight", "len", F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"),
-                        nothing.alias("p1"), nothing.alias("p2"), nothing.alias("parent_conv"), F.lit(0).cast("long").alias("chars"))
+    # written, so that the root's key is a column and not a literal: a join on literals has no key to be dealt out by
+    state = written(reps.select("rep", "weight", "len", F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"),
+                                nothing.alias("p1"), nothing.alias("p2"), nothing.alias("parent_conv"), F.lit(0).cast("long").alias("chars")))
     resting, heads, depth = [], [], 0
     while True:
         stats = state.groupBy(*HEAD).agg(F.count("*").alias("n_reps"), F.sum("weight").alias("n_convs"), F.min("rep").alias("conv"),
