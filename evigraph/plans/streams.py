@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evigraph.operators.code import symbols
 from evigraph.plans.inputs import Inputs, oracle
 from evigraph.plans.registry import query
 from evigraph.session import shared_folder
+from evigraph.sources.snapshot import read_snapshot, upsert_batch
 from evigraph.streaming import jobs as J
 
 
@@ -37,12 +39,15 @@ def st4(spark: SparkSession, sf: str) -> DataFrame:
 SELECT episode_id, CASE WHEN max_by(result, arrival) = 'failed' THEN 'degraded' ELSE 'active' END AS status FROM m_attempts GROUP BY 1""", "m_attempts"))
 def st5(spark: SparkSession, sf: str) -> DataFrame:
     def build(events: DataFrame) -> DataFrame:
-        day = F.col("ts").cast("date").cast("string")
+        day = F.substring(F.col("ts").cast("string"), 1, 10)
         return J.status_stream(events.select(
             F.concat(F.lit("e"), F.col("user_id").cast("string"), F.lit("-"), day).alias("episode_id"), F.col("event_id").alias("arrival"),
             F.when(F.col("event_type").isin("purchase", "signup"), "success").when(F.col("event_type") == "error", "failed").otherwise("partial").alias("result")))
 
-    return drain(spark, sf, build)
+    events = J.read_table(spark, sf, "events", Inputs(spark, sf).events.schema)
+    folder, changed = shared_folder(spark, "stream"), build(events)
+    J.run_batches(changed, upsert_batch(f"{folder}/status", ["episode_id"], changed.schema), f"{folder}/state", "update")
+    return read_snapshot(spark, f"{folder}/status", changed.schema)
 
 
 @query("st7_running_metrics", oracle(
@@ -71,10 +76,52 @@ def st3(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("job_id", "stage").agg(F.count("*").alias("n"))
 
 
-@query("st1_intake_stream", "SELECT count(DISTINCT text) AS documents FROM documents")
+# Three batches, the second one repeated after the third began. A text keeps its first document; its topic line is an entity.
+TOPIC = "concat(text, chr(10), 'Topic ', substring(sha2(text, 256), 1, 6), ' [Topic]')"
+
+
+@query("st1_intake_stream", """
+SELECT CAST(doc_id AS VARCHAR) AS document_id, doc_id % 3 AS batch, 'Topic ' || substring(sha256(text), 1, 6) AS name, true AS chunked, 'succeeded' AS status FROM (
+ SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id % 3, CAST(doc_id AS VARCHAR)) AS k FROM documents) d WHERE k = 1""")
 def st1(spark: SparkSession, sf: str) -> DataFrame:
-    docs = J.read_table(spark, sf, "documents", Inputs(spark, sf).documents.schema).select(
-        F.col("doc_id").cast("string").alias("document_id"), "text", F.lit(0).alias("created_at"))
+    docs = Inputs(spark, sf).documents.select("doc_id", F.col("doc_id").cast("string").alias("document_id"), F.expr(TOPIC).alias("text"), F.lit(0).alias("created_at"))
     folder = shared_folder(spark, "stream")
-    J.run_batches(docs, J.intake_batch(f"{folder}/store"), f"{folder}/state")
-    return spark.read.parquet(f"{folder}/store/documents").agg(F.count("*").alias("documents"))
+    parts = [docs.where(F.col("doc_id") % 3 == k).drop("doc_id") for k in range(3)]
+    for k, part in enumerate(parts):
+        part.write.parquet(f"{folder}/in/{k}")
+        arriving = spark.readStream.schema(part.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        J.run_batches(arriving, J.intake_batch(f"{folder}/store"), f"{folder}/state")
+    J.intake_batch(f"{folder}/store")(parts[1], 1)
+    store = {t: spark.read.parquet(f"{folder}/store/{t}") for t in ("documents", "chunks", "entities", "ledger")}
+    pieces = store["chunks"].groupBy("document_id").agg(F.count("*").alias("n"), F.max("chunk_index").alias("last"))
+    topics = store["entities"].where("type = 'Topic' AND name LIKE 'Topic %'").select("document_id", "name").distinct()
+    ledger = store["ledger"].select("document_id", F.col("batch").cast("bigint").alias("batch"), "chunks", "status")
+    return store["documents"].select("document_id").join(ledger, "document_id").join(pieces, "document_id").join(topics, "document_id").select(
+        "document_id", "batch", "name", ((F.col("n") == F.col("chunks")) & (F.col("n") == F.col("last") + 1)).alias("chunked"), "status")
+
+
+# Every part's file, then a change of every fifth one that drops a symbol: the others keep theirs.
+@query("st6_file_sync", """
+SELECT 'p' || CAST(p_partkey AS VARCHAR) || '.py' AS file_path, name, CAST(CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE line END AS BIGINT) AS start_line
+FROM part, (VALUES ('one', 1), ('two', 3)) v(name, line) WHERE p_partkey % 5 <> 0 OR name = 'two'""")
+def st6(spark: SparkSession, sf: str) -> DataFrame:
+    part, folder = Inputs(spark, sf).part, shared_folder(spark, "stream")
+    path = F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file_path")
+    first = part.select(path, F.lit("def one():\n  pass\ndef two():\n  pass\n").alias("code"), F.lit(1).alias("changed_at"))
+    second = part.where("p_partkey % 5 = 0").select(path, F.lit("def two():\n  pass\n").alias("code"), F.lit(2).alias("changed_at"))
+    for k, files in enumerate((first, second)):
+        files.write.parquet(f"{folder}/in/{k}")
+        arriving = spark.readStream.schema(first.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        J.run_batches(arriving, J.sync_batch(f"{folder}/store"), f"{folder}/state")
+    found = read_snapshot(spark, f"{folder}/store", symbols(first).schema)
+    return found.where("kind <> 'file'").select("file_path", "name", "start_line")
+
+
+@query("st2_idempotent_stream", """
+SELECT user_id, event_type, count(*) AS stored FROM (SELECT DISTINCT user_id, event_type FROM events) e GROUP BY 1, 2""")
+def st2(spark: SparkSession, sf: str) -> DataFrame:
+    def build(events: DataFrame) -> DataFrame:
+        return J.idempotent_stream(events.select(
+            F.lit("p1").alias("project_id"), F.col("event_type").alias("operation"), F.col("user_id").alias("key"), F.lit("2024-01-01").cast("timestamp").alias("ts")))
+
+    return drain(spark, sf, build, "append").groupBy(F.col("key").alias("user_id"), F.col("operation").alias("event_type")).agg(F.count("*").alias("stored"))

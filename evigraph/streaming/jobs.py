@@ -8,13 +8,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType, StructField, StructType
 
 from evigraph.functions.scalars import is_promoted, outcome_score, smoothed_confidence, verifier_weight
 from evigraph.operators import code as K
 from evigraph.operators import communities as C
 from evigraph.operators.chunking import number_chunks, split_segments
+from evigraph.operators.extraction import deterministic
 from evigraph.operators.governance import STALE_SECONDS
-from evigraph.sources.corpus import new_documents
+from evigraph.session import cut_lineage
+from evigraph.sources.corpus import flag_duplicates
+from evigraph.sources.snapshot import change_snapshot
 
 
 def read_table(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
@@ -39,36 +43,42 @@ def run_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "
         availableNow=True).start().awaitTermination()
 
 
-def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(
+def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start().awaitTermination()
 
 
-def _read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except Exception as exc:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        return like.limit(0)
+HASHES = StructType([StructField("content_hash", StringType()), StructField("document_id", StringType())])
 
 
-def intake_batch(store: str) -> Callable[[DataFrame, int], None]:
-    """Batch handler: keep new documents of ``(document_id, text, created_at)`` and chunk them.
+def intake_batch(store: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """Batch handler: keep new documents of ``(document_id, text, created_at)``, chunk them, extract by the fixed rules and keep a ledger.
 
-    Hashes of earlier batches decide what is new. Output folders carry the batch
-    number, so a retried batch replaces its own output and nothing else.
+    Which contents are known is a table of hashes, of which a batch reads and
+    rewrites only the buckets of its own hashes. Output folders carry the batch
+    number, so a retried batch meets the hashes as they were before it and
+    replaces its own output and nothing else.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        docs = batch.withColumn("content_hash", F.sha2("text", 256))
-        known = _read_or_empty(spark, f"{store}/documents", docs.withColumn("batch", F.lit(0)))
-        fresh = new_documents(docs, known.filter(F.col("batch") != batch_id), ["content_hash"])
-        fresh.write.mode("overwrite").parquet(f"{store}/documents/batch={batch_id}")
-        added = spark.read.parquet(f"{store}/documents/batch={batch_id}")
+        docs = cut_lineage(flag_duplicates(batch.withColumn("content_hash", F.sha2("text", 256)), ["content_hash"]).filter(~F.col("duplicate")).drop("duplicate"))
+        own = docs.select(*HASHES.names)
+        known = change_snapshot(f"{store}/hashes", batch_id + 1, own, ["content_hash"], HASHES,
+                                lambda old, new: old.unionByName(new.join(old, "content_hash", "left_anti")), buckets)
+        docs.join(known.select("content_hash"), "content_hash", "left_anti").write.mode("overwrite").parquet(f"{store}/documents/batch={batch_id}")
+        added = spark.read.schema(docs.schema).parquet(f"{store}/documents/batch={batch_id}")
         chunks = number_chunks(split_segments(added, ["document_id", "content_hash"]), "document_id", ["segment_part"], "content_hash")
         chunks.write.mode("overwrite").parquet(f"{store}/chunks/batch={batch_id}")
+        chunks = spark.read.schema(chunks.schema).parquet(f"{store}/chunks/batch={batch_id}")
+        entities, _ = deterministic(chunks, ["document_id", "chunk_id"])
+        entities.write.mode("overwrite").parquet(f"{store}/entities/batch={batch_id}")
+        entities = spark.read.schema(entities.schema).parquet(f"{store}/entities/batch={batch_id}")
+        counted = added.select("document_id", "content_hash").join(
+            chunks.groupBy("document_id").agg(F.count("*").alias("chunks")), "document_id", "left").join(
+            entities.groupBy("document_id").agg(F.count("*").alias("entities")), "document_id", "left")
+        counted.select("document_id", "content_hash", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("entities", F.lit(0)).alias("entities"),
+                       F.lit("succeeded").alias("status")).write.mode("overwrite").parquet(f"{store}/ledger/batch={batch_id}")
 
     return handle
 
@@ -124,7 +134,7 @@ def pattern_stream(outcomes: DataFrame) -> DataFrame:
 
 
 def status_stream(attempts: DataFrame, order: str = "arrival") -> DataFrame:
-    """Running episode status: the last attempt decides, which is a plain aggregate."""
+    """Running episode status: the last attempt decides, which is a plain aggregate. In update mode a batch gives the changed episodes only."""
     last = attempts.groupBy("episode_id").agg(F.max_by("result", order).alias("result"))
     return last.select("episode_id", F.when(F.col("result") == "failed", "degraded").otherwise("active").alias("status"))
 
@@ -133,15 +143,12 @@ def metrics_stream(log: DataFrame) -> DataFrame:
     return log.groupBy("method", "path", "status").agg(F.count("*").alias("requests"), F.sum("latency").alias("latency_sum"))
 
 
-def sync_batch(store: str) -> Callable[[DataFrame, int], None]:
-    """Batch handler for changed files ``(file_path, code, changed_at)``: a new symbol snapshot per batch."""
+def sync_batch(store: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """Batch handler for changed files ``(file_path, code, changed_at)``: the symbols of these files are replaced in their buckets."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        newest = batch.groupBy("file_path").agg(F.max_by("code", "changed_at").alias("code"))
-        empty = K.symbols(newest).limit(0)
-        old = _read_or_empty(spark, f"{store}/v{batch_id}", empty)
-        K.sync_files(old, newest).write.mode("overwrite").parquet(f"{store}/v{batch_id + 1}")
+        newest = cut_lineage(batch.groupBy("file_path").agg(F.max_by("code", "changed_at").alias("code")))
+        change_snapshot(store, batch_id + 1, newest, ["file_path"], K.symbols(newest).schema, K.sync_files, buckets)
 
     return handle
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from evigraph.operators import code as K
 from evigraph.sources import transfer as T
+from evigraph.sources.snapshot import change_snapshot, read_snapshot, upsert
 from evigraph.streaming import jobs as J
 
 
@@ -56,7 +57,7 @@ def test_file_sync_drops_removed_symbols(spark, tmp_path):
     J.run_batches(stream(spark, schema, src), J.sync_batch(store), str(tmp_path / "cp"))
     put(spark, [("m.py", "def two():\n  pass\n", 2)], schema, src, 2)
     J.run_batches(stream(spark, schema, src), J.sync_batch(store), str(tmp_path / "cp"))
-    rows = spark.read.parquet(f"{store}/v2").filter("kind <> 'file'").collect()
+    rows = read_snapshot(spark, store, K.symbols(spark.createDataFrame([], "file_path string, code string")).schema).filter("kind <> 'file'").collect()
     assert {(r.file_path, r.name) for r in rows} == {("m.py", "two"), ("n.go", "keep")}
 
 
@@ -84,3 +85,16 @@ def test_plugins_and_dataset_io(spark, tmp_path):
     T.write_dataset(spark.createDataFrame([("p", "d1", 9)], "project_id string, dataset_id string, v int"), path, "overwrite")
     assert {r.v for r in T.read_dataset(spark, path, "p").collect()} == {9, 2}
     assert {r.v for r in T.read_dataset(spark, path, "q", "d1").collect()} == {3}
+
+
+def test_snapshot_rewrites_touched_buckets_only(spark, tmp_path):
+    store, schema = str(tmp_path / "store"), spark.createDataFrame([], "k long, v string").schema
+    put_rows = lambda version, rows: change_snapshot(store, version, rows, ["k"], schema, lambda old, new: upsert(old, new, ["k"]), 8)
+    put_rows(1, spark.range(1000).selectExpr("id AS k", "'old' AS v"))
+    change = spark.createDataFrame([(7, "new")], schema)
+    put_rows(2, change)
+    put_rows(2, change)  # a repeated batch
+    rows = {r["k"]: r["v"] for r in read_snapshot(spark, store, schema).collect()}
+    assert len(rows) == 1000 and rows[7] == "new" and sum(v == "new" for v in rows.values()) == 1
+    assert len([p for p in (tmp_path / "store" / "rows" / "v2").iterdir() if p.name.startswith("bucket=")]) == 1
+    assert read_snapshot(spark, str(tmp_path / "none"), schema).count() == 0
