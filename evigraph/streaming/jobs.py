@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
 from evigraph.functions.scalars import is_promoted, outcome_score, smoothed_confidence, verifier_weight
@@ -39,11 +39,15 @@ def run_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "
         else:
             batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start().awaitTermination()
+    run_batches(stream, put, checkpoint, mode)
+
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    # keyed state with lists and timers is kept by this store
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start().awaitTermination()
 
@@ -89,38 +93,89 @@ def idempotent_stream(requests: DataFrame, hours: int = 24) -> DataFrame:
 
 
 _STUCK = "job_id string, stage string, since timestamp, condition string"
-_STUCK_STATE = "stage string, since timestamp"
+MINUTE_US = 60_000_000
+
+
+def _stuck_rows(rows: list[tuple[str, str, int, str]]) -> pd.DataFrame:
+    """Plain object columns: the state serializer takes no chunked Arrow strings."""
+    columns = list(zip(*rows)) or [(), (), (), ()]
+    since = pd.to_datetime(pd.Series(columns[2], dtype="int64"), unit="us")
+    return pd.DataFrame({"job_id": pd.Series(columns[0], dtype=object), "stage": pd.Series(columns[1], dtype=object), "since": since,
+                         "condition": pd.Series(columns[3], dtype=object)})
+
+
+class StuckWatch(StatefulProcessor):
+    """Watches the open stage of one job.
+
+    Events wait in a list until the watermark has passed them, so they are
+    judged by (time, event id) whatever batch or block brought them. A timer
+    after the first waiting minute wakes the job, which then takes all that has
+    passed, and one at the end of the allowed time finds a stage without an
+    update. Blocks go to the list as they come; what one watermark step lets
+    pass is sorted at once. Times are microseconds, timers and watermarks milliseconds.
+    """
+
+    def __init__(self, stale_seconds: int) -> None:
+        self.stale = stale_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, event_id long, stage string")
+        self.open = handle.getValueState("open", "stage string, since long")
+
+    def _wake_after(self, at: int) -> None:
+        self.handle.registerTimer((at // MINUTE_US + 1) * MINUTE_US // 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for block in rows:
+            at = block["ts"].astype("datetime64[us]").astype("int64")
+            self.waiting.appendList(list(zip(at.tolist(), block["event_id"].tolist(), block["stage"].tolist())))
+            self._wake_after(int(at.min()))
+        yield _stuck_rows([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        due, later = [], []
+        for event in self.waiting.get():
+            (due if event[0] // 1000 <= passed else later).append(tuple(event))
+        stage, since = self.open.get() if self.open.exists() else (None, None)
+        found = []
+        for at, _, name in sorted(due):
+            if stage is not None and at - since > self.stale:
+                found.append((key[0], stage, since, "late update"))
+            stage, since = (None, None) if name in DONE else (name, at)
+        if due and later:
+            self.waiting.put(later)
+        elif due:
+            self.waiting.clear()
+        if later:
+            self._wake_after(min(later)[0])
+        if stage is not None and not later and (since + self.stale) // 1000 <= passed:  # a waiting event will be its late update
+            found.append((key[0], stage, since, "no update"))
+            stage = None
+        elif stage is not None and due:
+            self.handle.registerTimer((since + self.stale) // 1000)
+        if stage is None:
+            self.open.clear()
+        else:
+            self.open.update((stage, since))
+        yield _stuck_rows(found)
+
+    def close(self) -> None:
+        pass
+
+
+DONE = ("complete", "failed")
 
 
 def stuck_stream(events: DataFrame, stale_seconds: int = STALE_SECONDS, delay: str = "1 minute") -> DataFrame:
     """Jobs whose open stage saw no event for too long: a gap seen in the data, or an expired timer.
 
-    ``events(job_id, stage, ts)``; one row per stale stage.
+    ``events(job_id, stage, ts, event_id)``; one row per stale stage, once the
+    watermark has passed it. Needs the RocksDB state store (see ``run_available``).
     """
-    done = ("complete", "failed")
-
-    def watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = []
-        stage, since = state.get if state.exists else (None, None)
-        if state.hasTimedOut:
-            rows.append((key[0], stage, since, "no update"))
-            state.remove()
-        else:
-            seen = pd.concat(list(batches)).sort_values("ts", kind="stable")
-            for at, name in zip(seen["ts"], seen["stage"]):
-                if stage is not None and stage not in done and (at - since).total_seconds() > stale_seconds:
-                    rows.append((key[0], stage, since, "late update"))
-                stage, since = name, at
-            state.update((stage, since))
-            if stage in done:
-                state.remove()
-            else:
-                expiry = int(since.timestamp() * 1000) + stale_seconds * 1000
-                state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["job_id", "stage", "since", "condition"])
-
-    return events.withWatermark("ts", delay).groupBy("job_id").applyInPandasWithState(
-        watch, _STUCK, _STUCK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return events.withWatermark("ts", delay).groupBy("job_id").transformWithStateInPandas(
+        StuckWatch(stale_seconds), _STUCK, "append", "EventTime")
 
 
 def pattern_stream(outcomes: DataFrame) -> DataFrame:

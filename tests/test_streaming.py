@@ -39,15 +39,16 @@ def test_idempotent_stream(spark, tmp_path):
 
 
 def test_stuck_stream_timer(spark, tmp_path):
-    schema = "job_id string, stage string, ts timestamp"
+    schema = "job_id string, stage string, ts timestamp, event_id long"
     t0, src = dt.datetime(2024, 1, 1), str(tmp_path / "in")
     at = lambda m: t0 + dt.timedelta(minutes=m)
-    put(spark, [("j1", "queued", at(0)), ("j1", "reading", at(20)), ("j2", "queued", at(0)), ("j2", "complete", at(5))], schema, src, 1)
-    put(spark, [("j3", "queued", at(60))], schema, src, 2)
-    put(spark, [("j3", "complete", at(61))], schema, src, 3)
+    # out of order inside the batch; two events of one time, of which the later id decides
+    put(spark, [("j1", "reading", at(20), 2), ("j1", "queued", at(0), 1), ("j2", "complete", at(0), 4), ("j2", "queued", at(0), 3), ("j4", "queued", at(5), 6), ("j4", "failed", at(5), 5)], schema, src, 1)
+    put(spark, [("j3", "queued", at(60), 7)], schema, src, 2)
+    put(spark, [("j3", "complete", at(61), 8), ("j5", "queued", at(300), 9)], schema, src, 3)
     J.run_available(J.stuck_stream(stream(spark, schema, src)), str(tmp_path / "out"), str(tmp_path / "cp"), "append")
-    got = {(r.job_id, r.stage, r.condition) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {("j1", "queued", "late update"), ("j1", "reading", "no update")}
+    got = {(r.job_id, r.stage, r.since, r.condition) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("j1", "queued", at(0), "late update"), ("j1", "reading", at(20), "no update"), ("j4", "queued", at(5), "no update")}
 
 
 def test_file_sync_drops_removed_symbols(spark, tmp_path):
