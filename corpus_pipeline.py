@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.llm import bpe_codec, lines, minhash, mixing, toxicity
+from evigraph.llm.common import written
 from evigraph.session import cut_lineage
 
 
@@ -22,9 +23,9 @@ def _with_text(docs: DataFrame, text: Column, row: str) -> list[Column]:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of at least the threshold go."""
+    """Documents with a score of at least the threshold go. Written here, so that whole texts reach Python in small batches."""
     model = toxicity.model_for(spark, docs.select("doc_id", "text"), sf_dir)
-    return docs.where(toxicity.score_column(F.col("text"), model) < toxicity.THRESHOLD)
+    return written(docs.where(toxicity.score_column(F.col("text"), model) < toxicity.THRESHOLD))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +44,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, the ids of the text, their number, and whether they decode to the text."""
+    """doc_id, source, the ids of the text, their number, and whether they decode to the text; in small batches, as above."""
     ids = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), bpe_codec.encode_column(F.col("text")).alias("ids"))
     decoded = bpe_codec.decode_column(F.col("ids"))
-    return ids.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (decoded == F.encode("text", "UTF-8")).alias("decodes"))
+    return written(ids.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (decoded == F.encode("text", "UTF-8")).alias("decodes")))
 
 
 STAGES = [
