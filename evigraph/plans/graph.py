@@ -393,7 +393,7 @@ UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), concat('customer ', CAS
 UNION ALL SELECT concat('r', CAST(r_regionkey AS STRING)), substring(r_name, 2, 1), 'Nation', NULL, NULL FROM region
 UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), substring(n_name, 1, 2), NULL, NULL, NULL FROM nation
 UNION ALL SELECT concat('m', CAST(n_nationkey AS STRING)), n_name, 'Part', NULL, NULL FROM nation
-UNION ALL SELECT concat('p', CAST(p_partkey AS STRING)), p_name, NULL, NULL, NULL FROM part
+UNION ALL SELECT DISTINCT concat('p ', p_name), p_name, CAST(NULL AS STRING), CAST(NULL AS TIMESTAMP), CAST(NULL AS BOOLEAN) FROM part
 UNION ALL SELECT 'blank', '  ', NULL, NULL, NULL FROM region
 """
 

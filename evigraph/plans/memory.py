@@ -126,7 +126,7 @@ WORDS = "list_filter(regexp_split_to_array(lower(concat_ws(' ', e.title, e.goal,
 ASKED_SQL = """
 SELECT 'q1' AS query_id, 'signup' AS q, CAST(NULL AS STRING) AS environment
 UNION ALL SELECT 'q2', 'Purchase', 'prod' UNION ALL SELECT 'q3', 'purch zzz', NULL
-UNION ALL SELECT DISTINCT concat('u', CAST(user_id AS STRING), left(event_type, 4)), concat('zq x ', left(event_type, 4), ' ', CAST(user_id AS STRING), '\u00a0Ser ZZ a2 a3 user'), NULL FROM events
+UNION ALL SELECT DISTINCT concat('u', CAST(user_id AS STRING)), concat('zq x ', CAST(user_id AS STRING), CASE WHEN user_id < 3 THEN '\u00a0Ser' ELSE '' END, ' ZZ a2 a3 user'), CAST(NULL AS STRING) FROM events
 """
 SEARCH_SQL = f"""
 SELECT query_id, id, rank, round(score, 6) AS score, pattern_key FROM (
