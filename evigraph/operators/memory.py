@@ -365,12 +365,13 @@ def search(
     active = episodes if include_inactive else episodes.filter(~F.col("status").isin(*CLOSED_STATES))
     base = active.withColumn("_words", tokens(F.col("title"), F.col("goal"), F.col("problem_signature")))
     posting = base.select(F.col("id"), F.explode(F.array_distinct("_words")).alias("_w"))
-    hits = (
-        posting.join(asked.select("query_id", F.size("_want").alias("_n"), F.explode("_want").alias("_w")), "_w")
-        .groupBy("query_id", "id", "_n").agg(F.count("*").alias("_got")).filter("_got = _n").select("query_id", "id")
-    )
+    seen = posting.groupBy("_w").agg(F.count("*").alias("_seen"))
+    # A query is looked up by its rarest word; the others are tested on the episode.
+    rarest = asked.select("query_id", F.explode("_want").alias("_w")).join(seen, "_w", "left").groupBy("query_id").agg(
+        F.min(F.struct(F.coalesce("_seen", F.lit(0)).alias("n"), "_w")).alias("r")).filter("r.n > 0").select("query_id", "r._w")
+    hits = posting.join(cut_lineage(rarest), "_w").select("query_id", "id")
     found = hits.join(base, "id").join(asked, "query_id").filter(
-        (F.col("_sig").isNull() | (F.col("problem_signature") == F.col("_sig")))
+        (F.size(F.array_except("_want", "_words")) == 0) & (F.col("_sig").isNull() | (F.col("problem_signature") == F.col("_sig")))
         & (F.col("_repo").isNull() | (F.col("repository") == F.col("_repo")))
         & (F.col("_env").isNull() | (F.col("environment") == F.col("_env"))))
     found = with_pattern(found, outcomes, pattern_rows)
