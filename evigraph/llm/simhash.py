@@ -138,17 +138,15 @@ def compared(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known = texts.where(F.col("doc_id").isNotNull())
     links = written(successors(known.select("doc_id", F.char_length("text").alias("n_chars"))))
-    # what a document sends to the one before it: its beginning and its fingerprint
-    sent = written(known.join(links, "doc_id").select(
-        "doc_id", "prev_id", F.xxhash64("text").alias("own"), F.expr("left(text, cast(prev_chars div 3 as int))").alias("head"), fingerprint(F.col("text")).alias("fp")))
-    to_prev = sent.select(F.col("prev_id").alias("to"), F.struct("head", F.col("fp").alias("next_fp")).alias("n"), F.lit(None).alias("mine"))
-    to_self = sent.select(F.col("doc_id").alias("to"), F.lit(None).alias("n"), F.struct("own", "fp").alias("mine"))
-    # both in one row per id, so that a text is shuffled once; an id has as many own fingerprints as it has texts
-    received = to_prev.union(to_self).groupBy("to").agg(F.max("n").alias("n"), F.collect_set("mine").alias("fps"))
-    own = F.filter("fps", lambda x: x["own"] == F.xxhash64("text"))
-    joined = known.join(received, F.col("doc_id") == F.col("to")).withColumn("fp", F.get(own, F.lit(0))["fp"])
+    # what a document sends to the one before it: its beginning and its fingerprint. Both joins deal the texts out by the
+    # same id, so Spark shuffles them once and reads that shuffle twice; the own fingerprint is cheaper made anew than sent
+    sent = known.join(links.hint("shuffle_merge"), "doc_id").select(
+        F.col("prev_id").alias("to"), F.expr("left(text, cast(prev_chars div 3 as int))").alias("head"), fingerprint(F.col("text")).alias("next_fp"))
+    received = sent.groupBy("to").agg(F.max(F.struct("head", "next_fp")).alias("n"))
+    joined = known.join(received.hint("shuffle_merge"), F.col("doc_id") == F.col("to"))
     kept = F.expr("left(text, cast(char_length(text) - char_length(text) div 3 as int))")
-    edited = joined.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.concat(kept, "n.head").alias("edited"), "fp", F.col("n.next_fp").alias("next_fp"))
+    edited = joined.select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.concat(kept, "n.head").alias("edited"), fingerprint(F.col("text")).alias("fp"), F.col("n.next_fp").alias("next_fp"))
     alone = texts.where(F.col("doc_id").isNull()).select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), kept.alias("edited"), fingerprint(F.col("text")).alias("fp"), F.lit(None).cast("long").alias("next_fp"))
     return written(edited.union(alone).select(
