@@ -92,6 +92,19 @@ def decode_column(ids: Column, rank_file: str = RANK_FILE) -> Column:
     return bytes_of(F.coalesce(ids, F.array().cast("array<int>")))
 
 
+def encode_checked(text: Column, rank_file: str = RANK_FILE, chunk_chars: int = CHUNK_CHARS) -> Column:
+    """The token ids of a text column and whether they decode to its bytes: one function, so that a task needs one Python worker, not two."""
+
+    @F.pandas_udf("ids array<int>, decodes boolean")
+    def checked(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            ids = [encode(t, rank_file, chunk_chars) for t in batch]
+            decodes = [decode(i, rank_file) == t.encode("utf-8") for i, t in zip(ids, batch)]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decodes": pd.Series(decodes, dtype=bool)})
+
+    return checked(F.coalesce(text, F.lit("")))
+
+
 def round_trip(text: Column, rank_file: str = RANK_FILE, chunk_chars: int = CHUNK_CHARS) -> Column:
     """Encode and decode in one pass over the batch: number of ids and the digests of ids and bytes."""
 
