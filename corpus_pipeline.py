@@ -45,9 +45,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, the ids of the text, their number, and whether they decode to the text; in small batches, as above."""
-    ids = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), bpe_codec.encode_column(F.col("text")).alias("ids"))
-    decoded = bpe_codec.decode_column(F.col("ids"))
-    return written(ids.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (decoded == F.encode("text", "UTF-8")).alias("decodes")))
+    coded = docs.select("doc_id", "source", bpe_codec.encode_checked(F.col("text")).alias("c"))
+    return written(coded.select("doc_id", "source", F.size("c.ids").cast("long").alias("n_tokens"), "c.ids", "c.decodes"))
 
 
 STAGES = [
