@@ -9,6 +9,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from evigraph.functions.scalars import language_of, let, symbol_id, token_count
 from evigraph.operators.chunking import chunk_pieces
+from evigraph.session import shuffled
 
 # Fixed value: a line that opens a symbol.
 SYMBOL_LINE = r"^\s*(?:async\s+)?(def|function|fn|func|class|struct|interface|type)\s+([A-Za-z0-9_]+)"
@@ -207,9 +208,9 @@ def link_relations(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = nodes.select("id").distinct()
     table = symbol_table(nodes.filter(F.col("kind") != "file"))
     linked = (
-        relations.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
-        .join(ids.select(F.col("id").alias("target_id"), F.lit(True).alias("_here")), "target_id", "left")
-        .join(table.select(F.col("name").alias("target_name"), F.col("id").alias("_named")), "target_name", "left")
+        relations.join(shuffled(ids.withColumnRenamed("id", "source_id")), "source_id", "left_semi")
+        .join(shuffled(ids.select(F.col("id").alias("target_id"), F.lit(True).alias("_here"))), "target_id", "left")
+        .join(shuffled(table.select(F.col("name").alias("target_name"), F.col("id").alias("_named"))), "target_name", "left")
     )
     target = F.when(F.col("_here"), F.col("target_id")).otherwise(F.col("_named"))
     return linked.select("source_id", target.alias("target_id"), "kind").filter(
@@ -240,4 +241,4 @@ def sync_files(stored: DataFrame, changed: DataFrame) -> DataFrame:
     """Symbols after some files changed: their old symbols go, including removed ones."""
     fresh = symbols(changed).unionByName(file_nodes(changed))
     paths = changed.select("file_path").distinct()
-    return stored.join(paths, "file_path", "left_anti").unionByName(fresh)
+    return stored.join(shuffled(paths), "file_path", "left_anti").unionByName(fresh)

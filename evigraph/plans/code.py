@@ -12,6 +12,7 @@ from evigraph.plans.inputs import Inputs, oracle
 from evigraph.plans.memory import keyed, sequenced_attempts
 from evigraph.plans.memory import SEQ
 from evigraph.plans.registry import query, with_ctes
+from evigraph.session import shuffled, spread
 from evigraph.sources import transfer as T
 
 # One source file per part: a class with methods, a function inside one of them, short symbols one behind the other,
@@ -40,8 +41,12 @@ SYMBOLS_SQL = " UNION ALL ".join(
     for name, kind, first, last in SPANS)
 
 
+FILES_PER_TASK = 100_000
+
+
 def files(spark: SparkSession, sf: str) -> DataFrame:
-    Inputs(spark, sf).part.createOrReplaceTempView("part")
+    # The rows of part are small and their files large, so the rows are dealt out before the texts are made.
+    spread(Inputs(spark, sf).part.select("p_partkey", "p_size", "p_type"), FILES_PER_TASK).createOrReplaceTempView("part")
     return spark.sql(FILES).select("file_path", "code")
 
 
@@ -66,7 +71,7 @@ RELATIONS = (("imports", "'os'", 1, "''"), ("inherits", named("Base"), 3, PART),
     f"SELECT file_path, '{kind}' AS kind, {target} AS target_name, CAST({line} AS BIGINT) AS line_number, {owner} AS owner FROM files" for kind, target, line, owner in RELATIONS), files=FILES))
 def cg3(spark: SparkSession, sf: str) -> DataFrame:
     rel, owners = K.text_relations(files(spark, sf)), K.symbols(files(spark, sf)).select(F.col("id").alias("source_id"), F.col("name").alias("owner"))
-    return rel.join(owners, "source_id", "left").select("file_path", "kind", "target_name", "line_number", F.coalesce("owner", F.lit("")).alias("owner"))
+    return rel.join(shuffled(owners), "source_id", "left").select("file_path", "kind", "target_name", "line_number", F.coalesce("owner", F.lit("")).alias("owner"))
 
 
 @query("cg4_j10_symbol_table", with_ctes("""

@@ -38,3 +38,13 @@ def test_short_symbols_end_before_the_next(spark):
     names = {r["id"]: r["name"] for r in K.symbols(files).collect()}
     calls = {(r["target_name"], names[r["source_id"]]) for r in K.text_relations(files).where("kind = 'calls'").collect()}
     assert calls == {("e", "d"), ("f", "c"), ("g", "C")}
+
+
+def test_symbols_are_joined_without_a_broadcast(spark, tmp_path):
+    from evigraph.plans import catalog
+
+    # The files on disk are far smaller than the texts that the query derives from them.
+    spark.range(50).selectExpr("id AS p_partkey", "CAST(id % 3 AS INT) AS p_size", "'ECONOMY' AS p_type").write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("cg3_text_relations", "cg5_j10_code_relations", "cg6_ag15_ingest_totals"):
+        plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan, name
