@@ -130,3 +130,13 @@ def test_digest_ignores_order(spark):
     one = M.graph_digest(ent, rel).first()
     assert one == M.graph_digest(ent.orderBy(F.desc("id")), rel.orderBy(F.desc("id"))).first()
     assert one.snapshot_hash != M.graph_digest(ent, rel.limit(1)).first().snapshot_hash
+
+
+def test_a_node_without_early_turns_still_moves(spark):
+    ids = spark.range(0, 8_000_000, 1, 16)
+    late = ids.where(" AND ".join(f"pmod(xxhash64(xxhash64(id), {k}), 2) <> 0" for k in range(20))).limit(3).collect()
+    assert late  # only the larger of two lone nodes may move, and these had no turn in rounds 0 to 19
+    for node in late:
+        nodes = spark.createDataFrame([(-1,), (node.id,)], "id bigint")
+        edges = spark.createDataFrame([(-1, node.id, 1.0)], "a bigint, b bigint, weight double")
+        assert {r.community_id for r in C.detect(nodes, edges, 1.0, tolerance=0.0).collect()} == {-1}
