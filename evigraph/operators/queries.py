@@ -182,6 +182,16 @@ def explorer_nodes(entities: DataFrame, members: DataFrame, metrics: DataFrame,
     )
 
 
+def most_important(nodes: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` explorer nodes of the largest weight, then the smallest id.
+
+    Importance is the weight over one total, so both order alike. Weights are
+    sums of doubles, whose last digits follow the order of addition; without the
+    rounding these would decide between equal weights.
+    """
+    return nodes.orderBy(F.round("weighted_degree", 4).desc(), "id").limit(limit)
+
+
 def explorer_stats(entities: DataFrame, relations: DataFrame) -> DataFrame:
     one = entities.agg(F.count("*").alias("entity_count")).crossJoin(relations.agg(F.count("*").alias("relation_count")))
     return one.withColumn("density", density(F.col("relation_count"), F.col("entity_count")))

@@ -140,3 +140,12 @@ def test_a_node_without_early_turns_still_moves(spark):
         nodes = spark.createDataFrame([(-1,), (node.id,)], "id bigint")
         edges = spark.createDataFrame([(-1, node.id, 1.0)], "a bigint, b bigint, weight double")
         assert {r.community_id for r in C.detect(nodes, edges, 1.0, tolerance=0.0).collect()} == {-1}
+
+
+def test_equal_weights_are_ordered_by_id(spark):
+    from evigraph.operators import queries as Q
+
+    rows = [("a", 0.3 + 0.2 + 0.1), ("b", 0.1 + 0.2 + 0.3), ("c", 0.61)]
+    assert rows[1][1] > rows[0][1]
+    nodes = spark.createDataFrame(rows, "id string, weighted_degree double")
+    assert [r.id for r in Q.most_important(nodes, 2).collect()] == ["c", "a"]
