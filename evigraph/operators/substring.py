@@ -1,27 +1,35 @@
-"""Which texts contain which terms, by an n-gram index.
+"""Which texts contain which terms, by an index of the places where a term may begin.
 
-Texts are exploded to their distinct runs of up to ``GRAM`` characters; a term
-is looked up by one run only, its rarest (a term of at most ``GRAM`` characters
-is a run itself). Runs that no term has are dropped before anything is
-shuffled twice, and every hit is verified on the whole text. Terms and texts
+A term is found where a text has its first ``HEAD`` characters (all of a shorter
+term). There the text is cut to the lengths that terms with this head have, and
+the pieces meet the terms by equality, so no text is compared with a term that
+it does not contain, however many texts share the term's parts. Terms and texts
 are both DataFrames of any size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.functions.scalars import let
 from evigraph.session import cut_lineage
 
-GRAM = 3
+HEAD = 3
 
 
-def runs(text: Column, size: int) -> Column:
-    """The distinct runs of ``size`` characters of a text."""
-    starts = F.when(F.char_length(text) >= size, F.sequence(F.lit(1), F.char_length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(let(F.split(text, ""), lambda chars: F.transform(starts, lambda i: F.array_join(F.slice(chars, i, size), ""))))
+def pieces(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, term): the parts of ``texts(id, text)`` that begin like a term and are as long as one that begins so."""
+    heads = cut_lineage(terms.groupBy(F.left("term", F.lit(HEAD)).alias("head")).agg(F.collect_set(F.char_length("term")).alias("sizes")))
+    length = F.char_length("text")
+
+    def begins(size: int):
+        places = F.when(length >= size, F.sequence(F.lit(1), length - size + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda at: F.struct(at.alias("at"), F.substr("text", at, F.lit(size)).alias("head")))
+
+    every = F.flatten(F.array(*[begins(size) for size in range(1, HEAD + 1)]))
+    places = texts.where(F.col("text").isNotNull()).select("id", "text", F.explode(every).alias("p")).select("id", "text", "p.at", "p.head")
+    cut = places.join(heads, "head").select("id", "text", "at", F.explode("sizes").alias("size")).where(F.col("at") + F.col("size") - 1 <= length)
+    return cut.select("id", F.substr("text", F.col("at"), F.col("size")).alias("term"))
 
 
 def containing(texts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -31,16 +39,4 @@ def containing(texts: DataFrame, terms: DataFrame) -> DataFrame:
     exact, so callers fold the case of both sides.
     """
     asked = cut_lineage(terms.select("query_id", "term").where(F.char_length("term") > 0).distinct())
-    length = F.char_length("term")
-    term_runs = asked.select("query_id", "term", F.explode(F.when(length <= GRAM, F.array("term")).otherwise(runs(F.col("term"), GRAM))).alias("run"))
-    term_runs = cut_lineage(term_runs)
-    wanted = term_runs.select("run").distinct()
-    keyed = texts.where(F.col("text").isNotNull()).select("id", "text", F.xxhash64("text").alias("text_hash"))
-    every = F.flatten(F.array(*[runs(F.col("text"), n) for n in range(1, GRAM + 1)]))
-    found = cut_lineage(keyed.select("id", "text_hash", F.explode(every).alias("run")).join(wanted, "run"))
-    seen = found.groupBy("run").agg(F.count("*").alias("seen"))
-    # A run that no text has leaves its term without a match.
-    rarest = term_runs.join(seen, "run", "left").groupBy("query_id", "term").agg(
-        F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "run")).alias("r")).where("r.seen > 0").select("query_id", "term", "r.run")
-    met = found.join(cut_lineage(rarest), "run").select("query_id", "term", "id", "text_hash")
-    return met.join(keyed, ["id", "text_hash"]).where(F.contains("text", "term")).select("query_id", "id").distinct()
+    return pieces(texts, asked).join(asked, "term").select("query_id", "id").distinct()

@@ -1,9 +1,9 @@
-"""The n-gram index and as-of matches against plain versions."""
+"""The substring index and as-of matches against plain versions."""
 
 import random
 
 from evigraph.operators.asof import first_later, reachable
-from evigraph.operators.substring import containing
+from evigraph.operators.substring import containing, pieces
 
 
 def test_containing_equals_plain_search(spark):
@@ -17,6 +17,15 @@ def test_containing_equals_plain_search(spark):
     assert containing(spark.createDataFrame([], "id int, text string"), spark.createDataFrame(terms, "query_id string, term string")).count() == 0
 
 
+def test_pieces_grow_with_the_texts(spark):
+    # Numbered names share all their three-character runs; the pieces that meet the terms must not grow with the square.
+    counts = []
+    for n in (300, 1200):
+        names = spark.range(1000, 1000 + n).selectExpr("id", "'customer ' || id AS text", "'customer ' || id AS term")
+        counts.append(pieces(names.select("id", "text"), names.select("term")).count())
+    assert counts == [300, 1200]
+
+
 def test_first_later_equals_plain_search(spark):
     rng = random.Random(2)
     rows = [(rng.choice("xxxy"), rng.randrange(300), i) for i in range(500)]
