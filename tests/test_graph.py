@@ -149,3 +149,14 @@ def test_equal_weights_are_ordered_by_id(spark):
     assert rows[1][1] > rows[0][1]
     nodes = spark.createDataFrame(rows, "id string, weighted_degree double")
     assert [r.id for r in Q.most_important(nodes, 2).collect()] == ["c", "a"]
+
+
+def test_only_supported_relations_and_needed_columns_are_written(spark):
+    ent, rel, _ = graph(spark, [("r1", "a", "b", 1.0), ("r2", "b", "c", 1.0), ("r3", "c", "d", 1.0)])
+    rel = rel.withColumn("review_state", F.when(F.col("id") == "r3", "approved").otherwise("unreviewed"))
+    ev = spark.createDataFrame([("r1",)], "relation_id string")
+    people, links = P.supported_graph(ent.withColumn("review_state", F.lit("unreviewed")), rel, ev, ("confidence",))
+    stored = spark.read.parquet(*links.inputFiles())  # r2 is neither cited nor approved; r3 is, but backs no entity
+    assert {r.id for r in stored.collect()} == {r.id for r in links.collect()} == {"r1", "r3"}
+    assert set(links.columns) == {"id", "source_entity_id", "target_entity_id", "review_state", "confidence"}
+    assert {r.id for r in people.collect()} == {"a", "b"}
