@@ -159,3 +159,19 @@ def test_json_with_a_tail_is_refused(spark):
 def test_grammar_endpoints_are_stripped(spark):
     docs = spark.createDataFrame([(1, "\tAlice -> KNOWS -> Bob\t\r\n")], "i int, text string")
     assert [(r.source, r.target) for r in E.grammar_relations(docs, ["i"]).collect()] == [("Alice", "Bob")]
+
+
+def test_python_sees_texts_in_small_batches(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from evigraph.session import cut_in_small_batches
+
+    @F.pandas_udf("int")
+    def batch_rows(ids: pd.Series) -> pd.Series:
+        return pd.Series([len(ids)] * len(ids))
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = cut_in_small_batches(spark.range(0, 4000, 1, 1).select(batch_rows("id").alias("n")))
+    assert rows.agg(F.max("n")).first()[0] <= 500 and rows.count() == 4000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
