@@ -15,7 +15,7 @@ from evigraph.functions.scalars import (
 )
 from evigraph.operators.governance import idempotent_first
 from evigraph.operators.ranking import fixed_batches, top_n_per_group
-from evigraph.operators.substring import containing
+from evigraph.operators.substring import matches
 from evigraph.session import cut_lineage
 from evigraph.sources.corpus import json_valid
 
@@ -392,8 +392,12 @@ def search(
     if fallback_words is not None:
         words = F.slice(words, 1, fallback_words)
     missed = queries.join(strict.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.explode(words).alias("term"))
-    texts = active.select("id", F.lower(F.concat_ws("\n", "title", "goal", "problem_signature")).alias("text"))
-    loose = containing(texts, missed).join(active, "id")
+    texts = active.select("id", "created_at", F.lower(F.concat_ws("\n", "title", "goal", "problem_signature")).alias("text"))
+    # All score zero, so time and id rank them: the list of a query is cut in the map tasks, before anything else is
+    # joined. An id found at several places has one dense rank.
+    newest = Window.partitionBy("query_id").orderBy(F.col("created_at").desc(), "id")
+    top = matches(texts, missed).withColumn("_place", F.dense_rank().over(newest)).where(F.col("_place") <= limit)
+    loose = top.select("query_id", "id").distinct().join(active, "id")
     loose = with_pattern(loose, outcomes, pattern_rows).select(
         "query_id", "id", "created_at", F.lit(0.0).alias("score"), "pattern_key", "pattern_confidence", "promoted", "lesson")
     ranked = top_n_per_group(

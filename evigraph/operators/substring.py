@@ -18,7 +18,8 @@ HEAD = 3
 
 
 def pieces(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, term): the parts of ``texts(id, text)`` that begin like a term and are as long as one that begins so."""
+    """(id, term) and the other columns of ``texts(id, text, …)``: the parts that begin like a term and are as long as one that begins so."""
+    kept = [c for c in texts.columns if c != "text"]
     heads = cut_lineage(terms.groupBy(F.left("term", F.lit(HEAD)).alias("head")).agg(F.collect_set(F.char_length("term")).alias("sizes")))
     length = F.char_length("text")
 
@@ -27,9 +28,15 @@ def pieces(texts: DataFrame, terms: DataFrame) -> DataFrame:
         return F.transform(places, lambda at: F.struct(at.alias("at"), F.substr("text", at, F.lit(size)).alias("head")))
 
     every = F.flatten(F.array(*[begins(size) for size in range(1, HEAD + 1)]))
-    places = texts.where(F.col("text").isNotNull()).select("id", "text", F.explode(every).alias("p")).select("id", "text", "p.at", "p.head")
-    cut = places.join(heads, "head").select("id", "text", "at", F.explode("sizes").alias("size")).where(F.col("at") + F.col("size") - 1 <= length)
-    return cut.select("id", F.substr("text", F.col("at"), F.col("size")).alias("term"))
+    places = texts.where(F.col("text").isNotNull()).select(*kept, "text", F.explode(every).alias("p")).select(*kept, "text", "p.at", "p.head")
+    cut = places.join(heads, "head").select(*kept, "text", "at", F.explode("sizes").alias("size")).where(F.col("at") + F.col("size") - 1 <= length)
+    return cut.select(*kept, F.substr("text", F.col("at"), F.col("size")).alias("term"))
+
+
+def matches(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """query_id and the columns of ``texts(id, text, …)`` but the text, once for each place of a term: no shuffle by the pair."""
+    asked = cut_lineage(terms.select("query_id", "term").where(F.char_length("term") > 0).distinct())
+    return pieces(texts, asked).join(asked, "term").drop("term")
 
 
 def containing(texts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -38,5 +45,4 @@ def containing(texts: DataFrame, terms: DataFrame) -> DataFrame:
     A null or empty term and a null text match nothing; the comparison is
     exact, so callers fold the case of both sides.
     """
-    asked = cut_lineage(terms.select("query_id", "term").where(F.char_length("term") > 0).distinct())
-    return pieces(texts, asked).join(asked, "term").select("query_id", "id").distinct()
+    return matches(texts.select("id", "text"), terms).select("query_id", "id").distinct()

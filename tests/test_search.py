@@ -2,6 +2,7 @@
 
 import random
 
+from evigraph.operators import memory as Mm
 from evigraph.operators.asof import first_later, reachable
 from evigraph.operators.substring import containing, pieces
 
@@ -38,3 +39,24 @@ def test_reachable_follows_long_paths(spark):
     steps = spark.range(1000).selectExpr("id AS a", "CASE WHEN id < 990 THEN id + 7 END AS b")
     got = {r["a"] for r in reachable(spark.createDataFrame([(3,)], "a long"), steps, ["a"], ["b"]).collect()}
     assert got == set(range(3, 997, 7))
+
+
+def test_loose_hits_are_cut_before_the_joins(spark, monkeypatch):
+    # A word of every title: only the newest episodes of a query, ties by id, may reach the outcome and pattern joins.
+    episodes = spark.range(300).selectExpr(
+        "concat('e', id) AS id", "'p1' AS project_id", "'wordy wording' AS title", "'goal' AS goal", "'sig' AS problem_signature", "'repo' AS repository",
+        "'dev' AS environment", "'open' AS status", "timestamp_seconds(id DIV 2) AS created_at")
+    outcomes = spark.createDataFrame([], "episode_id string, pattern_key string, lesson string")
+    patterns = spark.createDataFrame([], "project_id string, pattern_key string, confidence double, promoted boolean")
+    attempts = spark.createDataFrame([], "episode_id string, sequence long, result string, action string")
+    queries = spark.createDataFrame([("a", "word ordi"), ("b", "nowhere")], "query_id string, q string")
+    joined, plain = [], Mm.with_pattern
+
+    def counting(rows, *tables):
+        joined.append(rows.count())
+        return plain(rows, *tables)
+
+    monkeypatch.setattr(Mm, "with_pattern", counting)
+    got = Mm.search(queries, episodes, outcomes, patterns, attempts, limit=5).orderBy("rank").collect()
+    assert [(r["query_id"], r["id"]) for r in got] == [("a", e) for e in ("e298", "e299", "e296", "e297", "e294")]
+    assert joined == [0, 5]
