@@ -203,9 +203,18 @@ ANSWERS = """SELECT c_custkey AS doc_id, concat('Customer ', CAST(c_custkey AS S
   WHEN 'HOUSEHOLD' THEN '{"entities": [], "relations": []}' ELSE 'not json' END AS content FROM customer"""
 
 
+ANSWERS_PER_TASK = 5_000  # a customer file of one row group would be read, and its texts parsed, by one task
+
+
+def told(spark: SparkSession, sf: str, form: str) -> DataFrame:
+    """The texts that ``form`` makes of the customers, who are dealt out before they become texts."""
+    rows = Inputs(spark, sf).customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    spread(rows, ANSWERS_PER_TASK).createOrReplaceTempView("customer")
+    return spark.sql(form)
+
+
 def answers(spark: SparkSession, sf: str) -> DataFrame:
-    Inputs(spark, sf).customer.createOrReplaceTempView("customer")
-    return spark.sql(ANSWERS)
+    return told(spark, sf, ANSWERS)
 
 
 @query("x12_payload_entities", """
@@ -243,16 +252,14 @@ UNION ALL SELECT c_custkey, 'bob' || CAST(c_custkey AS VARCHAR) || '@x.org', 'Co
 UNION ALL SELECT c_custkey, 'docker', 'Skill', CAST(0.7 AS DOUBLE), 'rules' FROM customer WHERE c_mktsegment = 'HOUSEHOLD'
 UNION ALL SELECT c_custkey, 'STRASSE ' || CAST(c_custkey AS VARCHAR), 'street', CAST(1.0 AS DOUBLE), 'rules' FROM customer WHERE c_mktsegment = 'AUTOMOBILE'""")
 def x13(spark: SparkSession, sf: str) -> DataFrame:
-    Inputs(spark, sf).customer.createOrReplaceTempView("customer")
-    return E.extract(spark.sql(SPOKEN), ["doc_id"])[0].drop("aliases")
+    return E.extract(told(spark, sf, SPOKEN), ["doc_id"])[0].drop("aliases")
 
 
 @query("x13_extracted_relations", """
 SELECT c_custkey AS doc_id, c_name AS source, 'LIVES_IN' AS type, 'Nation ' || CAST(c_nationkey AS VARCHAR) AS target, 'answer' AS extraction_source FROM customer WHERE c_mktsegment = 'BUILDING'
 UNION ALL SELECT c_custkey, c_name, 'NEAR', 'B', 'rules' FROM customer WHERE c_mktsegment = 'AUTOMOBILE'""")
 def x13_relations(spark: SparkSession, sf: str) -> DataFrame:
-    Inputs(spark, sf).customer.createOrReplaceTempView("customer")
-    return E.extract(spark.sql(SPOKEN), ["doc_id"])[1].drop("confidence")
+    return E.extract(told(spark, sf, SPOKEN), ["doc_id"])[1].drop("confidence")
 
 
 # Ledger, completeness, consolidation -------------------------------------

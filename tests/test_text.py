@@ -9,6 +9,7 @@ from evigraph.functions import scalars as X
 from evigraph.operators import chunking as C
 from evigraph.operators import construction as B
 from evigraph.operators import extraction as E
+from evigraph.plans import build
 from evigraph.sources import corpus as S
 from evigraph.sources import html as H
 
@@ -175,3 +176,11 @@ def test_python_sees_texts_in_small_batches(spark):
     rows = cut_in_small_batches(spark.range(0, 4000, 1, 1).select(batch_rows("id").alias("n")))
     assert rows.agg(F.max("n")).first()[0] <= 500 and rows.count() == 4000
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_spoken_answers_are_dealt_out(spark, monkeypatch):
+    # The customer file is one split, which one task would parse.
+    monkeypatch.setattr(build, "ANSWERS_PER_TASK", 10)
+    texts = build.told(spark, "/root/testdata/sf0.001", build.SPOKEN)
+    sizes = texts.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 15 and max(r["count"] for r in sizes) <= 11
