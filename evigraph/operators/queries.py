@@ -123,8 +123,12 @@ def graph_summary(
 ) -> DataFrame:
     """Ranked nodes with degree and the totals of the supported graph beside each."""
     keep = temporal_filter(as_of, include_history)
-    people, links = supported_graph(entities, relations, evidence, ("valid_from", "valid_until", "superseded_by"))
-    people, links = people.filter(keep), links.filter(keep)
+    people, links = supported_graph(entities, relations.withColumn("_keep", keep), evidence, ("_keep",))
+    return ranked_summary(people.filter(keep), links.filter("_keep"), limit, candidate_limit)
+
+
+def ranked_summary(people: DataFrame, links: DataFrame, limit: int = 100, candidate_limit: int | None = None) -> DataFrame:
+    """``graph_summary`` of the supported entities and relations that a view keeps."""
     candidates = people if candidate_limit is None else people.orderBy("canonical_name", "id").limit(candidate_limit)
     totals = people.agg(F.count("*").alias("entity_count")).crossJoin(links.agg(F.count("*").alias("relation_count")))
     ranked = rank_entities(candidates, endpoint_degree(links), limit)
@@ -158,12 +162,25 @@ def relations_among(
 
 def summary_relations(
     summary: DataFrame, relations: DataFrame, evidence: DataFrame, chunks: DataFrame, limit: int = 100,
-    depth: int = 1, as_of: Column | None = None, include_history: bool = False,
+    depth: int = 1, as_of: Column | None = None, include_history: bool = False, supported: bool = False,
 ) -> DataFrame:
-    """The relations that a summary shows among its nodes, with citations; depth 0 shows none."""
-    live = supported_relations(relations, evidence)
-    shown = relations_among(summary, live if depth else live.limit(0), limit, as_of, include_history)
-    return with_citations(shown, evidence, chunks)
+    """The relations that a summary shows among its nodes, with citations; depth 0 shows none.
+
+    The nodes are few, so relations between them and their evidence are looked
+    up before support is judged: each filter below commutes with the others, and
+    only the limit comes after all of them. ``supported`` says that ``relations``
+    are supported ones already, as those the summary was made of.
+    """
+    nodes = cut_lineage(summary.select("id").distinct())
+    open_ones = relations.filter((F.col("review_state") != "rejected") & temporal_filter(as_of, include_history))
+    among = induced(open_ones if depth else open_ones.limit(0), nodes)
+    among = cut_lineage(relations_among(nodes, among, limit, as_of, include_history) if supported else among)
+    cited = evidence.select("id", "relation_id", "document_id", "chunk_id", "quote").join(
+        among.select(F.col("id").alias("relation_id")), "relation_id", "left_semi")
+    cited = cut_lineage(cited)
+    if not supported:
+        among = cut_lineage(relations_among(nodes, supported_relations(among, cited), limit, as_of, include_history))
+    return with_citations(among, cited, chunks)
 
 
 def explorer_nodes(entities: DataFrame, members: DataFrame, metrics: DataFrame, level: int = 0) -> DataFrame:

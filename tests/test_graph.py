@@ -8,8 +8,11 @@ from evigraph.operators import extraction as E
 from evigraph.operators import lifecycle as L
 from evigraph.operators import measures as M
 from evigraph.operators import predicates as P
+from evigraph.operators import queries as Q
 from evigraph.operators import ranking as R
 from evigraph.operators import walk as Wk
+from evigraph.plans.graph import current_graph
+from evigraph.plans.inputs import DERIVED, Inputs
 
 DOCS = [
     ("d1", "Nova Labs [Company]\nMira Stone [Person]\nNova Labs -> EMPLOYS -> Mira Stone"),
@@ -160,3 +163,31 @@ def test_only_supported_relations_and_needed_columns_are_written(spark):
     assert {r.id for r in stored.collect()} == {r.id for r in links.collect()} == {"r1", "r3"}
     assert set(links.columns) == {"id", "source_entity_id", "target_entity_id", "review_state", "confidence"}
     assert {r.id for r in people.collect()} == {"a", "b"}
+
+
+def test_evidence_for_spark_equals_its_check(spark):
+    t = Inputs(spark, "/root/testdata/sf0.001")
+    mine = t.g_evidence_unique
+    t.g_evidence.createOrReplaceTempView("g_evidence")
+    plain = spark.sql(DERIVED["g_evidence_unique"][0])
+    assert mine.schema == plain.schema and mine.count() == plain.count() > 5000
+    assert mine.exceptAll(plain).isEmpty()
+    exchanges = mine._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(document_id")
+    assert exchanges == 0
+
+
+def test_a_summary_looks_up_its_own_relations_only(spark, monkeypatch):
+    t = Inputs(spark, "/root/testdata/sf0.001")
+    people, links = current_graph(t)
+    nodes = Q.ranked_summary(people, links, 100)
+    seen, plain = [], Q.with_citations
+
+    def counting(relations, evidence, *rest):
+        seen.append((relations.count(), evidence.count()))
+        return plain(relations, evidence, *rest)
+
+    monkeypatch.setattr(Q, "with_citations", counting)
+    judged = Q.summary_relations(nodes, links, t.g_evidence_unique, t.g_chunks, 100, supported=True).orderBy("id").collect()
+    whole = Q.summary_relations(nodes, t.g_relations, t.g_evidence_unique, t.g_chunks, 100).orderBy("id").collect()
+    assert judged == whole and len(whole) > 20 and Q.summary_relations(nodes, links, t.g_evidence_unique, t.g_chunks, depth=0).isEmpty()
+    assert all(e < t.g_evidence_unique.count() / 2 for _, e in seen)
