@@ -52,31 +52,36 @@ def update_on_conflict(stored: DataFrame, incoming: DataFrame, updates: list[str
 
 def collect_garbage(
     removed_documents: DataFrame, entities: DataFrame, relations: DataFrame, evidence: DataFrame,
-    aliases: DataFrame, merges: DataFrame, alias_evidence: DataFrame | None = None,
+    aliases: DataFrame, merges: DataFrame, alias_evidence: DataFrame | None = None, cited_only: bool = False,
 ) -> dict[str, DataFrame]:
     """Ids to delete when documents go: evidence, aliases, relations, entities and merge records.
 
     Endpoints of touched relations are candidates too, taken before the relations
     are dropped. An entity in merge history with a surviving partner is kept.
+    ``cited_only`` leaves relations without any evidence out of the graph, so
+    that they hold no entity.
     """
     removed = removed_documents.select("document_id").distinct().withColumn("_gone", F.lit(True))
-    marked = evidence.join(removed, "document_id", "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)))
+    # Written once: every mark below is read off the ids and the flag, so the evidence is derived and joined a single time.
+    marked = cut_lineage(evidence.select("id", "document_id", "relation_id", "entity_id").join(removed, "document_id", "left").select(
+        "id", "relation_id", "entity_id", F.coalesce("_gone", F.lit(False)).alias("_gone")))
 
     def subjects(column: str) -> DataFrame:
         """Per cited subject: did it lose evidence, does any remain. One pass, partially aggregated."""
         return marked.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("id")).agg(
             F.bool_or("_gone").alias("_lost"), F.bool_or(~F.col("_gone")).alias("_left"))
 
-    gone = marked.filter("_gone").drop("_gone")
-    state = relations.select("id", "source_entity_id", "target_entity_id").join(subjects("relation_id"), "id", "left").withColumn(
+    gone = marked.filter("_gone")
+    state = relations.select("id", "source_entity_id", "target_entity_id").join(subjects("relation_id"), "id", "inner" if cited_only else "left").withColumn(
         "_lost", F.coalesce("_lost", F.lit(False))).withColumn("_dead", F.col("_lost") & ~F.coalesce("_left", F.lit(False)))
+    state = cut_lineage(state.drop("_left"))
     ends = F.explode(F.array("source_entity_id", "target_entity_id")).alias("id")
     # Only touched relations and the ends of every relation matter from here on.
     by_relation = state.select(ends, "_lost", (~F.col("_dead")).alias("_left"))
     direct = subjects("entity_id")
     per_entity = by_relation.unionByName(direct.select("id", "_lost", "_left")).groupBy("id").agg(
         F.bool_or("_lost").alias("_lost"), F.bool_or("_left").alias("_left"))
-    dead_relations = cut_lineage(state.filter("_dead").select("id"))
+    dead_relations = state.filter("_dead").select("id")
     unsupported = cut_lineage(
         per_entity.filter(F.col("_lost") & ~F.col("_left")).select("id").join(entities.select("id"), "id", "left_semi"))
 

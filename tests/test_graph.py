@@ -191,3 +191,21 @@ def test_a_summary_looks_up_its_own_relations_only(spark, monkeypatch):
     whole = Q.summary_relations(nodes, t.g_relations, t.g_evidence_unique, t.g_chunks, 100).orderBy("id").collect()
     assert judged == whole and len(whole) > 20 and Q.summary_relations(nodes, links, t.g_evidence_unique, t.g_chunks, depth=0).isEmpty()
     assert all(e < t.g_evidence_unique.count() / 2 for _, e in seen)
+
+
+def test_garbage_marks_are_written_once(spark):
+    ent = spark.createDataFrame([(x,) for x in "abc"], "id string")
+    rel = spark.createDataFrame([("r1", "a", "b"), ("r2", "b", "c"), ("r3", "a", "c")], "id string, source_entity_id string, target_entity_id string")
+    ev = spark.createDataFrame([("e1", "gone", None, "r1"), ("e2", "gone", None, "r2"), ("e3", "kept", None, "r2")],
+                               "id string, document_id string, entity_id string, relation_id string")
+    gone = spark.createDataFrame([("gone",)], "document_id string")
+    aliases = spark.createDataFrame([], "entity_id string, alias string")
+    merges = spark.createDataFrame([], "source_entity_id string, target_entity_id string")
+    dead = {only: L.collect_garbage(gone, ent, rel, ev, aliases, merges, cited_only=only) for only in (False, True)}
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    for tables in dead.values():
+        assert ids(tables["evidence"]) == ["e1", "e2"] and ids(tables["relations"]) == ["r1"]
+        for name in ("evidence", "relations"):  # read off the marks, not derived and joined again
+            assert "Join" not in tables[name]._jdf.queryExecution().optimizedPlan().toString()
+    # r3 has no evidence: it holds its entities unless only cited relations count
+    assert ids(dead[False]["entities"]) == [] and ids(dead[True]["entities"]) == ["a"]
