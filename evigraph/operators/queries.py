@@ -30,8 +30,9 @@ def citations(evidence: DataFrame, chunks: DataFrame, relations: DataFrame | Non
         cited.select("id", "relation_id", "document_id", "chunk_id", "quote"), ["relation_id"], [F.col("id")], limit, "rank")
     if relations is not None:
         first = first.join(relations.select(F.col("id").alias("relation_id")), "relation_id", "left_semi")
-    return first.join(chunks.select(F.col("id").alias("chunk_id"), "metadata"), "chunk_id").withColumn(
-        "source_location", source_location(F.col("metadata"))).drop("metadata")
+    # The place is read before the join: three numbers travel, not the metadata.
+    places = chunks.select(F.col("id").alias("chunk_id"), source_location(F.col("metadata")).alias("source_location"))
+    return first.join(places, "chunk_id")
 
 
 def evidence_view(evidence: DataFrame, chunks: DataFrame) -> DataFrame:

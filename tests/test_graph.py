@@ -209,3 +209,13 @@ def test_garbage_marks_are_written_once(spark):
             assert "Join" not in tables[name]._jdf.queryExecution().optimizedPlan().toString()
     # r3 has no evidence: it holds its entities unless only cited relations count
     assert ids(dead[False]["entities"]) == [] and ids(dead[True]["entities"]) == ["a"]
+
+
+def test_citation_places_travel_as_numbers(spark):
+    ev = spark.createDataFrame([("e1", "r1", "d", "c1", "q1"), ("e2", "r1", "d", "c2", "q2")], "id string, relation_id string, document_id string, chunk_id string, quote string")
+    chunks = spark.createDataFrame([("c1", '{"record_number": 3, "page_number": "x"}'), ("c2", "no json")], "id string, metadata string")
+    cited = Q.citations(ev, chunks.hint("merge"))
+    got = {r["id"]: r["source_location"] and r["source_location"]["record_number"] for r in cited.collect()}
+    assert got == {"e1": 3, "e2": None}
+    above = cited._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "metadata" not in above
