@@ -110,6 +110,36 @@ def test_communities(spark):
     assert C.modularity(edges, base).first()[0] > max(0.0, C.modularity(edges, alone).first()[0])
 
 
+def test_a_round_asks_only_the_nodes_with_a_turn(spark, monkeypatch):
+    ids = [str(i) for i in range(40)]
+    pairs = [(str(i), str(j), 1.0 + (i * j) % 3) for i in range(40) for j in range(i + 1, 40) if (i * 7 + j * 3) % 11 == 0]
+    nodes, edges = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(pairs, "a string, b string, weight double")
+    rounds, plain = [], C._wishes
+
+    def seen(links, placed, total, resolution, step, turn):
+        got = plain(links, placed, total, resolution, step, turn)
+        rounds.append(({r.n: (r.k, r.c) for r in placed.collect()}, [tuple(r) for r in links.select("src", "dst", "w").collect()], total, got.collect(),
+                       {r.n for r in placed.where(C._has_turn("coin", step) == F.lit(turn)).collect()}))
+        return got
+
+    monkeypatch.setattr(C, "_wishes", seen)
+    C.detect(nodes, edges, 1.0, max_rounds=2).collect()
+    state, links, total, got, asked = rounds[1]
+    assert {r.n for r in got} == asked and 0 < len(asked) < len(state)
+    size, mass = {}, {}
+    for k, c in state.values():
+        size[c], mass[c] = size.get(c, 0) + 1, mass.get(c, 0) + k
+    for r in got:
+        k, own = state[r.n]
+        w = {own: 0}
+        for a, b, x in links:
+            if a == r.n:
+                w[state[b][1]] = w.get(state[b][1], 0) + x
+        score = {c: x - k * (mass[c] - (k if c == own else 0)) / total for c, x in w.items() if c == own or size[c] > 1 or size[own] > 1 or c < own}
+        best = min(score, key=lambda c: (-score[c], c))
+        assert r.c == (best if score[best] > score[own] + 1e-6 else own)
+
+
 def test_refresh_skips_known_graph(spark, tmp_path):
     ent, rel, _ = graph(spark, [("r1", "a", "b", 1.0), ("r2", "c", "d", 1.0)])
     store = str(tmp_path / "analytics")
