@@ -57,25 +57,24 @@ COLLECTION_BYTES = 600_000
 GRAM_BYTES = 2_400_000
 ROUNDS = 4
 
-_SYMBOLS = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the SEED bytes from each place on; neighbours are joined pairwise."""
-    h, width = _SYMBOLS[data], 1
-    while width < SEED:
-        h = h[:-width] * np.uint64(0x9E3779B97F4A7C15 + 2 * width) + h[width:]
-        h ^= h >> np.uint64(29)
-        width *= 2
+def gram_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of the SEED bytes from each place on, from their two halves as numbers."""
+    halves = np.ndarray(len(data) - SEED // 2 + 1, "<u8", data, strides=(1,)).copy()
+    h = halves[:-(SEED // 2)] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h += halves[SEED // 2:]
     h *= np.uint64(0xD1B54A32D192ED03)
-    return h ^ (h >> np.uint64(32))
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(gram hash, place of the gram, first window, last window) of the maximal runs of windows that pick the same gram."""
     if len(data) < LENGTH:
         return tuple(np.empty(0, np.int64) for _ in range(4))
-    h = gram_hashes(np.frombuffer(data, np.uint8))
+    h = gram_hashes(data)
     least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     reach, width = LENGTH - SEED + 1, 1
     while 2 * width <= reach:
@@ -165,11 +164,6 @@ def _keys(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], (both[:, 1] & 0x7FFFFFFF).astype(np.int32)
 
 
-def _content_key(content: bytes) -> tuple[int, int]:
-    k1, k2 = _keys([xxhash.xxh3_128_digest(content)])
-    return int(k1[0]), int(k2[0])
-
-
 def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document a row with the starts and keys of its shared segments; per distinct segment of the task a row with its bytes and least and largest document."""
     known: dict[bytes, list] = {}
@@ -189,7 +183,8 @@ def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, doc, text, grams in zip(batch["row"].to_pylist(), batch["doc"].to_pylist(), batch["text"].to_pylist(), batch["grams"]):
             data = text.encode("utf-8", "surrogatepass")
             gram, place, first, last = segments(data)
-            shared = np.isin(gram, grams.values.to_numpy())
+            wanted = np.sort(grams.values.to_numpy())
+            shared = wanted[np.minimum(np.searchsorted(wanted, gram), len(wanted) - 1)] == gram
             if not shared.any():
                 continue
             starts, digests = first[shared], []
@@ -243,36 +238,50 @@ def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Owners of the windows of the segments (only where a document can lose one), rows sorted by gram; collections end between grams."""
     half = (LENGTH - SEED) // 2
     held: dict[bytes, list] = {}
-    waiting: list[tuple[bytes, list]] = []
+    waiting: list[tuple[bytes, int, int, list]] = []
     size, current = 0, None
     out: list[tuple] = []
 
     def judge() -> None:
         nonlocal size
         if waiting:
-            least = np.array([x[1] for _, x in waiting], np.int64)
-            for (content, x), (ends, who) in zip(waiting, owners([c for c, _ in waiting], least)):
+            least = np.array([x[1] for *_, x in waiting], np.int64)
+            for (content, begin, end, x), (ends, who) in zip(waiting, owners([c[b:e] for c, b, e, _ in waiting], least)):
                 if x[2] > min(who):
-                    out.append((*_content_key(content), ends, who))
+                    if begin:  # the windows outside the part are no other segment's
+                        ends, who = [begin, *(e + begin for e in ends)], [x[1], *who]
+                    if end < len(content):
+                        ends, who = [*ends, len(content) - LENGTH + 1], [*who, x[1]]
+                    out.append((content, ends, who))
         waiting.clear()
         size = 0
 
     def close_gram() -> None:
         nonlocal size
-        sides = []
         if len(held) > 1:
-            # a window that two different segments share holds the half reach before the gram or the half reach behind it
+            # a window that two different segments share holds the half reach before the gram or the half reach behind it:
+            # it begins at most, or at least, half the reach before the gram
             sides = [(c[at - half:at + SEED] if at >= half else None, c[at:at + SEED + half] if len(c) >= at + SEED + half else None)
                      for c, (at, _, _) in held.items()]
-        left, right = Counter(a for a, _ in sides), Counter(b for _, b in sides)
+            left, right = Counter(a for a, _ in sides), Counter(b for _, b in sides)
         for n, (content, x) in enumerate(held.items()):
-            if sides and (sides[n][0] is not None and left[sides[n][0]] > 1 or sides[n][1] is not None and right[sides[n][1]] > 1):
-                waiting.append((content, x))
-                size += len(content)
+            before = behind = False
+            if len(held) > 1:
+                before, behind = (side is not None and count[side] > 1 for side, count in zip(sides[n], (left, right)))
+            if before or behind:
+                begin, end = 0 if before else max(x[0] - half, 0), len(content) if behind else x[0] - half + LENGTH
+                waiting.append((content, begin, end, x))
+                size += end - begin
             elif x[1] < x[2]:
-                out.append((*_content_key(content), [len(content) - LENGTH + 1], [x[1]]))
+                out.append((content, [len(content) - LENGTH + 1], [x[1]]))
         held.clear()
 
+    def settled() -> pd.DataFrame:
+        contents, ends, who = zip(*out) if out else ((), (), ())
+        k1, k2 = _keys([xxhash.xxh3_128_digest(c) for c in contents])
+        out.clear()
+        return pd.DataFrame({"k1": k1, "k2": k2, "ends": pd.Series(ends, dtype=object), "owners": pd.Series(who, dtype=object)})
+
     for batch in batches:
         for at, content, lo, hi in zip(*(batch[c].tolist() for c in ("at", "content", "least", "most"))):
             gram = content[at:at + SEED]
@@ -286,11 +295,10 @@ def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 held[content] = [at, lo, hi]
             else:
                 seen[1], seen[2] = min(seen[1], lo), max(seen[2], hi)
-        yield pd.DataFrame(out, columns=["k1", "k2", "ends", "owners"])
-        out = []
+        yield settled()
     close_gram()
     judge()
-    yield pd.DataFrame(out, columns=["k1", "k2", "ends", "owners"])
+    yield settled()
 
 
 def hot_grams(contents: DataFrame, gram_bytes: int) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,6 +211,23 @@ def test_repeated_strings_of_hot_grams(spark):
         assert sorted(map(tuple, got), key=repr) == want
 
 
+def test_only_the_sides_that_segments_share_are_ordered(monkeypatch):
+    gram, left, right = b"G" * 16, bytes(range(97, 114)), bytes(range(65, 82))
+    contents = [b"0" * 17 + left + gram + right + b"1" * 9, b"0" * 17 + left + gram + b"3" * 26, b"4" * 34 + gram + right + b"5" * 9, b"6" * 34 + gram + b"7" * 26]
+    seen, plain = [], substrings.owners
+
+    def recorded(strings, least):
+        seen.extend(strings)
+        return plain(strings, least)
+
+    monkeypatch.setattr(substrings, "owners", recorded)
+    rows = pd.DataFrame({"at": [34] * 4, "content": contents, "least": [1, 2, 3, 4], "most": [9] * 4})
+    out = pd.concat(substrings.decide(iter([rows])))
+    assert seen == [contents[0], contents[1][:67], contents[2][17:]]  # both sides, the left, the right; the last one shares none
+    per_window = sorted([o for b, e, o in zip([0, *ends], ends, who) for _ in range(b, e)] for ends, who in zip(out["ends"], out["owners"]))
+    assert per_window == [[1] * 27, [1] + [2] * 26, [3] * 27, [4] * 27]
+
+
 def test_repeated_strings_of_one_id_stay(spark):
     text = "this passage stands in two rows of the same document id and is longer than fifty bytes"
     docs = spark.createDataFrame([(1, text), (1, text + " more"), (2, "x" + text)], "doc_id long, text string")
