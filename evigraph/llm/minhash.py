@@ -7,13 +7,17 @@ over the set. Bands of four coordinates are the buckets of candidates.
 
 * Texts with equal sets are one node (128-bit digest of the set), so exact
   copies cost one row however many there are.
-* A bucket is not expanded into pairs. In each round some members lead: every
-  other member is paired with the leader only; pairs whose coordinates agree
-  far below the threshold are left, the others are confirmed on the full sets.
-  Confirmed links merge components; a bucket is settled when its members lie in
-  one component or all but one have led. Members outside the bucket's largest
-  component lead first, and the number of leaders grows fourfold per round, so
-  all pairs of different components in a bucket are looked at in few rounds.
+* A bucket is not expanded into pairs. One member leads, every other one is
+  paired with it only; pairs whose coordinates agree far below the threshold
+  are left, the others are confirmed on the full sets. Confirmed links merge
+  components; a bucket is settled when its members lie in one component. The
+  leader of an unsettled bucket is the member with the most usual shingles,
+  which is linked with the most others; leaders of other components follow as
+  long as half of the pairs that pass the sketches are links.
+* What is left are mostly members without a link. Their pairs are not formed:
+  linked sets share one of their rarest shingles, early enough in both for the
+  sizes of both. Only such pairs of different components are confirmed, without
+  the sketches; no pair of unsettled members is missed there.
 * Components are kept by alternating stars.
 
 With 32 bands of four a pair of similarity 0.75 is missed with probability
@@ -38,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType
 
 from evigraph.llm.common import written
 from evigraph.llm.components import components
@@ -184,9 +188,9 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def _led(buckets: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Distinct (leader, node) of the members that share a bucket with a leader of another component."""
-    return buckets.join(leaders, "bucket").where((F.col("node") != F.col("leader")) & (F.col("component") != F.col("led"))).select(
-        F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node")).distinct()
+    """Distinct (leader, node) of the members that share a bucket with a leader of another component and may be linked with it."""
+    led = buckets.join(leaders, "bucket").where((F.col("component") != F.col("led")) & (F.col("size") <= F.col("led_room")) & (F.col("led_size") <= F.col("room")))
+    return led.select(F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node")).distinct()
 
 
 def _sieved(pairs: DataFrame, nodes: DataFrame, sieve: int) -> DataFrame:
@@ -227,41 +231,84 @@ def linked_nodes(docs: DataFrame, described: DataFrame, sieve: int = SIEVE) -> D
     sets = _full_sets(docs, nodes, _ends(pairs))
     links = _confirmed(pairs, sets)
     labels = written(components(links))
-    buckets, width = buckets.select("bucket", "node"), 1
+    buckets = _unsettled(buckets.select("bucket", "node"), labels)
+    wanted = written(buckets.select("node").distinct())
+    if wanted.isEmpty():
+        return labels
+    sets = sets.union(_full_sets(docs, nodes, wanted.join(sets, "node", "left_anti")))
+    rare = _rare_shingles(sets.join(wanted, "node", "left_semi"))
+    facts = rare.groupBy("node").agg(F.first("size").alias("size"), F.first("score").alias("score"), F.max("room").alias("room"))
+    buckets, everyone = written(buckets.select("bucket", "node").join(facts, "node")), True
     while True:
         buckets = _unsettled(buckets, labels)
         if buckets.isEmpty():
             return labels
-        leaders = written(_leaders(buckets, width))
-        pairs = _sieved(_led(buckets, leaders), nodes, sieve)
-        fresh = _ends(pairs).join(sets, "node", "left_anti")
-        if not fresh.isEmpty():
-            sets = sets.union(_full_sets(docs, nodes, fresh))
+        pairs = _sieved(_led(buckets, _leaders(buckets, everyone)), nodes, sieve)
         more = _confirmed(pairs, sets)
-        if not more.isEmpty():
+        compared, found = pairs.count(), more.count()
+        if found:
             links = links.union(more)
             labels = written(components(links))
-        led = leaders.select("bucket", F.col("leader").alias("node"))
-        buckets, width = buckets.select("bucket", "node").join(led, ["bucket", "node"], "left_anti"), width * 4
+        if 2 * found < max(compared, 1):
+            break
+        everyone = False
+    more = _confirmed(_rarely_shared(rare, _unsettled(buckets, labels)), sets)
+    return labels if more.isEmpty() else written(components(links.union(more)))
 
 
 def _unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, node, component) of the buckets whose members lie in several components."""
-    held = written(buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")))
+    """The rows of the buckets whose members lie in several components, with the component."""
+    rows = buckets.drop("component")
+    held = written(rows.join(labels, "node", "left").select(*rows.columns, F.coalesce("component", "node").alias("component")))
     several = written(held.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket"))
     return written(held.join(several, "bucket"))
 
 
-def _leaders(rows: DataFrame, width: int) -> DataFrame:
-    """(bucket, leader, led): up to ``width`` members of each bucket and their components, members of small components first.
+def _leaders(rows: DataFrame, everyone: bool) -> DataFrame:
+    """(bucket, leader, led, led_size, led_room): the member of each bucket with the most usual shingles; unless ``everyone`` may lead, one outside its largest component."""
+    if not everyone:
+        sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+        largest = written(sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m")).select("bucket", F.col("m.component").alias("largest")))
+        rows = rows.join(largest, "bucket").where(F.col("component") != F.col("largest"))
+    best = rows.groupBy("bucket").agg(F.max(F.struct("score", "node", "component", "size", "room")).alias("m"))
+    return written(best.select("bucket", F.col("m.node").alias("leader"), F.col("m.component").alias("led"),
+                               F.col("m.size").alias("led_size"), F.col("m.room").alias("led_room")))
 
-    Spark cuts a bucket to ``width`` rows in every task before the shuffle of the window.
+
+@F.pandas_udf(ArrayType(LongType()))
+def as_numbers(hashes: pd.Series) -> pd.Series:
+    return pd.Series([np.frombuffer(x, np.int64) for x in hashes], dtype=object)
+
+
+def _rare_shingles(sets: DataFrame) -> DataFrame:
+    """(node, size, score, shingle, room) of the rarest shingles of each set; the score is the mean number of sets that hold a shingle.
+
+    In the order of rarity, a shingle at place i (from 0) that is the first one that a set of size s shares with another leaves them at most
+    s - i in common; they are linked only if the other's size is at most ``room`` = (100 + PERCENT) / PERCENT * (s - i) - s. A shingle
+    that leaves no room for a size of PERCENT of s is no first one of a link. A set without such a shingle has no links among ``sets``.
+    """
+    rows = sets.select("node", (F.octet_length("hashes") / 8).cast("long").alias("size"), F.explode(as_numbers("hashes")).alias("shingle"))
+    known = written(rows.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1"))
+    of_node = W.partitionBy("node")
+    placed = rows.join(known, "shingle").select(
+        "node", "size", "shingle", (F.sum("held").over(of_node) / F.col("size")).alias("score"),
+        (F.count("*").over(of_node) - F.row_number().over(of_node.orderBy("held", "shingle")) + 1).alias("left"))  # s - i: those held once come first
+    room = F.floor(F.col("left") * (100 + PERCENT) / PERCENT) - F.col("size")
+    return written(placed.select("node", "size", "score", "shingle", room.alias("room")).where(100 * F.col("room") >= PERCENT * F.col("size")))
+
+
+def _rarely_shared(rare: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(leader, node) of the pairs of different components among ``buckets`` that share a rare shingle with room for each other: all that may be linked.
+
+    Members of the largest component among those that hold a shingle do not lead, and rows that have no room for any other holder are left out first.
     """
-    sizes = written(rows.groupBy("bucket", "component").agg(F.count("*").alias("n")))
-    ranked = rows.join(sizes, ["bucket", "component"]).withColumn(
-        "rank", F.row_number().over(W.partitionBy("bucket").orderBy("n", "component", "node")))
-    small = sizes.groupBy("bucket").agg((F.sum("n") - F.max("n")).alias("small"))  # members of the largest component need not lead
-    return ranked.where(F.col("rank") <= width).join(small, "bucket").where(F.col("rank") <= F.col("small")).select("bucket", F.col("node").alias("leader"), F.col("component").alias("led"))
+    rows = written(rare.drop("score").join(buckets.select("node", "component").distinct(), "node"))
+    parts = rows.groupBy("shingle", "component").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("room").alias("most"))
+    whole = parts.groupBy("shingle").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts"), F.min("least").alias("least"), F.max("most").alias("most"))
+    whole = written(whole.where("parts > 1").select("shingle", F.col("m.component").alias("largest"), "least", "most"))
+    rows = written(rows.join(whole, "shingle").where("room >= least AND size <= most").drop("least", "most"))
+    leaders = rows.where("component <> largest").select("shingle", F.col("node").alias("leader"), F.col("component").alias("led"), F.col("size").alias("led_size"), F.col("room").alias("led_room"))
+    return written(_led(rows.withColumnRenamed("shingle", "bucket"), leaders.withColumnRenamed("shingle", "bucket")))
 
 
 def duplicate_groups(docs: DataFrame, sieve: int = SIEVE) -> DataFrame:

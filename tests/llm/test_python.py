@@ -136,6 +136,28 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(r["kept"] == (r["component_id"] == i) for i, r in got.items())
 
 
+def test_unlinked_near_copies_are_not_compared_in_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(400)}" for _ in range(150)]
+    rows = []
+    for i in range(400):  # edits of one text out of a few words; about half reach the similarity to some other one, and nearly all share buckets
+        rate = rng.choice((0.01, 0.02, 0.03, 0.07, 0.08, 0.1))
+        rows.append((i, " ".join(w if rng.random() > rate else f"w{rng.randrange(12)}" for w in words)))
+    seen, sieved, confirmed = [], minhash._sieved, minhash._confirmed
+
+    def counted(step):
+        def run(pairs, *rest):
+            seen.append(pairs.count())
+            return step(pairs, *rest)
+        return run
+
+    monkeypatch.setattr(minhash, "_sieved", counted(sieved))
+    monkeypatch.setattr(minhash, "_confirmed", counted(confirmed))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_groups(rows)
+    assert len({c for _, c in got.values()}) > 100 and sum(seen) < 10 * len(rows)
+
+
 def test_near_duplicates_of_odd_texts(odd_docs, no_docs):
     got = defaultdict(set)
     rows = minhash.duplicate_groups(odd_docs).collect()
