@@ -13,18 +13,20 @@ from pyspark.sql import functions as F
 
 from evigraph.llm.common import written
 
+EDGES_OF_A_TASK = 5_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """(u, v), u > v: every neighbour of a node above it is hung on the node's smallest one."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")))
-    return both.join(least, both["u"] == least["n"]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
+    return both.join(least, F.col("u") == F.col("n")).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """(u, v), u > v: the neighbours of a node below it, and the node, are hung on the smallest one."""
-    least = written(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m"))
-    hung = edges.join(least, edges["u"] == least["n"]).where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
+    hung = edges.join(least, F.col("u") == F.col("n")).where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.union(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct()
 
 
@@ -37,6 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(figures) == before:
             break
         before = tuple(figures)
-        state = written(_small_star(written(_large_star(state))))
+        tasks = -(-before[0] // EDGES_OF_A_TASK) or 1  # a table of few edges is few files, whatever the number of shuffle partitions
+        state = written(_small_star(written(_large_star(state).coalesce(tasks))).coalesce(tasks))
     roots = state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

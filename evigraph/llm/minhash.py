@@ -7,17 +7,17 @@ over the set. Bands of four coordinates are the buckets of candidates.
 
 * Texts with equal sets are one node (128-bit digest of the set), so exact
   copies cost one row however many there are.
-* A bucket is not expanded into pairs. One member leads, every other one is
-  paired with it only; pairs whose coordinates agree far below the threshold
-  are left, the others are confirmed on the full sets. Confirmed links merge
-  components; a bucket is settled when its members lie in one component. The
-  leader of an unsettled bucket is the member with the most usual shingles,
-  which is linked with the most others; leaders of other components follow as
-  long as half of the pairs that pass the sketches are links.
+* A bucket is not expanded into pairs. The member with the most usual shingles
+  leads, every other one is paired with it only; pairs whose coordinates agree
+  far below the threshold are left, the others are confirmed on the full sets.
+  Confirmed links merge components; a bucket is settled when its members lie in
+  one component.
 * What is left are mostly members without a link. Their pairs are not formed:
   linked sets share one of their rarest shingles, early enough in both for the
   sizes of both. Only such pairs of different components are confirmed, without
-  the sketches; no pair of unsettled members is missed there.
+  the sketches; no pair of unsettled members is missed there. Where even these
+  are many, members of other components lead once more before that, as long as
+  this finds links.
 * Components are kept by alternating stars.
 
 With 32 bands of four a pair of similarity 0.75 is missed with probability
@@ -50,9 +50,9 @@ from evigraph.llm.components import components
 WINDOW = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
-FIRST_BANDS = 3
 COORDINATES = BANDS * ROWS
 SIEVE = 68  # equal coordinates of 128; 96 are expected at a similarity of 0.75, with a deviation of 4.9
+MANY = 16  # candidates for each set that shares a bucket, above which further leaders are tried first
 KNOWN_WORDS = 200_000
 CHUNK = 1 << 15
 
@@ -188,9 +188,9 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def _led(buckets: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Distinct (leader, node) of the members that share a bucket with a leader of another component and may be linked with it."""
+    """(leader, node) of the members that share a bucket with a leader of another component and may be linked with it, in order; pairs may repeat."""
     led = buckets.join(leaders, "bucket").where((F.col("component") != F.col("led")) & (F.col("size") <= F.col("led_room")) & (F.col("led_size") <= F.col("room")))
-    return led.select(F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node")).distinct()
+    return led.select(F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node"))
 
 
 def _sieved(pairs: DataFrame, nodes: DataFrame, sieve: int) -> DataFrame:
@@ -215,62 +215,47 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(both.select(F.col("leader").alias("u"), F.col("node").alias("v")))
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("leader", "node")).alias("node")).distinct()
-
-
 def linked_nodes(docs: DataFrame, described: DataFrame, sieve: int = SIEVE) -> DataFrame:
     """(node, component) of the nodes with a link."""
     known = described.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     nodes = written(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
     rows = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    least = written(rows.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    buckets = written(rows.join(least, "bucket"))
-    # a few bands join most copies; the other buckets then lie in one component and need no pairs
-    pairs = _sieved(buckets.where((F.col("band") < FIRST_BANDS) & (F.col("node") != F.col("leader"))).select("leader", "node").distinct(), nodes, sieve)
-    sets = _full_sets(docs, nodes, _ends(pairs))
-    links = _confirmed(pairs, sets)
-    labels = written(components(links))
-    buckets = _unsettled(buckets.select("bucket", "node"), labels)
+    shared = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    buckets = written(rows.join(shared, "bucket").select("bucket", "node"))
     wanted = written(buckets.select("node").distinct())
-    if wanted.isEmpty():
-        return labels
-    sets = sets.union(_full_sets(docs, nodes, wanted.join(sets, "node", "left_anti")))
-    rare = _rare_shingles(sets.join(wanted, "node", "left_semi"))
+    sets = _full_sets(docs, nodes, wanted)
+    rare = _rare_shingles(sets)
     facts = rare.groupBy("node").agg(F.first("size").alias("size"), F.first("score").alias("score"), F.max("room").alias("room"))
-    buckets, everyone = written(buckets.select("bucket", "node").join(facts, "node")), True
+    held = written(buckets.join(facts, "node").withColumn("component", F.col("node")))
+    links = _confirmed(_sieved(_led(held, _leaders(held, True)).distinct(), nodes, sieve), sets)
     while True:
-        buckets = _unsettled(buckets, labels)
-        if buckets.isEmpty():
-            return labels
-        pairs = _sieved(_led(buckets, _leaders(buckets, everyone)), nodes, sieve)
-        more = _confirmed(pairs, sets)
-        compared, found = pairs.count(), more.count()
-        if found:
-            links = links.union(more)
-            labels = written(components(links))
-        if 2 * found < max(compared, 1):
-            break
-        everyone = False
-    more = _confirmed(_rarely_shared(rare, _unsettled(buckets, labels)), sets)
-    return labels if more.isEmpty() else written(components(links.union(more)))
-
-
-def _unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+        labels = written(components(links))
+        held = _unsettled(held, labels)
+        left = _rarely_shared(rare, held)
+        more = None
+        if left.count() > MANY * wanted.count():  # several large groups in one bucket: let another one's member lead
+            more = _confirmed(_sieved(_led(held, _leaders(held, False)).distinct(), nodes, sieve), sets)
+        if more is None or more.isEmpty():
+            more = _confirmed(written(left.distinct()), sets)
+            return labels if more.isEmpty() else written(components(links.union(more)))
+        links = links.union(more)
+
+
+def _unsettled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of the buckets whose members lie in several components, with the component."""
-    rows = buckets.drop("component")
-    held = written(rows.join(labels, "node", "left").select(*rows.columns, F.coalesce("component", "node").alias("component")))
-    several = written(held.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket"))
+    other = [c for c in rows.columns if c != "component"]
+    held = written(rows.drop("component").join(labels, "node", "left").select(*other, F.coalesce("component", "node").alias("component")))
+    several = held.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
     return written(held.join(several, "bucket"))
 
 
 def _leaders(rows: DataFrame, everyone: bool) -> DataFrame:
-    """(bucket, leader, led, led_size, led_room): the member of each bucket with the most usual shingles; unless ``everyone`` may lead, one outside its largest component."""
+    """(bucket, leader, led, led_size, led_room): the member of each bucket with the most usual shingles, of equal ones the larger; unless ``everyone`` may lead, one outside its largest component."""
     if not everyone:
         sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        largest = written(sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m")).select("bucket", F.col("m.component").alias("largest")))
+        largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m")).select("bucket", F.col("m.component").alias("largest"))
         rows = rows.join(largest, "bucket").where(F.col("component") != F.col("largest"))
-    best = rows.groupBy("bucket").agg(F.max(F.struct("score", "node", "component", "size", "room")).alias("m"))
+    best = rows.groupBy("bucket").agg(F.max(F.struct("score", "size", "node", "component", "room")).alias("m"))
     return written(best.select("bucket", F.col("m.node").alias("leader"), F.col("m.component").alias("led"),
                                F.col("m.size").alias("led_size"), F.col("m.room").alias("led_room")))
 
@@ -308,7 +293,7 @@ def _rarely_shared(rare: DataFrame, buckets: DataFrame) -> DataFrame:
     whole = written(whole.where("parts > 1").select("shingle", F.col("m.component").alias("largest"), "least", "most"))
     rows = written(rows.join(whole, "shingle").where("room >= least AND size <= most").drop("least", "most"))
     leaders = rows.where("component <> largest").select("shingle", F.col("node").alias("leader"), F.col("component").alias("led"), F.col("size").alias("led_size"), F.col("room").alias("led_room"))
-    return written(_led(rows.withColumnRenamed("shingle", "bucket"), leaders.withColumnRenamed("shingle", "bucket")))
+    return _led(rows.withColumnRenamed("shingle", "bucket"), leaders.withColumnRenamed("shingle", "bucket"))
 
 
 def duplicate_groups(docs: DataFrame, sieve: int = SIEVE) -> DataFrame:
