@@ -393,11 +393,18 @@ def search(
         words = F.slice(words, 1, fallback_words)
     missed = queries.join(strict.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.explode(words).alias("term"))
     texts = active.select("id", "created_at", F.lower(F.concat_ws("\n", "title", "goal", "problem_signature")).alias("text"))
-    # All score zero, so time and id rank them: the list of a query is cut in the map tasks, before anything else is
-    # joined. An id found at several places has one dense rank.
-    newest = Window.partitionBy("query_id").orderBy(F.col("created_at").desc(), "id")
-    top = matches(texts, missed).withColumn("_place", F.dense_rank().over(newest)).where(F.col("_place") <= limit)
-    loose = top.select("query_id", "id").distinct().join(active, "id")
+    # All score zero, so time and id rank them. A query's first hits are among the first ones of its words, so each
+    # distinct word is looked up once and its list cut in the map tasks, before it meets the queries that share the
+    # word. An id found at several places or by several words has one dense rank.
+    missed = cut_lineage(missed)
+
+    def newest(hits: DataFrame, key: str) -> DataFrame:
+        place = F.dense_rank().over(Window.partitionBy(key).orderBy(F.col("created_at").desc(), "id"))
+        return hits.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place").distinct()
+
+    listed = newest(matches(texts, missed.select(F.col("term").alias("query_id"), "term")), "query_id").withColumnRenamed("query_id", "term")
+    top = newest(missed.distinct().join(listed, "term").select("query_id", "id", "created_at"), "query_id")
+    loose = top.select("query_id", "id").join(active, "id")
     loose = with_pattern(loose, outcomes, pattern_rows).select(
         "query_id", "id", "created_at", F.lit(0.0).alias("score"), "pattern_key", "pattern_confidence", "promoted", "lesson")
     ranked = top_n_per_group(

@@ -141,13 +141,15 @@ SELECT query_id, id, rank, round(score, 6) AS score, pattern_key FROM (
   FROM (SELECT query_id, unnest(list_filter(regexp_split_to_array(lower(q), '[ \u00a0]+'), lambda w: length(w) > 1)[1:5]) AS w FROM asked WHERE query_id NOT IN ('q1', 'q2')) t
   JOIN m_episodes e ON contains(lower(e.title), t.w) OR contains(lower(e.goal), t.w) OR contains(lower(e.problem_signature), t.w) LEFT JOIN keyed k ON k.episode_id = e.id
   WHERE e.status NOT IN ('superseded', 'rejected')) x) y WHERE rank <= 25"""
+# The audit looks for all words of a query.
+AUDIT_SEARCH_SQL = SEARCH_SQL.replace("[1:5]", "")
 
 
-def searched(spark: SparkSession, sf: str) -> DataFrame:
+def searched(spark: SparkSession, sf: str, fallback_words: int | None = 5) -> DataFrame:
     t = Inputs(spark, sf)
     out = keyed(t)
     t.events.createOrReplaceTempView("events")
-    return Mm.search(spark.sql(ASKED_SQL), t.m_episodes, out, Mm.patterns(out), sequenced_attempts(t), fallback_words=5)
+    return Mm.search(spark.sql(ASKED_SQL), t.m_episodes, out, Mm.patterns(out), sequenced_attempts(t), fallback_words=fallback_words)
 
 
 @query("am5_am6_search", oracle(SEARCH_SQL, *MEM, **PATTERN_CTES, asked=ASKED_SQL))
@@ -164,9 +166,9 @@ def am7(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("am8_retrieval_audit", oracle(f"""
-SELECT query_id, string_agg(id, ',' ORDER BY rank) AS episode_ids, '[redacted]' AS query FROM ({SEARCH_SQL}) r GROUP BY 1""", *MEM, **PATTERN_CTES, asked=ASKED_SQL))
+SELECT query_id, string_agg(id, ',' ORDER BY rank) AS episode_ids, '[redacted]' AS query FROM ({AUDIT_SEARCH_SQL}) r GROUP BY 1""", *MEM, **PATTERN_CTES, asked=ASKED_SQL))
 def am8(spark: SparkSession, sf: str) -> DataFrame:
-    audit = Mm.retrieval_audit(searched(spark, sf))
+    audit = Mm.retrieval_audit(searched(spark, sf, fallback_words=None))
     return audit.select("query_id", F.array_join(F.transform("results", lambda r: r["episode_id"]), ",").alias("episode_ids"), "query")
 
 

@@ -60,3 +60,31 @@ def test_loose_hits_are_cut_before_the_joins(spark, monkeypatch):
     got = Mm.search(queries, episodes, outcomes, patterns, attempts, limit=5).orderBy("rank").collect()
     assert [(r["query_id"], r["id"]) for r in got] == [("a", e) for e in ("e298", "e299", "e296", "e297", "e294")]
     assert joined == [0, 5]
+
+
+def test_every_word_of_a_query_is_looked_for(spark):
+    # The sixth word is the only one that any episode holds; a word shared by many queries meets the episodes once.
+    episodes = spark.range(300).selectExpr(
+        "concat('e', id) AS id", "'p1' AS project_id", "concat('wordy ', id) AS title", "'goal' AS goal", "'sig' AS problem_signature", "'repo' AS repository",
+        "'dev' AS environment", "'open' AS status", "timestamp_seconds(id DIV 2) AS created_at")
+    outcomes = spark.createDataFrame([], "episode_id string, pattern_key string, lesson string")
+    patterns = spark.createDataFrame([], "project_id string, pattern_key string, confidence double, promoted boolean")
+    attempts = spark.createDataFrame([], "episode_id string, sequence long, result string, action string")
+    queries = spark.range(3).selectExpr("concat('q', id) AS query_id", "concat('aa bb cc dd ee word 2', id, ' word') AS q")
+    whole = Mm.retrieval_audit(Mm.search(queries, episodes, outcomes, patterns, attempts, limit=3)).orderBy("query_id").collect()
+    assert [[x["episode_id"] for x in r["results"]] for r in whole] == [["e298", "e299", "e296"]] * 3
+    first = Mm.search(queries, episodes, outcomes, patterns, attempts, limit=3, fallback_words=5)
+    assert first.count() == 0
+
+
+def test_the_audit_has_no_word_limit(spark):
+    from evigraph.plans import memory
+
+    asked = []
+    plain = Mm.search
+    try:
+        Mm.search = lambda *args, **named: asked.append(named) or plain(*args, **named)
+        memory.am8(spark, "/root/testdata/sf0.001")
+    finally:
+        Mm.search = plain
+    assert asked == [{"fallback_words": None}]
