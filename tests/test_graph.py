@@ -249,3 +249,28 @@ def test_citation_places_travel_as_numbers(spark):
     assert got == {"e1": 3, "e2": None}
     above = cited._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
     assert "metadata" not in above
+
+
+def test_closed_communities_are_set_aside(spark, monkeypatch):
+    # Cliques of one to five nodes beside a ring of cliques: the same result with and without setting closed communities
+    # aside and with and without the rounds of one task, and later rounds read fewer and fewer nodes.
+    edges = [(g * 10 + i, g * 10 + j, 1.0) for g in range(100) for i in range(g % 5 + 1) for j in range(i)]
+    ring = [(9000 + 10 * g + i, 9000 + 10 * g + j, 1.0) for g in range(12) for i in range(4) for j in range(i)]
+    ring += [(9000 + 10 * g, 9000 + 10 * ((g + 1) % 12) + 1, 1.0) for g in range(12)]
+    ids = sorted({x for a, b, _ in edges + ring for x in (a, b)} | {g * 10 for g in range(100)})
+    for kind, name in (("string", lambda x: f"n{x:06d}"),):
+        nodes = spark.createDataFrame([(name(i),) for i in ids], f"id {kind}")
+        links = spark.createDataFrame([(name(a), name(b), w) for a, b, w in edges + ring], f"a {kind}, b {kind}, weight double")
+        got, asked, plain = {}, {}, C._wishes
+        for apart, small in ((10**9, 0), (50, 0), (50, 300)):
+            seen = asked[apart, small] = []
+            monkeypatch.setattr(C, "APART", apart)
+            monkeypatch.setattr(C, "SMALL", small)
+            monkeypatch.setattr(C, "_wishes", lambda links, placed, *rest: seen.append(placed.count()) or plain(links, placed, *rest))
+            got[apart, small] = sorted(map(tuple, C.detect(nodes, links, 1.0, tolerance=0.0).collect()))
+            monkeypatch.setattr(C, "_wishes", plain)
+        whole = got.pop((10**9, 0))
+        assert all(other == whole for other in got.values()) and len(whole) == len(ids)
+        assert min(asked[50, 0]) < len(ids) / 4 < max(asked[50, 0]) and len(asked[50, 300]) < len(asked[50, 0])
+        cliques = {i: c for i, c in whole if i < name(9000)}
+        assert all(c == name(min(j for j in ids if j // 10 == int(str(i).lstrip("n")) // 10)) for i, c in cliques.items())
