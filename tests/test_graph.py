@@ -274,3 +274,26 @@ def test_closed_communities_are_set_aside(spark, monkeypatch):
         assert min(asked[50, 0]) < len(ids) / 4 < max(asked[50, 0]) and len(asked[50, 300]) < len(asked[50, 0])
         cliques = {i: c for i, c in whole if i < name(9000)}
         assert all(c == name(min(j for j in ids if j // 10 == int(str(i).lstrip("n")) // 10)) for i, c in cliques.items())
+
+
+def test_a_query_without_room_is_not_asked_again(spark, monkeypatch):
+    # q is full after one level; of r's second level only what it has left, beyond walked relations, may reach the ranking.
+    edges = [(f"a{i}", "a", f"x{i}", 1.0) for i in range(6)] + [(f"b{i}{j:02d}", f"x{i}", f"y{i}{j}", 1.0) for i in range(6) for j in range(30)]
+    edges += [("a9", "a", "a", 1.0), ("c1", "b", "x0", 1.0), ("c2", "b", "b", 1.0), ("c3", "b", "b", 1.0), ("c4", "b", "b", 1.0)]
+    ent, rel, ev = graph(spark, edges)
+    people, links = P.supported_graph(ent, rel, ev)
+    roots = spark.createDataFrame([("q", "a"), ("r", "b")], "query_id string, root string")
+    ranked, plain = [], Wk.top_n_per_group
+
+    def counting(df, *rest):
+        ranked.append({r["query_id"]: r["count"] for r in df.groupBy("query_id").count().collect()} if "query_id" in df.columns else None)
+        return plain(df, *rest)
+
+    monkeypatch.setattr(Wk, "top_n_per_group", counting)
+    nodes, rels = Wk.bounded_walk(roots, Wk.both_ends(links), 2, 200, 6, Wk.may_enter(people))
+    got = {q: sorted(r["relation_id"] for r in rels.where(F.col("query_id") == q).collect()) for q in "qr"}
+    assert got == {"q": [f"a{i}" for i in range(6)], "r": ["a0", "b000", "c1", "c2", "c3", "c4"]}
+    assert all(counts is None or counts.get("r", 0) <= 6 for counts in ranked) and "q" not in ranked[2]
+    whole = Wk.bounded_walk(roots, Wk.walk_edges(people, links), 2, 200, 6)
+    assert sorted(map(str, whole[0].collect())) == sorted(map(str, nodes.collect()))
+    assert sorted(map(str, whole[1].collect())) == sorted(map(str, rels.collect()))
