@@ -297,3 +297,25 @@ def test_a_query_without_room_is_not_asked_again(spark, monkeypatch):
     whole = Wk.bounded_walk(roots, Wk.walk_edges(people, links), 2, 200, 6)
     assert sorted(map(str, whole[0].collect())) == sorted(map(str, nodes.collect()))
     assert sorted(map(str, whole[1].collect())) == sorted(map(str, rels.collect()))
+
+
+def test_a_traversal_writes_no_quotes_and_deals_edges_once(spark, monkeypatch):
+    edges = [(f"r{i:02d}", "a", f"x{i}", 1.0 - i / 100) for i in range(40)] + [("s", "x0", "y", 0.5), ("t", "a", "a", 0.99)]
+    ent, rel, _ = graph(spark, edges)
+    ev = spark.createDataFrame([(f"e{i}", "d", f"c{i}", None, r[0], f"quote {i}", r[3]) for i, r in enumerate(edges)],
+                               "id string, document_id string, chunk_id string, entity_id string, relation_id string, quote string, confidence double")
+    written, plain = [], Wk.cut_lineage
+
+    def seen(df):
+        written.append((set(df.columns), df.count()))
+        return plain(df)
+
+    monkeypatch.setattr(Wk, "cut_lineage", seen)
+    names = spark.createDataFrame([("q", "A")], "query_id string, name string")
+    chunks = spark.createDataFrame([("q", "c41")], "query_id string, chunk_id string")
+    got = Wk.evidence_traversal(chunks, names, ent, rel, ev, 2, 2, 20).collect()
+    assert not any({"quote", "document_id"} & columns for columns, _ in written)
+    lists = [n for columns, n in written if "from_source" in columns]
+    assert lists == [len(ent.collect()) + 3 + 2]  # one table of lists: a has r00, r01, r02 and t from both ends
+    # First level r00 and r01 (two relations for the one seed), second level s beside x0; e41 is the chunk's own.
+    assert sorted(r["id"] for r in got) == ["e0", "e1", "e40", "e41"]
