@@ -319,3 +319,19 @@ def test_a_traversal_writes_no_quotes_and_deals_edges_once(spark, monkeypatch):
     assert lists == [len(ent.collect()) + 3 + 2]  # one table of lists: a has r00, r01, r02 and t from both ends
     # First level r00 and r01 (two relations for the one seed), second level s beside x0; e41 is the chunk's own.
     assert sorted(r["id"] for r in got) == ["e0", "e1", "e40", "e41"]
+
+
+def test_neighbours_of_citations_are_found_once(spark, monkeypatch):
+    edges = [(f"r{i:02d}", "hub", f"x{i}", 1.0) for i in range(40)]
+    ent, rel, _ = graph(spark, edges)
+    rel = rel.withColumn("relation_type", F.lit("T"))
+    ev = spark.createDataFrame([(f"e{i}", "d", f"c{i}", None, r[0], f"quote {i}", 1.0) for i, r in enumerate(edges)],
+                               "id string, document_id string, chunk_id string, entity_id string, relation_id string, quote string, confidence double")
+    chunks = ev.select(F.col("chunk_id").alias("id"), F.lit("{}").alias("metadata"))
+    near = Q.neighbours(ent.where("id <> 'x3'").select(F.col("id").alias("root")), ent, rel, ev, 5)
+    assert sorted((r["root"], r["rank"]) for r in near.collect()) == sorted([("hub", k) for k in range(1, 6)] + [(f"x{i}", 1) for i in range(40) if i != 3])
+    cited = Q.neighbour_citations(near, ev, chunks)
+    assert cited.count() == 44 and {r["citations"][0]["quote"] for r in cited.where("root = 'hub'").collect()} == {f"quote {i}" for i in range(5)}
+    # The names travel with shown neighbours only, and the neighbours are read, not found again, for the citations.
+    plan = cited._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and plan.count("canonical_name") and "row_number() windowspecdefinition(node" not in plan
